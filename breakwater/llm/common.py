@@ -18,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return found.rstrip("/")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        at = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+        return at.replace("file:/", "file:///", 1) if at.startswith("file:/") and not at.startswith("file://") else at
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="breakwater-")
         atexit.register(shutil.rmtree, _LOCAL["dir"], True)
