@@ -51,7 +51,8 @@ def benchmark_seeds(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[D
     fits = F.col("mask") < len(MASKS)
     for k, n in enumerate(lengths):
         fits = fits | ((F.col("mask") == len(MASKS) + k) & (F.size("piece") == n))
-    return seeds.where(F.col("seed").isNotNull() & fits).select("seed", "item_id", "q", "piece"), masks
+    # Of equal windows of a piece (repeated words) the first stands for all.
+    return seeds.where(F.col("seed").isNotNull() & fits).groupBy("seed", "item_id", "piece").agg(F.min("q").alias("q")), masks
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -60,7 +61,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Test and training windows join on the hash of the tokens that a mask keeps. Around a
     hit, ``OVERLAP`` tokens of the benchmark (all of a shorter item) are compared with the
     document on the same diagonal; ``SHARE`` of them must be equal, so substituted tokens
-    are tolerated. Of several hits the best is returned. Documents are never shuffled: the
+    are tolerated. Of several hits the largest figures are returned. Documents are never shuffled: the
     benchmark's seeds are broadcast, at most ``BLOCK`` rows at a time.
 
     Null and empty texts, and items without a token, match nothing; repeated rows count
@@ -77,14 +78,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     start = F.greatest(F.lit(0), F.least(F.col("q") - (OVERLAP - len(MASKS[0])) // 2, n - size))
 
     def search(block: DataFrame) -> DataFrame:
-        hits = windows.join(F.broadcast(block), "seed").select("doc_id", "item_id", "tokens", "piece", (F.col("p") - F.col("q")).alias("shift"), start.alias("start"), size.alias("compared"))
-        equal = F.size(F.filter(F.sequence("start", F.col("start") + F.col("compared") - 1), lambda i: F.get("tokens", i + F.col("shift")) == F.get("piece", i)))
-        return hits.select("doc_id", "item_id", "compared", equal.alias("matched")).where(f"matched >= {SHARE} * compared")
+        shift, low = F.col("p") - F.col("q"), F.greatest(start, F.col("q") - F.col("p"))
+        length = start + size - low
+        # Hits leave the join with the compared tokens only, not with whole documents.
+        hits = windows.join(F.broadcast(block), "seed").select("doc_id", "item_id", F.slice("tokens", low + shift + 1, length).alias("own"), F.slice("piece", low + 1, length).alias("theirs"), size.alias("compared"))
+        equal = F.size(F.filter(F.zip_with("own", "theirs", lambda x, y: x == y), lambda same: same))
+        return hits.select("doc_id", "item_id", "compared", equal.alias("matched"))
 
     block_of = F.pmod(F.xxhash64("item_id", "piece", "q"), F.lit(blocks))
     every = reduce(DataFrame.union, [search(seeds.where(block_of == k)) for k in range(blocks)])
-    best = every.withColumn("similarity", F.col("matched") / F.col("compared")).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "compared", "matched")).alias("best"))
-    return best.select("doc_id", "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("best.compared").cast("long").alias("compared"), F.col("best.similarity").alias("similarity"))
+    best = every.groupBy("doc_id", "item_id", "compared").agg(F.max("matched").alias("matched")).where(f"matched >= {SHARE} * compared")
+    return best.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("compared").cast("long").alias("compared"), F.max(F.col("matched") / F.col("compared")).alias("similarity"))
 
 
 #: Ids of contaminated documents that may be broadcast to drop them.
@@ -112,7 +116,7 @@ b AS (SELECT item_id, {words_sql.format('text')} AS w FROM benchmark WHERE text
 dp AS (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d),
 bp AS (SELECT item_id, w, unnest(range(len(w))) AS p FROM b),
 ds AS ({windows('dp', 'doc_id')}),
-bs AS ({windows('bp', 'item_id')}),
+bs AS (SELECT item_id, w, mask, seed, min(p) AS p FROM ({windows('bp', 'item_id')}) GROUP BY ALL),
 hits AS (SELECT DISTINCT doc_id, item_id, ds.w AS dw, bs.w AS bw, ds.p - bs.p AS shift, least(len(bs.w), {OVERLAP}) AS compared,
   greatest(0, least(bs.p - {(OVERLAP - len(MASKS[0])) // 2}, len(bs.w) - least(len(bs.w), {OVERLAP}))) AS s FROM ds JOIN bs USING (mask, seed)),
 v AS (SELECT doc_id, item_id, compared, len(list_filter(range(s, s + compared), lambda i: i + shift >= 0 AND dw[i + shift + 1] = bw[i + 1])) AS matched FROM hits)

@@ -40,7 +40,9 @@ def features_of(token: str) -> list[str]:
     return [marked, *(marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1) if n < len(marked))]
 
 
-_features = lru_cache(maxsize=100_000)(features_of)
+@lru_cache(maxsize=100_000)
+def _features(token: str) -> tuple[str, ...]:
+    return tuple(features_of(token))
 
 
 class Seen:
