@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from breakwater.llm import decontaminate, langid, licenses, neardup_vectors, packing, simhash, toxicity, warc
+from breakwater.llm import decontaminate, html_text, langid, licenses, lm_score, neardup_vectors, packing, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -28,6 +33,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.split_and_identify(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_score.lm_scores(table(spark, sf_dir, "documents"))
+    return found.withColumn("log10_score", F.round("log10_score", 4)).withColumn("mean_log10", F.round("mean_log10", 6))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,9 +56,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_main_text": op2_main_text,
     "op3_near_vectors": op3_near_vectors,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
+    "op6_lm_scores": op6_lm_scores,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op9_licenses": op9_licenses,
@@ -57,5 +69,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontaminate.oracle_sql(),
+    "op6_lm_scores": lm_score.oracle_sql(),
     "op9_licenses": licenses.oracle_sql(),
 }
