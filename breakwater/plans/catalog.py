@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from breakwater.operators import contrasts, preprocessing
+
+FAMILIES = [*preprocessing.FAMILIES, *contrasts.FAMILIES]
+
+QUERIES: dict = {f.name: f.query for f in FAMILIES}
+ORACLES: dict[str, str] = {f.name: f.oracle() for f in FAMILIES}
