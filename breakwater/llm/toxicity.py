@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from breakwater.llm.common import text_and_id, write_table
 
 #: Labelled documents to learn from, about; features of each category; folds; least documents and least chi-square of a feature.
-SAMPLE, FEATURES, FOLDS, LEAST, LEAST_CHI = 10_000, 2048, 3, 5, 25
+SAMPLE, FEATURES, FOLDS, LEAST, LEAST_CHI = 8_000, 512, 3, 5, 25
 #: Ridge penalty of the linear models, and the probability from which a document is rejected.
 RIDGE, REJECT = 0.1, 0.25
 #: Character n-grams inside a word with its two ends marked.
@@ -64,40 +64,40 @@ class Seen:
         return sorted(found)
 
 
-def _dot(flat: np.ndarray, sizes: np.ndarray, v: np.ndarray) -> np.ndarray:
-    ends = np.concatenate([[0.0], np.cumsum(v[flat])])
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    return ends[at[1:]] - ends[at[:-1]]
+def matrix(rows: list[list[int]], n_features: int) -> np.ndarray:
+    """Documents by features, 0 or 1."""
+    x = np.zeros((len(rows), n_features), np.float32)
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    return x
 
 
-def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n_features: int, ridge: float = RIDGE) -> np.ndarray:
-    """Ridge logistic regression on binary features, dense ``extra`` columns and an intercept.
+def fit_linear(x: np.ndarray, extra: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Ridge logistic regression on features ``x``, ``extra`` columns and an intercept.
 
     Newton steps, each solved by conjugate gradients. Returns the weights of the features,
     the extra columns and the intercept (not penalised).
     """
-    sizes = np.array([len(r) for r in rows], np.int64)
-    flat = np.concatenate(rows).astype(np.int64) if len(rows) else np.empty(0, np.int64)
-    dense = np.hstack([extra, np.ones((len(y), 1))])
-    penalty = np.r_[np.full(n_features + extra.shape[1], ridge), 1e-6]
-    forward = lambda v: _dot(flat, sizes, v[:n_features]) + dense @ v[n_features:]
-    back = lambda r: np.r_[np.bincount(flat, np.repeat(r, sizes), n_features), dense.T @ r]
-    w = np.zeros(n_features + dense.shape[1])
+    x = np.hstack([x, extra.astype(np.float32), np.ones((len(y), 1), np.float32)])
+    penalty = np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
+    w = np.zeros(x.shape[1])
     share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
     w[-1] = math.log(share / (1 - share))
+    times = lambda v: (x @ v.astype(np.float32)).astype(float)
+    back = lambda r: (r.astype(np.float32) @ x).astype(float)
     for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(forward(w), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
         gradient = back(y - p) - penalty * w
-        if np.abs(gradient).max() < 1e-3:
+        if np.abs(gradient).max() < 1e-2:
             break
         h = p * (1 - p) + 1e-9
         step, r = np.zeros_like(w), gradient.copy()
         d, rr = r.copy(), r @ r
-        for _ in range(25):
-            hd = back(h * forward(d)) + penalty * d
+        for _ in range(20):
+            hd = back(h * times(d)) + penalty * d
             a = rr / (d @ hd)
             step, r = step + a * d, r - a * hd
-            if (new := r @ r) < 1e-8 * (1 + gradient @ gradient):
+            if (new := r @ r) < 1e-6 * (1e-3 + gradient @ gradient):
                 break
             d, rr = r + (new / rr) * d, new
         w = w + step
@@ -166,20 +166,19 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
 
     got = rows.mapInArrow(find, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, found array<int>" + "".join(f", {y} int" for y in ys)).toPandas()
     got = got.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    x = [np.array(f, np.int64) for f in got["found"]]
+    x = matrix(got["found"].tolist(), len(chosen))
     fold = np.arange(len(x)) % FOLDS
     earlier, weights = np.empty((len(x), 0)), []
     for k, y in enumerate(ys):
         target = got[y].to_numpy(float)
-        weights.append(fit_linear(x, earlier, target, len(chosen)))
+        weights.append(fit_linear(x, earlier, target))
         if k + 1 < len(ys):
             out = np.zeros(len(x))
             for f in range(FOLDS):
-                rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                w = fit_linear([x[i] for i in rest], earlier[rest], target[rest], len(chosen))
-                for i in own:
-                    z = w[x[i]].sum() + earlier[i] @ w[len(chosen) : -1] + w[-1]
-                    out[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+                rest, own = fold != f, fold == f
+                w = fit_linear(x[rest], earlier[rest], target[rest])
+                z = x[own] @ w[: len(chosen)] + earlier[own] @ w[len(chosen) : -1] + w[-1]
+                out[own] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             earlier = np.hstack([earlier, out[:, None]])
     return Chain(names, chosen, weights)
 
