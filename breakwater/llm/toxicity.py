@@ -18,7 +18,7 @@ from breakwater.llm.common import text_and_id, write_table
 #: Labelled documents to learn from, about; features of each category; folds; least documents and least chi-square of a feature.
 SAMPLE, FEATURES, FOLDS, LEAST, LEAST_CHI = 8_000, 512, 3, 5, 25
 #: Ridge penalty of the linear models, and the probability from which a document is rejected.
-RIDGE, REJECT = 0.1, 0.25
+RIDGE, REJECT = 0.02, 0.1
 #: Character n-grams inside a word with its two ends marked.
 SHORTEST, LONGEST = 3, 5
 #: Words whose features a worker remembers.
