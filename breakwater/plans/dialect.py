@@ -13,7 +13,8 @@ MACROS = {
     # name: (Spark, DuckDB)
     "PCT": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
     "DIV": ("try_divide(CAST({0} AS DOUBLE), CAST({1} AS DOUBLE))", "(CAST({0} AS DOUBLE) / nullif(CAST({1} AS DOUBLE), 0))"),
-    "R": ("CASE WHEN round({0}, 4) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(round({0}, 4) AS DOUBLE) END",) * 2,
+    # Rounded to 4 decimals, never -0; shifted a little, as the engines differ on decimal ties.
+    "R": ("CASE WHEN round({0} + 1e-9, 4) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(round({0} + 1e-9, 4) AS DOUBLE) END",) * 2,
     "MINBY": ("min_by({0}, {1})", "arg_min({0}, {1})"),
     "MAXBY": ("max_by({0}, {1})", "arg_max({0}, {1})"),
     "BIG": ("CAST({0} AS BIGINT)",) * 2,
