@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from breakwater.operators import contrasts, distances, preprocessing, tails
+from breakwater.operators import contrasts, distances, dynamics, matrix, preprocessing, tails
 
-FAMILIES = [*preprocessing.FAMILIES, *contrasts.FAMILIES, *distances.FAMILIES, *tails.FAMILIES]
+FAMILIES = [*preprocessing.FAMILIES, *contrasts.FAMILIES, *distances.FAMILIES, *tails.FAMILIES, *dynamics.FAMILIES, *matrix.FAMILIES]
 
 QUERIES: dict = {f.name: f.query for f in FAMILIES}
 ORACLES: dict[str, str] = {f.name: f.oracle() for f in FAMILIES}
