@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from breakwater.functions.arrays import FUNCTIONS, per_series
 from breakwater.operators import contrasts, distances, dynamics, matrix, preprocessing, tails
+from breakwater.sources import series
 
 FAMILIES = [*preprocessing.FAMILIES, *contrasts.FAMILIES, *distances.FAMILIES, *tails.FAMILIES, *dynamics.FAMILIES, *matrix.FAMILIES]
 
 QUERIES: dict = {f.name: f.query for f in FAMILIES}
 ORACLES: dict[str, str] = {f.name: f.oracle() for f in FAMILIES}
+
+
+def _array_query(function, windows):
+    return lambda spark, sf_dir: per_series(series.segments(spark, sf_dir), function, windows)
+
+
+_SCOPED = ("spectral", "compression", "test_pvalues", "wavelet")
+for _name, _function in FUNCTIONS.items():
+    QUERIES[_name] = _array_query(_function, (50, 100, 250, None) if _name in _SCOPED else (None,))
