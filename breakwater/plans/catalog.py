@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from breakwater.functions.arrays import FUNCTIONS, per_series
-from breakwater.operators import contrasts, distances, dynamics, matrix, preprocessing, tails
+from breakwater.operators import contrasts, distances, dynamics, learning, matrix, preprocessing, tails
+from breakwater.plans import engine
 from breakwater.sources import series
 
 FAMILIES = [*preprocessing.FAMILIES, *contrasts.FAMILIES, *distances.FAMILIES, *tails.FAMILIES, *dynamics.FAMILIES, *matrix.FAMILIES]
@@ -19,3 +20,4 @@ def _array_query(function, windows):
 _SCOPED = ("spectral", "compression", "test_pvalues", "wavelet")
 for _name, _function in FUNCTIONS.items():
     QUERIES[_name] = _array_query(_function, (50, 100, 250, None) if _name in _SCOPED else (None,))
+QUERIES |= learning.QUERIES | engine.QUERIES

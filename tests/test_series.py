@@ -170,3 +170,37 @@ def test_probabilities_agree_with_known_values():
 def test_lz76_counts_phrases():
     assert arrays.lz76(np.array([1.0] * 16)) == 2
     assert arrays.lz76(RNG.normal(size=200)) > 10
+
+
+def test_engine_scores_breaks_above_others(spark):
+    from breakwater.plans import engine
+
+    rng = np.random.default_rng(3)
+    frames = [table(spark, rng.normal(0, 1, 40), rng.normal(3 * (k % 2), 1 + k % 2, 40), k) for k in range(6)]
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.union(f)
+    got = {r.id: r.score for r in engine.infer(rows, families=("quantile_deltas", "wasserstein")).collect()}
+    assert min(got[k] for k in (1, 3, 5)) > max(got[k] for k in (0, 2, 4)) and all(0 <= s <= 1 for s in got.values())
+
+
+def test_folds_are_stratified_and_scores_probabilities(spark):
+    from breakwater.operators import learning
+
+    df = learning.folded(learning.matrix_of(spark, SF, 4))
+    sizes = {(r.y, r.fold): r["count"] for r in df.groupBy("y", "fold").count().collect()}
+    for y in (0.0, 1.0):
+        n = [sizes[(y, k)] for k in range(learning.FOLDS)]
+        assert max(n) - min(n) <= 1
+    got = learning.out_of_fold(df.cache(), learning.logistic).collect()
+    assert len(got) == df.count() and all(0 <= r.score <= 1 for r in got)
+
+
+def test_loader_round_trip(spark, tmp_path):
+    table(spark, [1, 2], [3]).write.parquet(str(tmp_path / "X_test.reduced.parquet"))
+    x, y = series.load_split(spark, str(tmp_path), "test")
+    assert x.count() == 3 and y is None
+    series.save_predictions(spark.createDataFrame([(1, 0.5)], "id long, score double"), str(tmp_path / "out"))
+    assert series.read_series(spark, str(tmp_path / "out")).columns == ["id", "prediction"]
+    with pytest.raises(FileNotFoundError):
+        series.load_split(spark, str(tmp_path), "train")
