@@ -118,6 +118,20 @@ def test_keep_one(spark):
     assert Counter(r.doc_id for r in kept.collect()) == {0: 1, 3: 1, 4: 1, None: 1}
 
 
+def test_similar_documents_share_a_component(spark):
+    rng = random.Random(5)
+    base = [words(rng, 120) for _ in range(25)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        w = list(b)
+        for at in (20, 70):
+            w[at] = "other"
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(docs(spark, texts, ODD)).collect()}
+    assert sum(got[i + 25] == i for i in range(25)) >= 24 and all(got[i] == i for i in range(25))
+    assert simhash.similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

