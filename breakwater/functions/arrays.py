@@ -333,9 +333,100 @@ def kalman(x0: np.ndarray, x1: np.ndarray) -> dict[str, float]:
     return out
 
 
+def _ar1(x: np.ndarray) -> tuple[float, float, float]:
+    """Yule-Walker coefficient, residual variance and one-step error of a segment."""
+    centred = x - x.mean()
+    g0 = float(x.var(ddof=1))
+    if g0 < 1e-10:
+        return 0.0, g0, _one_step(x, 0.0)[0]
+    phi = float((centred[1:] * centred[:-1]).mean() / g0)
+    return phi, max(0.0, g0 * (1 - phi * phi)), _one_step(x, phi)[0]
+
+
+def _one_step(x: np.ndarray, phi: float) -> tuple[float, float]:
+    error = x[1:] - phi * x[:-1]
+    return float(np.sqrt((error**2).mean())), float(error.var(ddof=1)) if len(error) > 1 else NAN
+
+
+def _moments(x: np.ndarray) -> tuple[float, float]:
+    """Process and observation variance from the spread of values and of steps."""
+    r = float(np.diff(x).var(ddof=1)) / 2
+    return max(float(x.var(ddof=1)) - r, r / 10), r
+
+
+def ar_kalman(x0: np.ndarray, x1: np.ndarray) -> dict[str, float]:
+    """Autoregression and a local-level filter with estimated noise, before, after and across, and by window.
+
+    Not defined for a segment below three points or a constant first segment.
+    """
+
+    def prepared(a: np.ndarray, b: np.ndarray, clip: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        if min(len(a), len(b)) < 3:
+            return None
+        if clip:
+            low, high = np.quantile(a, [0.01, 0.99])
+            a, b = np.clip(a, low, high), np.clip(b, low, high)
+        sd = a.std(ddof=1)
+        return None if sd < 1e-8 else ((a - a.mean()) / sd, (b - a.mean()) / sd)
+
+    log = lambda a, b: math.log(b / a) if min(a, b) > 1e-10 else 0.0
+    out: dict[str, float] = {}
+    full = prepared(x0, x1, True)
+    pre = post = (NAN,) * 3
+    cross, filtered = (NAN, NAN), [NAN] * 5
+    if full:
+        a, b = full
+        pre, post, cross = _ar1(a), _ar1(b), _one_step(b, _ar1(a)[0])
+        noise = [_moments(x) for x in full]
+        if noise[0][1] > 0 and noise[1][1] > 0 and min(len(a), len(b)) > 3:
+            e, own, over = innovations(a, *noise[0]), innovations(b, *noise[1]), innovations(b, *noise[0])
+            v, w = float(e.var(ddof=1)), float(own.var(ddof=1))
+            filtered = [v, w, log(v, w), float(np.sqrt((e**2).mean())), float(np.sqrt((over**2).mean()))]
+    out |= {"ar1_phi_pre": pre[0], "ar1_phi_post": post[0], "delta_ar1_phi": abs(post[0] - pre[0]), "ar1_resid_var_pre": pre[1], "ar1_resid_var_post": post[1], "log_resid_var_ratio": log(pre[1], post[1]) if full else NAN}
+    out |= {"ar1_rmse_pre": pre[2], "ar1_rmse_post": post[2], "delta_ar1_rmse": abs(post[2] - pre[2]), "rmse_post_pred_by_pre": cross[0], "resid_var_post_pred_by_pre": cross[1]}
+    out |= dict(zip(("kalman_innov_var_pre", "kalman_innov_var_post", "log_kalman_innov_ratio", "kalman_rmse_pre", "kalman_rmse_post_pred_by_pre"), filtered))
+    for w in (25, 50, 100):
+        near = prepared(x0[-w:], x1[:w], False)
+        p, q, c = (_ar1(near[0]), _ar1(near[1]), _one_step(near[1], _ar1(near[0])[0])[0]) if near else ((NAN,) * 3, (NAN,) * 3, NAN)
+        out |= {f"ar1_phi_pre_w{w}": p[0], f"ar1_phi_post_w{w}": q[0], f"delta_ar1_phi_w{w}": abs(q[0] - p[0]), f"ar1_rmse_pre_w{w}": p[2], f"rmse_post_pred_by_pre_w{w}": c, f"delta_ar1_rmse_w{w}": abs(q[2] - p[2])}
+    return out
+
+
 # Probabilities of the two-sample tests.
 
 
+def cvm_tail(t: float) -> float:
+    """Upper tail of the limiting Cramér-von Mises distribution, by inverting its characteristic function.
+
+    The squared statistic is a weighted sum of chi-squares with weights 1 / (k pi)^2, so
+    P(T > t) = 1/2 + 1/pi * integral of sin(theta(u)) / (u rho(u)).
+    """
+    u = (np.arange(4000) + 0.5) * 0.05
+    weight = 1 / (math.pi * np.arange(1, 400)) ** 2
+    turn = 0.5 * np.arctan(np.outer(u, weight)).sum(axis=1) - 0.5 * t * u
+    size = np.exp(0.25 * np.log1p(np.outer(u, weight) ** 2).sum(axis=1))
+    return float(min(1.0, max(0.0, 0.5 + (np.sin(turn) / (u * size)).sum() * 0.05 / math.pi)))
+
+
+def _limit(t: float, n: int, m: int) -> float:
+    """The statistic brought to the limit's mean 1/6 and variance 1/45."""
+    total = n + m
+    mean = (1 + 1 / total) / 6
+    spread = (total + 1) * (4 * n * m * total - 3 * (n * n + m * m) - 2 * n * m) / (45 * total**2 * 4 * n * m)
+    return 1 / 6 + (t - mean) / math.sqrt(45 * spread)
+
+
+def cvm_statistic(x0: np.ndarray, x1: np.ndarray) -> float:
+    """Two-sample statistic with mid-ranks."""
+    n, m = len(x0), len(x1)
+    both = np.sort(np.concatenate([x0, x1]))
+    total = 0.0
+    for x, size in ((np.sort(x0), n), (np.sort(x1), m)):
+        rank = (np.searchsorted(both, x, "left") + np.searchsorted(both, x, "right") + 1) / 2
+        total += size * ((rank - np.arange(1, size + 1)) ** 2).sum()
+    return float(total / (n * m * (n + m)) - (4 * n * m - 1) / (6 * (n + m)))
+
+
 def normal_tail(z: float) -> float:
     """Two-sided."""
     return math.erfc(abs(z) / math.sqrt(2))
@@ -375,8 +466,8 @@ def f_share(f: float, n: float, m: float) -> float:
 
 
 def test_probabilities(x0: np.ndarray, x1: np.ndarray) -> dict[str, float]:
-    """p-values of the variance ratio, Levene, Kolmogorov-Smirnov, rank-sum and Mood tests."""
-    names = ("f_test_p", "levene_p", "ks_p", "wilcoxon_pval", "mood_pval")
+    """p-values of the variance ratio, Levene, Kolmogorov-Smirnov, rank-sum, Mood and Cramér-von Mises tests."""
+    names = ("f_test_p", "levene_p", "ks_p", "wilcoxon_pval", "mood_pval", "cvm_pval")
     n, m = len(x0), len(x1)
     if min(n, m) < 3:
         return dict.fromkeys(names, NAN)
@@ -393,7 +484,7 @@ def test_probabilities(x0: np.ndarray, x1: np.ndarray) -> dict[str, float]:
     gap = np.abs(np.searchsorted(np.sort(x0), ordered, "right") / n - np.searchsorted(np.sort(x1), ordered, "right") / m).max()
     w = (rank[:n].sum() - n * (total + 1) / 2) / math.sqrt(n * m * (total + 1) / 12)
     mood = (((rank[:n] - (total + 1) / 2) ** 2).sum() - n * (total**2 - 1) / 12) / math.sqrt(n * m * (total + 1) * (total + 2) * (total - 2) / 180)
-    values = (2 * min(share, 1 - share), 1 - f_share(levene, 1, total - 2), kolmogorov(float(gap), n, m), normal_tail(w), normal_tail(mood))
+    values = (2 * min(share, 1 - share), 1 - f_share(levene, 1, total - 2), kolmogorov(float(gap), n, m), normal_tail(w), normal_tail(mood), cvm_tail(_limit(cvm_statistic(x0, x1), n, m)))
     return dict(zip(names, map(float, values)))
 
 
@@ -431,6 +522,7 @@ FUNCTIONS: dict[str, Callable[[np.ndarray, np.ndarray], dict[str, float]]] = {
     "pelt": change_points,
     "transform_ewma": smoothed,
     "kalman_local_level": kalman,
+    "ar_kalman_estimated": ar_kalman,
     "test_pvalues": test_probabilities,
     "autoencoder_substitute": reconstruction,
 }

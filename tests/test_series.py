@@ -165,6 +165,7 @@ def test_probabilities_agree_with_known_values():
     assert arrays.f_share(1.0, 5, 5) == pytest.approx(0.5)
     assert arrays.normal_tail(1.959963985) == pytest.approx(0.05)
     assert arrays.kolmogorov(0.0, 10, 10) == 1.0
+    assert arrays.cvm_tail(0.46136) == pytest.approx(0.05, abs=2e-3) and arrays.cvm_tail(0.74346) == pytest.approx(0.01, abs=2e-3)
 
 
 def test_lz76_counts_phrases():
