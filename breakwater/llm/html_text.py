@@ -35,6 +35,8 @@ NOT_TEXT = frozenset("nav footer aside form menu dialog button select head title
 CHROME = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side aside widget widgets footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies search pagination pager copyright legal disclaimer skip".split()
 )
+#: Words of wrappers that are named after what stands in them (such as "with-sidebar").
+AROUND = frozenset("with has no".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MAIN = frozenset("article main content articlebody entry post story".split())
 
@@ -43,7 +45,7 @@ _TOKEN = re.compile(
     r"(</?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/a-zA-Z][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"(?:^|(?<=[\s\"']))(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: A new element of the first kind ends an open one of these.
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -61,7 +63,7 @@ def _kind(name: str, attributes: str) -> tuple[str, bool, bool]:
                 main |= value in ("main", "article")
             elif key in ("class", "id"):
                 signature += f".{value}" if not re.search(r"\d", value) else ""
-                chrome |= bool(words & CHROME) and name not in ("body", "html", "main", "article")
+                chrome |= bool(words & CHROME) and not words & AROUND and name not in ("body", "html", "main", "article")
                 main |= bool(words & MAIN) and name in ("div", "section", "td")
             elif key == "itemprop":
                 main |= value == "articlebody"
