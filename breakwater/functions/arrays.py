@@ -139,6 +139,16 @@ def wavelet(x0: np.ndarray, x1: np.ndarray) -> dict[str, float]:
     return out | {f"delta_wav_energy_l{i + 1}": float(side[1]["e"][i] - side[0]["e"][i]) for i in range(3)}
 
 
+def haar(x0: np.ndarray, x1: np.ndarray, levels: int = 5) -> dict[str, float]:
+    """Shares of detail energy of the finest two-point levels, and their changes; zeros where a level is missing."""
+    sides = []
+    for x in standardized(x0, x1):
+        e = np.array([(d**2).sum() for d in haar_details(x)[1][:levels]])
+        sides.append(np.pad(e / (e.sum() + 1e-12), (0, levels - len(e))))
+    out = {f"haar_share_l{i + 1}_{s}": float(sides[k][i]) for i in range(levels) for k, s in ((0, "pre"), (1, "post"))}
+    return out | {f"delta_haar_share_l{i + 1}": float(sides[1][i] - sides[0][i]) for i in range(levels)}
+
+
 def wavelet_levels(x0: np.ndarray, x1: np.ndarray) -> dict[str, float]:
     """Energy, spread, size and entropy of each level (a, then d1 the coarsest) as ratio, difference and change."""
     sides = []
@@ -333,6 +343,13 @@ def kalman(x0: np.ndarray, x1: np.ndarray) -> dict[str, float]:
     return out
 
 
+def kalman_grid(x0: np.ndarray, x1: np.ndarray) -> dict[str, float]:
+    """The process variance that each segment by itself would choose, and its innovation variance."""
+    a, b = clipped(x0, x1) if len(x0) >= 3 else (x0, x1)
+    fits = [_fitted(x) if len(x) >= 3 else (NAN, NAN) for x in (a, b)]
+    return {f"kf_{k}_{s}": fits[i][j] for j, k in enumerate(("grid_process_var", "grid_innov_var")) for i, s in ((0, "pre"), (1, "post"))}
+
+
 def _ar1(x: np.ndarray) -> tuple[float, float, float]:
     """Yule-Walker coefficient, residual variance and one-step error of a segment."""
     centred = x - x.mean()
@@ -518,10 +535,12 @@ FUNCTIONS: dict[str, Callable[[np.ndarray, np.ndarray], dict[str, float]]] = {
     "spectral_advanced": spectral_distance,
     "wavelet": wavelet,
     "wavelet_levels": wavelet_levels,
+    "haar_dwt": haar,
     "compression": compression,
     "pelt": change_points,
     "transform_ewma": smoothed,
     "kalman_local_level": kalman,
+    "kalman_grid": kalman_grid,
     "ar_kalman_estimated": ar_kalman,
     "test_pvalues": test_probabilities,
     "autoencoder_substitute": reconstruction,
