@@ -189,19 +189,23 @@ def long_fingerprint(text: str | None) -> np.ndarray:
 
 
 def _candidates(fp: np.ndarray, key: np.ndarray, flips: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Pairs of owners (2 x n) whose blocks collide in some variant: each with its run's first and its neighbour."""
+    """Pairs of owners (2 x n) whose blocks collide in some variant: each with the smallest owner there.
+
+    In a dense group the smallest owners are the same in most variants, so pairs stay few;
+    two similar owners collide in tens of variants, so a dissimilar third seldom hides them.
+    """
     one, low = np.uint64(1), np.uint64(BLOCK_BITS - BLOCK_KEY)
     moved = (fp & ((one << low) - one)) | (key << low)
     rest = one << np.arange(BLOCK_BITS - BLOCK_KEY, dtype=np.uint64)
     home, near = flips == 0, flips <= 1
     variants = np.concatenate([moved[near], (moved[home][:, None] ^ rest).ravel()])
     owners = np.concatenate([owner[near], np.repeat(owner[home], len(rest))])
-    order = np.argsort(variants, kind="stable")
+    order = np.lexsort((owners, variants))
     variants, owners = variants[order], owners[order]
     same = np.flatnonzero(variants[1:] == variants[:-1])
     first = np.flatnonzero(np.concatenate([[True], variants[1:] != variants[:-1]])) if len(variants) else np.empty(0, np.int64)
     head = owners[first[np.searchsorted(first, same, "right") - 1]]
-    pairs = [np.stack([owners[same + 1], owners[same]]), np.stack([owners[same + 1], head])]
+    pairs = [np.stack([owners[same + 1], head])]
     table, table_owner = variants[first], owners[first]
     odd = (np.bitwise_count(fp) & 1).astype(bool)
     i, j = np.triu_indices(len(rest), 1)
