@@ -260,6 +260,18 @@ def similar_links(classes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(apart <= LONG_RADIUS).select("a", "b")
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Links that connect the same: each of few partitions keeps a spanning forest of its own, so dense groups stay linear."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(2)] for b in batches]
+        if got:
+            a, b = _forest(*(np.concatenate(x) for x in zip(*got)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return links.repartition(max(1, parts(links.sparkSession) // 8)).mapInArrow(run, "a long, b long")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id, root`` of each row: components of short and long fingerprints' links together.
 
@@ -283,7 +295,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = classes.join(heads, "fp").select(F.col("node").alias("a"), F.col("head").alias("b"))
     short = fingerprint_links(heads.select("fp"))
     short = short.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    roots, _ = connected_components(same.union(short).union(similar_links(classes)))
+    roots, _ = connected_components(same.union(short).union(thinned(similar_links(classes))))
     named = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return table.select("doc_id", "node").join(named.select("node", "root").join(smallest, "root"), "node").select("doc_id", "component_id", "root")
