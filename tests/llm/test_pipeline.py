@@ -23,7 +23,7 @@ def test_stages(spark):
     before, after = (x.collect() for x in seen["near_duplicates"])
     fps = {r.doc_id: fingerprint(r.text) for r in before}
     long = {r.doc_id: simhash.long_fingerprint(r.text) for r in before}
-    apart = lambda a, b: int(np.bitwise_count(long[a] ^ long[b]).sum())
+    apart = lambda a, b: int(np.bitwise_count((long[a] ^ long[b]).view(np.uint64)).sum())
     link = roots(fps, [(a, b) for a in fps for b in fps if a < b and (bin(fps[a] ^ fps[b]).count("1") <= simhash.RADIUS or apart(a, b) <= simhash.LONG_RADIUS)])
     want, kept = {d for d in fps if link[d] == d}, [r.doc_id for r in after]
     assert len(kept) == len(set(kept)) and want <= set(kept) and len(set(kept) - want) <= 2
