@@ -161,10 +161,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return table.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
-#: Long fingerprints: words of a shingle, 64-bit words, bits of a block, key bits of a block, and the
+#: Long fingerprints: words of a shingle, 64-bit words, bits of a block, and the
 #: most bits in which similar documents differ. A five-word Jaccard similarity of 0.8 (cosine 0.89)
 #: leaves 48 of 320 bits apart, give or take 6; one of 0.6 leaves 74.
-LONG_SHINGLE, LONG_WORDS, BLOCK_BITS, BLOCK_KEY, LONG_RADIUS = 5, 5, 32, 8, 54
+LONG_SHINGLE, LONG_WORDS, BLOCK_BITS, LONG_RADIUS = 5, 5, 32, 54
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -188,76 +188,145 @@ def long_fingerprint(text: str | None) -> np.ndarray:
     return np.packbits(ones * 2 > n, bitorder="little").view(np.int64)
 
 
-def _candidates(fp: np.ndarray, key: np.ndarray, flips: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Pairs of owners (2 x n) whose blocks collide in some variant: each with the smallest owner there.
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The integers of each range low..high, with the number of their range."""
+    n = np.maximum(high - low, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
 
-    In a dense group the smallest owners are the same in most variants, so pairs stay few;
-    two similar owners collide in tens of variants, so a dissimilar third seldom hides them.
-    """
-    one, low = np.uint64(1), np.uint64(BLOCK_BITS - BLOCK_KEY)
-    moved = (fp & ((one << low) - one)) | (key << low)
-    rest = one << np.arange(BLOCK_BITS - BLOCK_KEY, dtype=np.uint64)
-    home, near = flips == 0, flips <= 1
-    variants = np.concatenate([moved[near], (moved[home][:, None] ^ rest).ravel()])
-    owners = np.concatenate([owner[near], np.repeat(owner[home], len(rest))])
-    order = np.lexsort((owners, variants))
+
+def _chunks(sizes: np.ndarray, most: int = 1_000_000) -> Iterator[slice]:
+    """Slices of consecutive ranges that together hold about ``most`` integers."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield slice(at, end)
+        at = end
+
+
+def _near_values(values: np.ndarray, byte: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places u < v in the distinct 32-bit ``values`` that agree in a byte and differ in one to three bits."""
+    one = np.uint32(1)
+    rest = one << np.array([i for i in range(BLOCK_BITS) if i // 8 != byte], np.uint32)
+    place = np.arange(len(values))
+    variants = np.concatenate([values, (values[:, None] ^ rest).ravel()])
+    owners = np.concatenate([place, np.repeat(place, len(rest))])
+    order = np.argsort(variants, kind="stable")
     variants, owners = variants[order], owners[order]
-    same = np.flatnonzero(variants[1:] == variants[:-1])
-    first = np.flatnonzero(np.concatenate([[True], variants[1:] != variants[:-1]])) if len(variants) else np.empty(0, np.int64)
-    head = owners[first[np.searchsorted(first, same, "right") - 1]]
-    pairs = [np.stack([owners[same + 1], head])]
-    table, table_owner = variants[first], owners[first]
-    odd = (np.bitwise_count(fp) & 1).astype(bool)
+    pairs = []
+    for apart in range(1, len(rest) + 1):  # a variant has at most as many owners as bits, and one
+        same = np.flatnonzero(variants[apart:] == variants[:-apart])
+        if not len(same):
+            break
+        pairs.append(np.stack([owners[same], owners[same + apart]]))
+    mix, shift = np.uint32(0x9E3779B1), np.uint32(10)
+    known = np.zeros(1 << 22, bool)
+    known[(variants * mix) >> shift] = True
     i, j = np.triu_indices(len(rest), 1)
-    for flipped, masks in ((2, np.zeros(1, np.uint64)), (1, rest), (0, rest[i] | rest[j])):
-        pick = np.flatnonzero(odd & (flips == flipped))
-        for s in range(0, len(pick), max(1, 1_000_000 // len(masks))):
-            p = pick[s : s + max(1, 1_000_000 // len(masks))]
-            v = (moved[p][:, None] ^ masks).ravel()
-            at = np.minimum(np.searchsorted(table, v), len(table) - 1)
-            hit = np.flatnonzero(table[at] == v)
-            pairs.append(np.stack([owner[p][hit // len(masks)], table_owner[at[hit]]]))
-    a, b = np.concatenate(pairs, axis=1)
-    both = np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b]
-    return np.unique(both, axis=1)
+    two = rest[i] | rest[j]
+    odd = np.flatnonzero(np.bitwise_count(values) & 1)
+    for s in range(0, len(odd), 4_000):
+        p = odd[s : s + 4_000]
+        v = (values[p][:, None] ^ two).ravel()
+        hit = np.flatnonzero(known[(v * mix) >> shift])
+        v = v[hit]
+        row, at = _ranges(np.searchsorted(variants, v), np.searchsorted(variants, v, "right"))
+        pairs.append(np.stack([p[hit[row] // len(two)], owners[at]]))
+    a, b = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+    got = np.unique(np.minimum(a, b)[a != b] * len(values) + np.maximum(a, b)[a != b])
+    return got // max(1, len(values)), got % max(1, len(values))
+
+
+def _similar(node: np.ndarray, words: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What all pairs of one task's rows connect that share a slot and differ in at most LONG_RADIUS bits, as (node, its root).
+
+    Of every two nodes whose blocks differ in at most three bits all are compared, except
+    those that links already found connect; so a dense group costs about its size, and no
+    node is hidden behind another.
+    """
+    ids, where = np.unique(node, return_inverse=True)
+    full = np.empty((len(ids), LONG_WORDS), np.uint64)
+    full[where] = words
+    up = list(range(len(ids)))
+    root = np.arange(len(ids))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal root
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
+        near = np.bitwise_count(full[a] ^ full[b]).sum(axis=1, dtype=np.int64) <= LONG_RADIUS
+        if near.any():
+            for x, y in zip(a[near].tolist(), b[near].tolist()):
+                x, y = find(x), find(y)
+                up[max(x, y)] = min(x, y)
+            root = np.array(up)
+            while (root[root] != root).any():
+                root = root[root]
+
+    for k in np.unique(slot):
+        own = np.unique(where[slot == k])
+        word, half = divmod(int(k) // 4, 2)
+        block = (full[own, word] >> np.uint64(32 * half)).astype(np.uint32)
+        values, of = np.unique(block, return_inverse=True)
+        u, v = _near_values(values, int(k) % 4)
+        each = np.arange(len(values))
+        u, v = np.concatenate([each, u]), np.concatenate([each, v])
+        start = np.searchsorted(of, each, sorter=(order := np.argsort(of, kind="stable")))
+        end = np.append(start[1:], len(own))
+        members = own[order]
+        for x, y in ((u, v), (v, u)):  # the first node of one value with all of the other
+            for part in _chunks(end[y] - start[y]):
+                row, at = _ranges(start[y[part]], end[y[part]])
+                compare(members[start[x[part]]][row], members[at])
+        many = np.minimum(end[u] - start[u], end[v] - start[v]) > 1
+        u, v = u[many], v[many]
+        key = of[order] * len(ids) + root[members]
+        order = np.argsort(key, kind="stable")
+        members, key = members[order], key[order]
+        for part in _chunks(end[u] - start[u]):
+            row, at = _ranges(start[u[part]], end[u[part]])
+            x, y, twin = members[at], v[part][row], u[part][row] == v[part][row]
+            joined = y * len(ids) + key[at] % len(ids)
+            low, high = np.searchsorted(key, joined), np.searchsorted(key, joined, "right")
+            # All of the other value, without those connected before; equal values once.
+            for lo, hi in ((np.where(twin, end[y], start[y]), np.where(twin, end[y], low)), (high, end[y])):
+                for some in _chunks(np.maximum(hi - lo, 0)):
+                    row, at = _ranges(lo[some], hi[some])
+                    compare(x[some][row], members[at])
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]]
 
 
 def similar_links(classes: DataFrame) -> DataFrame:
-    """``a, b``: pairs of classes ``node, w0..w4`` that collide in a block and differ in at most LONG_RADIUS bits.
+    """``a, b``: links that connect what all pairs of classes ``node, w0..w4`` connect whose fingerprints
+    collide in a block and differ in at most LONG_RADIUS bits.
 
-    Each block of 32 bits is looked up by ball hashing like a short fingerprint; similar
-    documents agree to three bits in one of the ten blocks in 19 of 20 cases. Collisions are
-    only candidates here, and verified on all 320 bits.
+    Similar documents agree to three bits in one of the ten blocks of 32 bits in 19 of 20
+    cases, and then in all of one of the block's four bytes. So a class is sent, with all its
+    bits, once for each byte; the receiving task finds all pairs that differ in at most three
+    bits of the block, and verifies them on all 320 bits.
     """
     spark = classes.sparkSession
-    one = [1 << i for i in range(BLOCK_KEY)]
-    two = [x | y for k, x in enumerate(one) for y in one[:k]]
-    sends = lambda lists: F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(n).alias("flips")) for n, ms in enumerate(lists) for m in ms])
-    words = [F.col(f"w{i}") for i in range(LONG_WORDS)]
-    blocks = F.array(*[x for w in words for x in (w.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(w, 32))])
-    cut = classes.select("node", F.posexplode(blocks).alias("block", "fp"))
-    sent = (
-        cut.select("node", "block", "fp", F.explode(F.when(F.bit_count("fp") % 2 == 1, sends([[0], one, two])).otherwise(sends([[0], one]))).alias("x"))
-        .select("node", "block", "fp", F.shiftrightunsigned("fp", BLOCK_BITS - BLOCK_KEY).cast("int").bitwiseXOR(F.col("x.mask")).alias("key"), F.col("x.flips").cast("byte").alias("flips"))
-        .repartition(parts(spark), "block", "key")
-    )
+    names = [f"w{i}" for i in range(LONG_WORDS)]
+    cut = F.array(*[F.shiftrightunsigned(w, 8 * i).bitwiseAND(F.lit(255)).cast("int") for w in names for i in range(8)])
+    sent = classes.select("node", *names, F.posexplode(cut).alias("slot", "byte")).repartition(parts(spark), "slot", "byte").drop("byte")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(5)] for b in batches]
+        got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(2 + LONG_WORDS)] for b in batches]
         if not got:
             return
-        node, block, fp, key, flips = (np.concatenate(x) for x in zip(*got))
-        for k in np.unique(block):
-            own = block == k
-            a, b = _candidates(fp[own].view(np.uint64), key[own].astype(np.uint64), flips[own], node[own])
-            for at in range(0, len(a), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], ["a", "b"])
+        node, *words, slot = (np.concatenate(x) for x in zip(*got))
+        a, b = _similar(node, np.stack(words, axis=1).view(np.uint64), slot)
+        for at in range(0, len(a), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], ["a", "b"])
 
-    pairs = sent.mapInArrow(run, "a long, b long").distinct()
-    left = classes.select(F.col("node").alias("a"), *[F.col(f"w{i}").alias(f"l{i}") for i in range(LONG_WORDS)])
-    right = classes.select(F.col("node").alias("b"), *words)
-    apart = sum((F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"w{i}"))) for i in range(LONG_WORDS)), F.lit(0))
-    return pairs.join(left, "a").join(right, "b").where(apart <= LONG_RADIUS).select("a", "b")
+    return sent.mapInArrow(run, "a long, b long")
 
 
 def thinned(links: DataFrame) -> DataFrame:

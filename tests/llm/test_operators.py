@@ -132,6 +132,28 @@ def test_similar_documents_share_a_component(spark):
     assert simhash.similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_similar_pairs_are_not_hidden_by_a_third(spark):
+    # 40 pairs five bits apart in eight blocks and equal in two, where a smaller node, far from both, is equal too.
+    rng = np.random.default_rng(7)
+    first = rng.integers(0, 1 << 63, (40, 5), np.uint64)
+    near, far = first.copy(), ~first
+    near[:, 1:] ^= np.uint64(0x1F0000001F)
+    far[:, 0] = first[:, 0]
+    rows = [(i, *r) for i, r in enumerate(np.concatenate([far, first, near]).view(np.int64).tolist())]
+    links = simhash.similar_links(spark.createDataFrame(rows, "node long, w0 long, w1 long, w2 long, w3 long, w4 long")).collect()
+    assert roots(range(120), links) == {i: i - 40 if i >= 80 else i for i in range(120)}
+
+
+def test_near_values():
+    rng = np.random.default_rng(7)
+    values = np.unique(rng.integers(0, 1 << 32, 300, np.uint32) & np.uint32(0x03000F3F))
+    for byte in range(4):
+        u, v = simhash._near_values(values, byte)
+        mask = np.uint32(255 << 8 * byte)
+        pairs = {(i, j) for j in range(len(values)) for i in range(j) if not (values[i] ^ values[j]) & mask and np.bitwise_count(values[i] ^ values[j]) <= 3}
+        assert set(zip(u.tolist(), v.tolist())) == pairs
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
