@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from breakwater.llm.common import text_and_id, write_table
 
 #: Labelled documents to learn from, about; features of each category; folds; least documents and least chi-square of a feature.
-SAMPLE, FEATURES, FOLDS, LEAST, LEAST_CHI = 8_000, 512, 3, 5, 25
+SAMPLE, FEATURES, FOLDS, LEAST, LEAST_CHI = 10_000, 2048, 3, 5, 25
 #: Ridge penalty of the linear models, and the probability from which a document is rejected.
 RIDGE, REJECT = 0.02, 0.1
 #: Character n-grams inside a word with its two ends marked.
@@ -72,28 +72,30 @@ def matrix(rows: list[list[int]], n_features: int) -> np.ndarray:
     return x
 
 
-def fit_linear(x: np.ndarray, extra: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+def fit_linear(x: np.ndarray, extra: np.ndarray, y: np.ndarray, ridge: float = RIDGE, of: np.ndarray | None = None) -> np.ndarray:
     """Ridge logistic regression on features ``x``, ``extra`` columns and an intercept.
 
     Newton steps, each solved by conjugate gradients. Returns the weights of the features,
-    the extra columns and the intercept (not penalised).
+    the extra columns and the intercept (not penalised). Only rows marked in ``of`` count,
+    so that a fold needs no copy of ``x``.
     """
-    x = np.hstack([x, extra.astype(np.float32), np.ones((len(y), 1), np.float32)])
-    penalty = np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
-    w = np.zeros(x.shape[1])
-    share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
+    n, dense = x.shape[1], np.hstack([extra, np.ones((len(y), 1))])
+    of = np.ones(len(y)) if of is None else of.astype(float)
+    penalty = np.r_[np.full(n + extra.shape[1], ridge), 1e-6]
+    w = np.zeros(n + dense.shape[1])
+    share = np.clip((y @ of) / of.sum() if of.any() else 0.5, 1e-3, 1 - 1e-3)
     w[-1] = math.log(share / (1 - share))
-    times = lambda v: (x @ v.astype(np.float32)).astype(float)
-    back = lambda r: (r.astype(np.float32) @ x).astype(float)
+    times = lambda v: (x @ v[:n].astype(np.float32)).astype(float) + dense @ v[n:]
+    back = lambda r: np.r_[(r.astype(np.float32) @ x).astype(float), r @ dense]
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
-        gradient = back(y - p) - penalty * w
-        if np.abs(gradient).max() < 1e-2:
+        gradient = back(of * (y - p)) - penalty * w
+        if np.abs(gradient).max() < 1e-3:
             break
-        h = p * (1 - p) + 1e-9
+        h = of * (p * (1 - p) + 1e-9)
         step, r = np.zeros_like(w), gradient.copy()
         d, rr = r.copy(), r @ r
-        for _ in range(20):
+        for _ in range(25):
             hd = back(h * times(d)) + penalty * d
             a = rr / (d @ hd)
             step, r = step + a * d, r - a * hd
@@ -176,7 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
             out = np.zeros(len(x))
             for f in range(FOLDS):
                 rest, own = fold != f, fold == f
-                w = fit_linear(x[rest], earlier[rest], target[rest])
+                w = fit_linear(x, earlier, target, of=rest)
                 z = x[own] @ w[: len(chosen)] + earlier[own] @ w[len(chosen) : -1] + w[-1]
                 out[own] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             earlier = np.hstack([earlier, out[:, None]])

@@ -257,6 +257,20 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), chain).count() == 0
 
 
+def test_toxicity_learns_rare_words_beside_many_frequent_ones(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(8))
+    frequent, rare = [word() for _ in range(60)], [word() for _ in range(20)]
+    texts = [words(rng, 40) for _ in range(1000)]
+    for i in range(200):
+        texts[i] += rng.sample(frequent, 6) if i < 160 else [rare[(i + 5 * k) % 20] for k in range(4)]
+    texts += [words(rng, 40) + [rare[i], rare[i - 7]] for i in range(20)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 200)) for i in range(1000)], "doc_id long, quality int, toxic int")
+    found = {r.doc_id for r in toxicity.rejected(df, labels).collect()}
+    assert found == {*range(200), *range(1000, 1020)}
+
+
 # 5
 
 
