@@ -21,6 +21,8 @@ SAMPLE, FEATURES, FOLDS, LEAST, LEAST_CHI = 10_000, 2048, 3, 5, 25
 RIDGE, REJECT = 0.02, 0.1
 #: Character n-grams inside a word with its two ends marked.
 SHORTEST, LONGEST = 3, 5
+#: Rows of the matrix of features that are widened at once.
+ROWS = 500
 #: Words whose features a worker remembers.
 CACHE = 400_000
 
@@ -66,12 +68,26 @@ class Seen:
 
 def matrix(rows: list[list[int]], n_features: int) -> np.ndarray:
     """Documents by features, 0 or 1."""
-    x = np.zeros((len(rows), n_features), np.float32)
+    x = np.zeros((len(rows), n_features), np.uint8)
     for i, r in enumerate(rows):
         x[i, r] = 1
     return x
 
 
+def _times(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``x @ v`` of a 0 or 1 matrix held in bytes, by blocks of rows."""
+    v = v.astype(np.float32)
+    return np.concatenate([np.empty(0), *(x[s : s + ROWS].astype(np.float32) @ v for s in range(0, len(x), ROWS))])
+
+
+def _back(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """``r @ x`` likewise."""
+    r, out = r.astype(np.float32), np.zeros(x.shape[1])
+    for s in range(0, len(x), ROWS):
+        out += r[s : s + ROWS] @ x[s : s + ROWS].astype(np.float32)
+    return out
+
+
 def fit_linear(x: np.ndarray, extra: np.ndarray, y: np.ndarray, ridge: float = RIDGE, of: np.ndarray | None = None) -> np.ndarray:
     """Ridge logistic regression on features ``x``, ``extra`` columns and an intercept.
 
@@ -85,8 +101,8 @@ def fit_linear(x: np.ndarray, extra: np.ndarray, y: np.ndarray, ridge: float = R
     w = np.zeros(n + dense.shape[1])
     share = np.clip((y @ of) / of.sum() if of.any() else 0.5, 1e-3, 1 - 1e-3)
     w[-1] = math.log(share / (1 - share))
-    times = lambda v: (x @ v[:n].astype(np.float32)).astype(float) + dense @ v[n:]
-    back = lambda r: np.r_[(r.astype(np.float32) @ x).astype(float), r @ dense]
+    times = lambda v: _times(x, v[:n]) + dense @ v[n:]
+    back = lambda r: np.r_[_back(x, r), r @ dense]
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
         gradient = back(of * (y - p)) - penalty * w
@@ -168,7 +184,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
 
     got = rows.mapInArrow(find, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, found array<int>" + "".join(f", {y} int" for y in ys)).toPandas()
     got = got.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    x = matrix(got["found"].tolist(), len(chosen))
+    x = matrix(got.pop("found").tolist(), len(chosen))
     fold = np.arange(len(x)) % FOLDS
     earlier, weights = np.empty((len(x), 0)), []
     for k, y in enumerate(ys):
@@ -179,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
             for f in range(FOLDS):
                 rest, own = fold != f, fold == f
                 w = fit_linear(x, earlier, target, of=rest)
-                z = x[own] @ w[: len(chosen)] + earlier[own] @ w[len(chosen) : -1] + w[-1]
+                z = (_times(x, w[: len(chosen)]) + earlier @ w[len(chosen) : -1] + w[-1])[own]
                 out[own] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             earlier = np.hstack([earlier, out[:, None]])
     return Chain(names, chosen, weights)
