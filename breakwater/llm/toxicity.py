@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,19 +34,24 @@ def tokens(text: str | None) -> set[str]:
     return set(_TOKEN.findall(text.lower())) if text else set()
 
 
-def features_of(token: str) -> list[str]:
-    """The token itself with its ends marked, and for words the n-grams in that."""
-    marked = f"<{token[:80]}>"
-    if not token[0].isalpha():
-        return [marked]
-    return [marked, *(marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1) if n < len(marked))]
+def features_of(token: str) -> Iterator[str]:
+    """The token itself with its ends marked, and for words the n-grams in that; one after another, however long it is."""
+    marked = f"<{token}>"
+    yield marked
+    if token[0].isalpha():
+        yield from (marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1) if n < len(marked))
 
 
 @lru_cache(maxsize=100_000)
-def _features(token: str) -> tuple[str, ...]:
+def _remembered(token: str) -> tuple[str, ...]:
     return tuple(features_of(token))
 
 
+def _features(token: str) -> Iterable[str]:
+    """:func:`features_of`, remembered for words of usual length."""
+    return _remembered(token) if len(token) <= 80 else features_of(token)
+
+
 class Seen:
     """Maps texts to the sorted ids of the chosen features they hold."""
 

@@ -271,6 +271,13 @@ def test_toxicity_learns_rare_words_beside_many_frequent_ones(spark):
     assert found == {*range(200), *range(1000, 1020)}
 
 
+def test_toxicity_reads_long_runs_to_their_end():
+    run = "ab" * 60 + "vilefoo"
+    assert {"vile", "foo>", f"<{run}>"} <= set(toxicity.features_of(run))
+    ids = {f: i for i, f in enumerate(["vile", "zzz"])}
+    assert toxicity.Seen(ids)(f"some {run} text") == [0]
+
+
 # 5
 
 
