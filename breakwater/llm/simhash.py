@@ -88,6 +88,8 @@ def _links(fp: np.ndarray, key: np.ndarray, flips: np.ndarray) -> tuple[np.ndarr
     near = home | (flips == 1)
     variants = np.concatenate([moved[near], (moved[home][:, None] ^ rest).ravel()])
     owners = np.concatenate([fp[near], np.repeat(fp[home], len(rest))])
+    if not len(variants):  # two flips only: no variant of the smaller ball can meet them here
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     order = np.argsort(variants, kind="stable")
     variants, owners = variants[order], owners[order]
     same = variants[1:] == variants[:-1]

@@ -154,6 +154,28 @@ def test_near_values():
         assert set(zip(u.tolist(), v.tolist())) == pairs
 
 
+def test_links_without_any_variant_of_the_smaller_ball():
+    one = np.array([0b111, 1 << 40], np.int64)
+    for flips in (np.full(2, 2, np.int8), np.empty(0, np.int8)):
+        a, b = simhash._links(one[: len(flips)], np.zeros(len(flips), np.int32), flips)
+        assert len(a) == len(b) == 0
+    none = np.empty(0, np.int64)
+    assert len(simhash._similar(none, np.empty((0, simhash.LONG_WORDS), np.uint64), none)[0]) == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_near_duplicates_of_few_rows_in_many_partitions(spark, n):
+    texts = ["one short text", "another one of these short texts", "one short text"][:n]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert {r.doc_id: r.component_id for r in simhash.simhash_components(df).collect()} == dict(list({0: 0, 1: 1, 2: 0}.items())[:n])
+        assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [0, 1][:n]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
