@@ -204,6 +204,56 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, none).count() == 0
 
 
+def brute_contaminated(texts, items):
+    """Document and item ids, largest number of equal tokens of a window and its size, over all alignments."""
+    want = {}
+    for d, text in texts:
+        for i, item in items:
+            own, theirs = (re.findall(r"[^\W_]+", t.lower()) for t in (text, item))
+            wide = min(len(theirs), decontaminate.OVERLAP)
+            need = wide if wide < decontaminate.SHORT else decontaminate.SHARE * wide
+            for shift in range(-len(theirs), len(own)):
+                equal = [0 <= k + shift < len(own) and own[k + shift] == w for k, w in enumerate(theirs)]
+                most = max((sum(equal[s : s + wide]) for s in range(len(theirs) - wide + 1)), default=0)
+                if wide and most >= need:
+                    want[(d, i)] = max(want.get((d, i), (0, wide)), (most, wide))
+    return want
+
+
+def test_decontamination_misses_no_substitution(spark):
+    """Items of every length with as many substituted tokens as a window allows, anywhere, and repeated words."""
+    rng = random.Random(8)
+    items, texts = [], []
+    for n in [*range(1, 22), 23, 30, 64, 150]:
+        item = words(rng, n)
+        items.append((n, " ".join(item)))
+        for _ in range(6):
+            wide = min(n, 16)
+            at = rng.randrange(n - wide + 1)
+            copy = list(item)
+            for k in rng.sample(range(wide), rng.choice([0, 1, 2, 3]) if n >= 12 else rng.choice([0, 1]) if n > 1 else 0):
+                copy[at + k] = f"other{rng.randrange(9)}"
+            cut = copy[at : at + wide] if rng.random() < 0.5 else copy
+            texts.append((len(texts), " ".join([*words(rng, rng.randrange(0, 5)), *cut, *words(rng, rng.randrange(0, 5))])))
+    items += [(500, "la " * 30), (501, "la la lo " * 8), (502, "la la lo " * 8)]
+    texts += [(900, "la " * 200), (901, "x " + "la lo la " * 20), (902, "la lo " * 12)]
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_contaminated(texts, items)
+    assert {(r.doc_id, r.item_id): (r.matched, r.compared) for r in got} == want
+    assert len(want) > 80
+
+
+def test_decontamination_in_blocks_and_of_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(i, " ".join(words(rng, 20))) for i in range(9)]
+    df = spark.createDataFrame([(i, f"start {t} end") for i, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(decontaminate.contaminated(df, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK", 40)
+    assert sorted(decontaminate.contaminated(df, bench).collect()) == whole and len(whole) == 9
+    assert decontaminate.contaminated(df.limit(0), bench).count() == 0
+
+
 # 2
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><div class="menu"><a href=/>Home</a><a href=/x>News</a></div><div class=cookie-notice>We use cookies</div>
