@@ -15,12 +15,19 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder stands in, but only if driver and tasks are one
+    process (a local master); elsewhere executors would write to their own disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
         at = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
         return at.replace("file:/", "file:///", 1) if at.startswith("file:/") and not at.startswith("file://") else at
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="breakwater-")
         atexit.register(shutil.rmtree, _LOCAL["dir"], True)

@@ -2,17 +2,19 @@
 
 Equal vectors of a label are one class. Labels with more classes than a leaf holds get
 ``TREES`` trees: a node splits at the median of a random projection, and vectors within the
-spill margin go to both sides, so near vectors rarely part. The trees are fitted on a
-bounded sample; every class is routed. Within a leaf all classes are compared, a leaf
-beyond ``LEAF`` in pairs of blocks, so no task holds more than two blocks. A pair that
-meets in several leaves is counted in the first of them, which both know from the leaves
-they carry; so pairs are never written out or shuffled, only counts and, for the
-components, a spanning forest of each leaf.
+spill margin go to both sides, so near vectors rarely part. Trees grow level by level as
+tables: a level's projections are one column, the medians of all its nodes one aggregation,
+so every node is fitted on all its vectors and nothing of the trees stands on the driver.
+Within a leaf all classes are compared, a leaf beyond ``LEAF`` in pairs of blocks, so no task
+holds more than two blocks. A pair that meets in several leaves is counted in the first of
+them, which both know from the leaves they carry; so pairs are never written out or
+shuffled, only counts and, for the components, a spanning forest of each leaf.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,54 +25,25 @@ from pyspark.sql import functions as F
 from breakwater.llm.common import connected_components, write_table
 
 COSINE = 0.93
-#: Trees; classes of a leaf that one task compares; classes that the trees are fitted on, about.
-TREES, LEAF, SAMPLE = 6, 1024, 60_000
-#: Spill margin in standard deviations of a linked pair's projected difference; deepest split.
-MARGIN, DEPTH = 1.0, 24
+#: Trees; classes of a leaf that one task compares; deepest split.
+TREES, LEAF, DEPTH = 6, 1024, 32
+#: Spill margin in standard deviations of a linked pair's projected difference, and the share of a
+#: node's vectors that a side may take, its margin included; at a level where it takes more, the node waits for the next.
+MARGIN, SIDE = 1.0, 0.8
+#: Nodes of a level whose medians may be broadcast (24 bytes each).
+BROADCAST_NODES = 200_000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows at length 1; scaled by their largest component first, so that no square over- or underflows."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-class Tree:
-    """Inner nodes as (direction, threshold, left, right); leaves are numbers from ``first``."""
-
-    def __init__(self, sample: np.ndarray, rows: float, rng: np.random.Generator, first: int, margin: float):
-        self.nodes: list[tuple] = []
-        self.margin, self.next = margin, first
-        self.root = self._grow(sample, rows, rng, 0)
-
-    def _grow(self, sample: np.ndarray, rows: float, rng, depth: int) -> int:
-        """Index of a node; a leaf is -1 - its number. ``rows``: classes expected below."""
-        if rows > LEAF and len(sample) >= 32 and depth < DEPTH:
-            direction = rng.standard_normal(sample.shape[1])
-            direction /= np.linalg.norm(direction)
-            at = sample @ direction
-            mid = float(np.median(at))
-            left, right = at <= mid + self.margin, at > mid - self.margin
-            if max(left.sum(), right.sum()) < 0.95 * len(sample):
-                me = len(self.nodes)
-                self.nodes.append(())
-                low = self._grow(sample[left], rows * left.mean(), rng, depth + 1)
-                high = self._grow(sample[right], rows * right.mean(), rng, depth + 1)
-                self.nodes[me] = (direction, mid, low, high)
-                return me
-        self.next += 1
-        return -self.next
-
-    def leaves(self, vectors: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(leaf number, rows in it)."""
-        out, todo = [], [(self.root, np.arange(len(vectors)))]
-        while todo:
-            node, rows = todo.pop()
-            if node < 0:
-                out.append((-node - 1, rows))
-                continue
-            direction, mid, low, high = self.nodes[node]
-            at = vectors[rows] @ direction
-            todo += [(low, rows[at <= mid + self.margin]), (high, rows[at > mid - self.margin])]
-        return out
+def directions(dim: int, trees: int) -> np.ndarray:
+    """Fixed random unit columns, one for each tree and level."""
+    found = np.random.default_rng([11, dim]).standard_normal((dim, trees * DEPTH))
+    return found / np.linalg.norm(found, axis=0)
 
 
 def _components(linked: np.ndarray) -> np.ndarray:
@@ -94,6 +67,53 @@ def vector_classes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str
     return df.select("vec_id", "label", "v", F.when(fine, F.xxhash64("label", "v")).alias("node"))
 
 
+def leaves(classes: DataFrame, cosine: float = COSINE, trees: int = TREES) -> DataFrame:
+    """``node, leaf`` for every leaf of ``classes(node, v, grp)``; groups of at most LEAF classes are one leaf.
+
+    Ends when no leaf holds more than LEAF classes, or none of the larger ones has been split in
+    as many levels as there are (such as one dense group of near copies); those are left for
+    comparison in blocks.
+    """
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Projections of each class, by tree and level, with the margin of its dimension."""
+        for b in batches:
+            v = b.column(1).to_pylist()
+            for dim in sorted({len(x) for x in v}):
+                at = np.array([i for i, x in enumerate(v) if len(x) == dim])
+                p = (unit(np.array([v[i] for i in at])) @ directions(dim, trees)).astype(np.float32).reshape(len(at) * trees, DEPTH)
+                back = pa.array(np.repeat(at, trees))
+                margin = np.full(len(p), MARGIN * np.sqrt(2 * (1 - cosine) / dim), np.float32)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(back), b.column(2).take(back), pa.array(np.tile(np.arange(trees, dtype=np.int32), len(at))), pa.array(margin), pa.FixedSizeListArray.from_arrays(p.ravel(), DEPTH).cast(pa.list_(pa.float32()))],
+                    ["node", "root", "tree", "margin", "p"],
+                )
+
+    rooted = classes.select("node", "v", F.xxhash64("grp").alias("root"))
+    large = rooted.groupBy("root").count().where(f"count > {LEAF}").select("root")
+    few = large.limit(BROADCAST_NODES + 1).count()
+    large = F.broadcast(large) if few <= BROADCAST_NODES else large
+    done = [rooted.join(large, "root", "left_anti").select("node", F.col("root").alias("leaf"))]
+    if not few:
+        return done[0]
+    split = rooted.join(large, "root", "left_semi").select("node", "v", "root").mapInArrow(project, "node long, root long, tree int, margin float, p array<float>")
+    now, _ = write_table(split.select("node", F.xxhash64("root", "tree").alias("leaf"), "margin", "p"), "level")
+    for level in range(DEPTH):
+        x = F.get("p", F.lit(level))
+        q = F.percentile_approx(x, F.array(F.lit(1 - SIDE), F.lit(0.5), F.lit(SIDE)), F.lit(1000))
+        stats = now.groupBy("leaf").agg(F.count("*").alias("n"), F.first("margin").alias("m"), q.alias("q")).where(f"n > {LEAF}").select("leaf", F.when((F.col("q")[2] > F.col("q")[1] + F.col("m")) & (F.col("q")[0] <= F.col("q")[1] - F.col("m")), F.col("q")[1]).alias("mid"))
+        stats, _ = write_table(stats, "medians")
+        n = stats.count()
+        if not n:
+            break
+        stats = F.broadcast(stats) if n <= BROADCAST_NODES else stats
+        done.append(now.join(stats, "leaf", "left_anti").select("node", "leaf"))
+        side = lambda k: F.xxhash64("leaf", F.lit(level), F.lit(k))
+        sides = F.when(F.col("mid").isNull(), F.array("leaf")).otherwise(F.array_compact(F.array(F.when(x <= F.col("mid") + F.col("margin"), side(0)), F.when(x > F.col("mid") - F.col("margin"), side(1)))))
+        now, _ = write_table(now.join(stats, "leaf").select("node", F.explode(sides).alias("leaf"), "margin", "p"), "level")
+    return reduce(DataFrame.union, [*done, now.select("node", "leaf")])
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, trees: int = TREES) -> DataFrame:
     """One row per row: ``vec_id, n_links, component_id, kept``.
 
@@ -107,61 +127,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     row without another has a null component_id and is not kept. Empty input gives an
     empty result; other columns are not read.
     """
-    spark = vectors.sparkSession
     rows, _ = write_table(vector_classes(vectors, id_col, vec_col, label_col), "vectors")
     classes, _ = write_table(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("m"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v")), "classes")
-    keyed = classes.select("node", "m", "v", F.struct("label", F.size("v").alias("dim")).alias("grp"))
-    large = keyed.groupBy("grp").count().where(f"count > {LEAF}")
-    sizes = {tuple(r["grp"]): r["count"] for r in large.orderBy(F.desc("count")).limit(SAMPLE // 64).collect()}
-    forest: dict[tuple, list[Tree]] = {}
-    count = 0
-    if sizes:
-        total, spread = sum(sizes.values()), 1 << 30
-        part = F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(spread)) < int(spread * min(1.0, SAMPLE / total))
-        picked = keyed.where(part).join(F.broadcast(large.select("grp")), "grp").select("grp.label", "grp.dim", "v").toPandas()
-        rng = np.random.default_rng(11)
-        for (label, dim), own in picked.groupby(["label", "dim"], sort=True):
-            if (label, dim) in sizes:
-                sample = unit(np.stack(own["v"].to_numpy()))
-                margin = MARGIN * float(np.sqrt(2 * (1 - cosine) / dim))
-                forest[(label, dim)] = made = []
-                for _ in range(trees):
-                    made.append(Tree(sample, sizes[(label, dim)], rng, count, margin))
-                    count = made[-1].next
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each class once for each of its leaves, with all its leaves."""
-        for b in batches:
-            groups: dict[tuple, list[int]] = {}
-            for i, g in enumerate(b.column(3).to_pylist()):
-                groups.setdefault((g["label"], g["dim"]), []).append(i)
-            take, leaf, mine = [], [], []
-            for g, at in groups.items():
-                have = [[] for _ in at]
-                if g in forest:
-                    x = unit(np.array([b.column(2)[i].as_py() for i in at]))
-                    for tree in forest[g]:
-                        for number, own in tree.leaves(x):
-                            for k in own.tolist():
-                                have[k].append(number)
-                else:
-                    have = [[-1]] * len(at)
-                for i, numbers in zip(at, have):
-                    for number in numbers:
-                        take.append(i)
-                        leaf.append(number)
-                        mine.append(numbers)
-            if take:
-                t = pa.array(take)
-                yield pa.RecordBatch.from_arrays([b.column(k).take(t) for k in range(4)] + [pa.array(leaf, pa.int64()), pa.array(mine, pa.list_(pa.int32()))], ["node", "m", "v", "grp", "leaf", "mine"])
-
-    kind = keyed.schema["grp"].dataType.simpleString()
-    routed, _ = write_table(keyed.mapInArrow(route, f"node long, m long, v array<double>, grp {kind}, leaf long, mine array<int>"), "routed")
-    blocks = routed.groupBy("grp", "leaf").count().where(f"count > {LEAF}").withColumn("blocks", F.ceil(F.col("count") / LEAF).cast("int"))
-    many = routed.join(F.broadcast(blocks) if blocks.count() <= 100_000 else blocks, ["grp", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    routed = leaves(classes.select("node", "v", F.struct("label", F.size("v").alias("dim")).alias("grp")), cosine, trees)
+    blocks = routed.groupBy("leaf").count().where(f"count > {LEAF}").withColumn("blocks", F.ceil(F.col("count") / LEAF).cast("int"))
+    mine = routed.groupBy("node").agg(F.array_sort(F.collect_set("leaf")).alias("mine"))
+    many = classes.select("node", "m", "v").join(mine, "node").withColumn("leaf", F.explode("mine"))
+    many = many.join(F.broadcast(blocks) if blocks.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else blocks, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(13), "node"), F.col("blocks")).cast("int")
     dealt = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("node", "m", "v", "leaf", "mine", "own", "grp", F.least("own", "other").alias("b0"), F.greatest("own", "other").alias("b1"))
+    dealt = dealt.select("node", "m", "v", "leaf", "mine", "own", F.least("own", "other").alias("b0"), F.greatest("own", "other").alias("b1"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         node, m = pdf["node"].to_numpy(np.int64), pdf["m"].to_numpy(np.int64)
@@ -183,7 +158,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         some = (links > 0) | (root != np.arange(len(root)))
         return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "root": node[root[some]]})
 
-    found, _ = write_table(dealt.groupBy("grp", "leaf", "b0", "b1").applyInPandas(compare, "node long, links long, root long"), "links")
+    found, _ = write_table(dealt.groupBy("leaf", "b0", "b1").applyInPandas(compare, "node long, links long, root long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots, _ = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.select("node", "m", "least").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

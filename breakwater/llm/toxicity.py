@@ -130,13 +130,16 @@ def fit_linear(x: np.ndarray, extra: np.ndarray, y: np.ndarray, ridge: float = R
 class Chain:
     """Fitted chain: for each category its weights on features, earlier probabilities and 1."""
 
-    def __init__(self, categories: list[str], ids: dict[str, int], weights: list[np.ndarray]):
+    def __init__(self, categories: list[str], ids: dict[str, int], weights: list[np.ndarray | None]):
         self.categories, self.ids, self.weights = categories, ids, weights
 
     def probabilities(self, found: list[int]) -> list[float]:
         out: list[float] = []
         n = len(self.ids)
         for w in self.weights:
+            if w is None:
+                out.append(0.0)
+                continue
             z = float(w[found].sum() + w[-1]) + sum(x * p for x, p in zip(w[n:], out))
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
         return out
@@ -148,7 +151,11 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     Learns from about ``sample`` labelled documents (picked by a hash of the id), whole
     texts. The features of a category are the FEATURES words and character n-grams with the
     largest chi-square among those documents. A later model is trained on the earlier
-    categories' probabilities from models that did not see the document (FOLDS folds).
+    categories' probabilities from models that did not see the document (FOLDS folds). A
+    category without a labelled example (or without any label) has probability 0.
+
+    Null ids and labels with a null in a category teach nothing; of a repeated doc_id's
+    labels any 1 counts, and each of its documents teaches.
     """
     names = list(categories)
     marked = labels.select(F.col("doc_id"), *[categories[c].cast("int").alias(f"y{k}") for k, c in enumerate(names)]).where("doc_id is not null").groupBy("doc_id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(names))])
@@ -194,6 +201,10 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     earlier, weights = np.empty((len(x), 0)), []
     for k, y in enumerate(ys):
         target = got[y].to_numpy(float)
+        if not target.any():
+            weights.append(None)
+            earlier = np.hstack([earlier, np.zeros((len(x), 1))])
+            continue
         weights.append(fit_linear(x, earlier, target))
         if k + 1 < len(ys):
             out = np.zeros(len(x))
@@ -225,12 +236,17 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 
 
-
 def default_categories() -> dict[str, Column]:
     """The labelled categories in the chain's order: low quality, then toxic."""
     return {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
 
 
 def rejected(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
-    """The documents of ``docs`` to reject: ``doc_id, p_low_quality, p_toxic`` with p_toxic >= ``reject``."""
+    """The documents of ``docs`` to reject: ``doc_id, p_low_quality, p_toxic`` with p_toxic >= ``reject``.
+
+    Without a document labelled toxic nothing is rejected. Null and empty texts have no
+    features and are judged by the intercept; equal texts have equal probabilities, so all or
+    none of them go; rows with repeated or null ids are judged one by one; an empty table
+    gives an empty result; other columns of either table are not read.
+    """
     return score(docs, learn(docs, labels, default_categories())).where(F.col("p_toxic") >= reject)

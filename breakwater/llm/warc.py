@@ -85,39 +85,62 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
     return got
 
 
-def _inflate(read, at: int) -> tuple[bytes, int] | None:
-    """The member at ``at`` and where it ends; None if none starts there that holds a record."""
+class Damaged(ValueError):
+    """Bytes of an archive where a record should start, or one that starts but can't be decoded."""
+
+
+def _inflate(read, at: int, whole: bool = True) -> tuple[bytes, int] | None:
+    """The member at ``at`` and where it ends; None if no record starts there.
+
+    Raises :class:`Damaged` if a record's header decodes but not the rest. Without ``whole``
+    only the header's first bytes are decoded.
+    """
     unpack, got, checked = zlib.decompressobj(31), [], False
     end = at
     while not unpack.eof:
         block = read(end, _BLOCK)
-        if not block:
-            return None
         try:
+            if not block:
+                raise zlib.error("the archive ends inside a member")
             got.append(unpack.decompress(block))
-        except zlib.error:
+        except zlib.error as error:
+            if checked:
+                raise Damaged(f"the record at byte {at} can't be decoded: {error}") from error
             return None
         end += len(block)
         if not checked and sum(map(len, got)) >= 7:
             if not b"".join(got).startswith(b"WARC/1."):
                 return None
             checked = True
+            if not whole:
+                return b"", end
     return (b"".join(got), end - len(unpack.unused_data)) if checked else None
 
 
-def members(read, start: int, end: int) -> Iterator[bytes]:
+def members(read, start: int, end: int, skip_damaged: bool = False) -> Iterator[bytes]:
     """Records that start in bytes start..end; ``read(at, n)`` gives up to n bytes.
 
     Looks for gzip magic, takes a candidate only if it decodes to a record's header, and
-    from there on follows the members, as each ends where the next begins.
+    from there on follows the members, as each ends where the next begins. An archive starts
+    with a record, and after one another or the end must follow, in this range or the
+    next; a damaged member thus raises :class:`Damaged` in one of them, or with
+    ``skip_damaged`` the search goes on behind it.
     """
-    at = start
+    at, due = start, start == 0
     while at < end:
-        found = _inflate(read, at) if read(at, 3) == MAGIC else None
+        try:
+            found = _inflate(read, at) if read(at, 3) == MAGIC else None
+        except Damaged:
+            if not skip_damaged:
+                raise
+            found = None
         if found:
             yield found[0]
-            at = found[1]
+            at, due = found[1], True
             continue
+        if due and not skip_damaged:
+            raise Damaged(f"no record starts at byte {at}")
+        due = False
         window = read(at + 1, _BLOCK + 2)
         hit = window.find(MAGIC)
         if hit >= 0:
@@ -126,6 +149,8 @@ def members(read, start: int, end: int) -> Iterator[bytes]:
             return
         else:
             at += 1 + _BLOCK
+    if due and not skip_damaged and read(at, 1) and _inflate(read, at, whole=False) is None:
+        raise Damaged(f"no record starts at byte {at}")
 
 
 def parse(record: bytes) -> tuple:
@@ -145,11 +170,12 @@ def parse(record: bytes) -> tuple:
     return number("WARC-Record-ID"), url, payload, len(payload), digest, "response", None
 
 
-def read_archives(spark: SparkSession, archives: list[tuple[str, int]], with_payload: bool = False, split: int = SPLIT) -> DataFrame:
+def read_archives(spark: SparkSession, archives: list[tuple[str, int]], with_payload: bool = False, split: int = SPLIT, skip_damaged: bool = False) -> DataFrame:
     """Rows of :func:`parse` for each record of the archives (paths and sizes), in byte ranges.
 
     A record belongs to the range in which it starts, so each is read once whatever the
-    ranges. ``payload`` is there ``with_payload`` and null for revisits.
+    ranges. ``payload`` is there ``with_payload`` and null for revisits. A damaged member
+    fails the query, or with ``skip_damaged`` is left out.
     """
     ranges = [(path, at, min(at + split, size)) for path, size in archives for at in range(0, size, split)]
     df = spark.createDataFrame(ranges, "path string, start long, stop long").repartition(max(1, len(ranges)))
@@ -176,7 +202,7 @@ def read_archives(spark: SparkSession, archives: list[tuple[str, int]], with_pay
                         return held[1][off : off + n]
 
                     rows, size = [], 0
-                    for record in members(lambda at, n: read(at, min(n, 64 << 10) if n == _BLOCK else n), start, stop):
+                    for record in members(lambda at, n: read(at, min(n, 64 << 10) if n == _BLOCK else n), start, stop, skip_damaged):
                         row = parse(record)
                         rows.append(row if with_payload else (*row[:2], None, *row[3:]))
                         size += len(record)

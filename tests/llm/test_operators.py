@@ -307,6 +307,26 @@ def test_near_vectors(spark, monkeypatch):
     assert neardup_vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_any_length(spark):
+    """Squares of these components over- or underflow a double."""
+    rows = [(i, [s * x for x in (3.0, 4.0, 0.1 * i)], 1) for i, s in enumerate([1e200, 1e-200, 1.0, 1e-310])] + [(9, [-3e200, 4e200, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 9: (0, 9)}
+
+
+def test_leaves_are_bounded_and_rows_grow_little_faster_than_the_input(spark, monkeypatch):
+    monkeypatch.setattr(neardup_vectors, "LEAF", 100)
+    rng, made = np.random.default_rng(3), {}
+    for n in (1000, 4000):
+        rows = [(i, [float(x) for x in rng.normal(size=48)], i % 2) for i in range(n)]
+        df = spark.createDataFrame(rows, "node long, v array<double>, label int").selectExpr("node", "v", "struct(label, size(v) dim) grp")
+        got = neardup_vectors.leaves(df)
+        counts = [r["count"] for r in got.groupBy("leaf").count().collect()]
+        made[n] = sum(counts)
+        assert max(counts) <= 100 and got.select("node").distinct().count() == n
+    assert made[4000] <= 4 * 2.5 * made[1000]
+
+
 # 4
 
 
@@ -327,6 +347,11 @@ def test_toxicity(spark):
     assert len(chain.weights) == 2 and len(chain.weights[1]) == len(chain.weights[0]) + 1
     assert toxicity.score(df, chain).count() == df.count()
     assert toxicity.score(df.limit(0), chain).count() == 0
+    for none in (labels.limit(0), labels.where("toxic = 0")):
+        assert toxicity.rejected(df, none).count() == 0
+        p = toxicity.score(df, toxicity.learn(df, none, toxicity.default_categories())).collect()
+        assert all(r.p_toxic == 0 for r in p) and len(p) == df.count()
+    assert toxicity.rejected(df.limit(0), labels).count() == 0
 
 
 def test_toxicity_learns_rare_words_beside_many_frequent_ones(spark):
@@ -514,6 +539,31 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("split", [200, 1 << 23])
+def test_damaged_members_are_reported(spark, tmp_path, split):
+    """One flipped byte anywhere fails the reading, or costs that record only where asked for."""
+    rng = random.Random(2)
+    rows = [(i, f"u{i}", "".join(rng.choice("abcdefgh <p>") for _ in range(300))) for i in range(4)]
+    [(path, size)] = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}")
+    data = open(path.removeprefix("file://"), "rb").read()
+    starts = [0]
+    while starts[-1] < size:
+        d = zlib.decompressobj(31)
+        d.decompress(data[starts[-1] :])
+        starts.append(size - len(d.unused_data))
+    for k in (0, 1, 3):
+        for at in (starts[k] + 1, starts[k] + 60, starts[k + 1] - 30, starts[k + 1] - 6):
+            broken = bytearray(data)
+            broken[at] ^= 0x55
+            read = lambda a, n: bytes(broken[a : a + n])  # noqa: E731, B023
+            ranges = [(a, min(a + split, size)) for a in range(0, size, split)]
+            with pytest.raises(warc.Damaged):
+                for r in ranges:
+                    list(warc.members(read, *r))
+            left = [warc.parse(m)[0] for r in ranges for m in warc.members(read, *r, skip_damaged=True)]
+            assert left == [i for i in range(4) if i != k]
+
+
 def test_every_operator_has_a_query():
     from breakwater.llm import queries
 
