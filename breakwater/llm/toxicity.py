@@ -6,7 +6,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +20,8 @@ SAMPLE, FEATURES, FOLDS, LEAST, LEAST_CHI = 10_000, 2048, 3, 5, 25
 RIDGE, REJECT = 0.02, 0.1
 #: Character n-grams inside a word with its two ends marked.
 SHORTEST, LONGEST = 3, 5
-#: Rows of the matrix of features that are widened at once.
-ROWS = 500
-#: Words whose features a worker remembers.
-CACHE = 400_000
+#: Words whose chosen features, and whose features at all, a task remembers.
+CACHE, COUNT_CACHE = 100_000, 20_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
@@ -42,16 +39,6 @@ def features_of(token: str) -> Iterator[str]:
         yield from (marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1) if n < len(marked))
 
 
-@lru_cache(maxsize=100_000)
-def _remembered(token: str) -> tuple[str, ...]:
-    return tuple(features_of(token))
-
-
-def _features(token: str) -> Iterable[str]:
-    """:func:`features_of`, remembered for words of usual length."""
-    return _remembered(token) if len(token) <= 80 else features_of(token)
-
-
 class Seen:
     """Maps texts to the sorted ids of the chosen features they hold."""
 
@@ -71,43 +58,36 @@ class Seen:
         return sorted(found)
 
 
-def matrix(rows: list[list[int]], n_features: int) -> np.ndarray:
-    """Documents by features, 0 or 1."""
-    x = np.zeros((len(rows), n_features), np.uint8)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
-    return x
+class Matrix:
+    """Documents by features, 0 or 1, held as the sorted features of each document."""
 
+    def __init__(self, rows: list[list[int]], n_features: int):
+        self.n, self.features = len(rows), n_features
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        self.at = np.fromiter((f for r in rows for f in r), np.int32, len(self.row))
 
-def _times(x: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """``x @ v`` of a 0 or 1 matrix held in bytes, by blocks of rows."""
-    v = v.astype(np.float32)
-    return np.concatenate([np.empty(0), *(x[s : s + ROWS].astype(np.float32) @ v for s in range(0, len(x), ROWS))])
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, v[self.at], self.n)
 
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, r[self.row], self.features)
 
-def _back(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """``r @ x`` likewise."""
-    r, out = r.astype(np.float32), np.zeros(x.shape[1])
-    for s in range(0, len(x), ROWS):
-        out += r[s : s + ROWS] @ x[s : s + ROWS].astype(np.float32)
-    return out
 
-
-def fit_linear(x: np.ndarray, extra: np.ndarray, y: np.ndarray, ridge: float = RIDGE, of: np.ndarray | None = None) -> np.ndarray:
+def fit_linear(x: Matrix, extra: np.ndarray, y: np.ndarray, ridge: float = RIDGE, of: np.ndarray | None = None) -> np.ndarray:
     """Ridge logistic regression on features ``x``, ``extra`` columns and an intercept.
 
     Newton steps, each solved by conjugate gradients. Returns the weights of the features,
     the extra columns and the intercept (not penalised). Only rows marked in ``of`` count,
     so that a fold needs no copy of ``x``.
     """
-    n, dense = x.shape[1], np.hstack([extra, np.ones((len(y), 1))])
+    n, dense = x.features, np.hstack([extra, np.ones((len(y), 1))])
     of = np.ones(len(y)) if of is None else of.astype(float)
     penalty = np.r_[np.full(n + extra.shape[1], ridge), 1e-6]
     w = np.zeros(n + dense.shape[1])
     share = np.clip((y @ of) / of.sum() if of.any() else 0.5, 1e-3, 1 - 1e-3)
     w[-1] = math.log(share / (1 - share))
-    times = lambda v: _times(x, v[:n]) + dense @ v[n:]
-    back = lambda r: np.r_[_back(x, r), r @ dense]
+    times = lambda v: x.times(v[:n]) + dense @ v[n:]
+    back = lambda r: np.r_[x.back(r), r @ dense]
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
         gradient = back(of * (y - p)) - penalty * w
@@ -167,12 +147,24 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     rows, _ = write_table(text_and_id(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").select("doc_id", "text", *ys), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, ...]] = {}
+
+        def remembered(token: str) -> Iterable[str]:
+            if len(token) > 80:
+                return features_of(token)
+            got = known.get(token)
+            if got is None:
+                if len(known) >= COUNT_CACHE:
+                    known.clear()
+                got = known[token] = tuple(features_of(token))
+            return got
+
         for b in batches:
             seen = [Counter() for _ in range(1 + len(ys))]
             y = [c.to_pylist() for c in b.columns[2:]]
             for i, text in enumerate(b.column(1)):
                 found: set[str] = set()
-                found.update(*map(_features, tokens(text.as_py())))
+                found.update(*map(remembered, tokens(text.as_py())))
                 for k, c in enumerate(seen):
                     if k == 0 or y[k - 1][i]:
                         c.update(found)
@@ -196,22 +188,22 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
 
     got = rows.mapInArrow(find, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, found array<int>" + "".join(f", {y} int" for y in ys)).toPandas()
     got = got.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    x = matrix(got.pop("found").tolist(), len(chosen))
-    fold = np.arange(len(x)) % FOLDS
-    earlier, weights = np.empty((len(x), 0)), []
+    x = Matrix(got.pop("found").tolist(), len(chosen))
+    fold = np.arange(x.n) % FOLDS
+    earlier, weights = np.empty((x.n, 0)), []
     for k, y in enumerate(ys):
         target = got[y].to_numpy(float)
         if not target.any():
             weights.append(None)
-            earlier = np.hstack([earlier, np.zeros((len(x), 1))])
+            earlier = np.hstack([earlier, np.zeros((x.n, 1))])
             continue
         weights.append(fit_linear(x, earlier, target))
         if k + 1 < len(ys):
-            out = np.zeros(len(x))
+            out = np.zeros(x.n)
             for f in range(FOLDS):
                 rest, own = fold != f, fold == f
                 w = fit_linear(x, earlier, target, of=rest)
-                z = (_times(x, w[: len(chosen)]) + earlier @ w[len(chosen) : -1] + w[-1])[own]
+                z = (x.times(w[: len(chosen)]) + earlier @ w[len(chosen) : -1] + w[-1])[own]
                 out[own] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             earlier = np.hstack([earlier, out[:, None]])
     return Chain(names, chosen, weights)
