@@ -4,8 +4,10 @@ Documents are dealt with in batches of a task. A batch explodes into its n-grams
 hashes, counted within the batch); these are shuffled by hash bucket, where the bucket's
 count table is summed over all batches and joined back to what each batch asked for; the
 answers are shuffled by batch, where each document's scores are summed. Shuffled rows hold
-compressed arrays: one row per batch and bucket. As a batch sends an n-gram once, frequent
-n-grams are no hot keys.
+compressed arrays: one row per batch and bucket that it has n-grams in, so never more rows
+than distinct n-grams of the batches. As a batch sends an n-gram once, frequent n-grams are
+no hot keys. Hashes are as wide as the corpus needs for two of its n-grams in ten million to
+share one, or rarer: ``WIDTH`` bits more than its size in bytes has, 64 at most.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 from breakwater.llm.common import parts, text_and_id
 
 #: Longest n-gram and the factor of each step back.
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 #: Tokens of a batch, about, and bytes of text per bucket.
-BATCH, BUCKET_BYTES = 1_500_000, 16 << 20
+BATCH, BUCKET_BYTES = 1_500_000, 8 << 20
+#: Bits of a hash beyond those of the corpus size in bytes.
+WIDTH = 24
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -37,18 +41,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """An array's bytes, equal places together, compressed."""
+    """An array's bytes; of long arrays equal places together, compressed."""
     import zstandard
 
     v = np.ascontiguousarray(values)
+    if len(v) < 32:
+        return b"\0" + v.tobytes()
     planes = np.ascontiguousarray(v.view(np.uint8).reshape(len(v), v.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    if data[0] == 0:
+        return np.frombuffer(data, kind, offset=1)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
 
@@ -82,38 +90,44 @@ def _word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes.astype(np.uint32), np.array([xxhash.xxh64_intdigest(w) for w in distinct], np.uint64)
 
 
-def _ngrams(hashes: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
-    """For k = 0..order the hash of the k-gram that ends at each word; past a document's start, of the longest there is."""
-    out = [np.full(len(hashes), 1, np.uint64)]
+def _ngrams(hashes: np.ndarray, place: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
+    """For k = 0..order the hash (``bits`` wide) of the k-gram that ends at each word; past a document's start, of the longest there is."""
+    whole = np.full(len(hashes), 1, np.uint64)
+    out, drop = [whole >> np.uint64(1)], np.uint64(64 - bits)
     for k in range(1, order + 1):
         before = np.empty_like(hashes)
-        before[1:], before[:1] = out[-1][:-1], 1
-        grown = _mix(before * _A + hashes + np.uint64(k))
-        out.append(np.where(place >= k - 1, grown, out[-1]))
+        before[1:], before[:1] = whole[:-1], 1
+        whole = np.where(place >= k - 1, _mix(before * _A + hashes + np.uint64(k)), whole)
+        out.append(whole >> drop)
     return out
 
 
-def _asked(hashes: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
-    grams = _ngrams(hashes, place, order)
+def _asked(hashes: np.ndarray, place: np.ndarray, order: int, bits: int) -> np.ndarray:
+    grams = _ngrams(hashes, place, order, bits)
     return np.concatenate([g[place >= k - 1] for k, g in enumerate(grams)])
 
 
+def _mark(grams: np.ndarray) -> int:
+    """A number that tells sets of n-grams apart; those of disjoint sets add up."""
+    return int(_mix(grams + _A).sum(dtype=np.uint64).view(np.int64))
+
+
 def _places(sizes: np.ndarray) -> np.ndarray:
     starts = np.cumsum(sizes) - sizes
     return np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
 
 
-def _bounds(buckets: int) -> np.ndarray:
-    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+def _bounds(buckets: int, bits: int) -> np.ndarray:
+    return np.array([(i << bits) // buckets for i in range(1, buckets)], np.uint64)
 
 
-def score_batch(sizes: np.ndarray, hashes: np.ndarray, grams: np.ndarray, counts: np.ndarray, order: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
+def score_batch(sizes: np.ndarray, hashes: np.ndarray, grams: np.ndarray, counts: np.ndarray, order: int, backoff: float, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Each document's sum of log10 scores, and how many of its words have a seen n-gram of the order.
 
     ``grams`` (sorted) and ``counts`` hold the corpus counts of all n-grams of the batch.
     """
     place, doc = _places(sizes), np.repeat(np.arange(len(sizes)), sizes)
-    ends = _ngrams(hashes, place, order)
+    ends = _ngrams(hashes, place, order, bits)
     at = [np.searchsorted(grams, g) for g in ends]
 
     def others(number: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -158,20 +172,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     df = text_and_id(docs, id_col, text_col)
     size = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(parts(spark), -(-size // BUCKET_BYTES))
+    bits = min(64, int(size).bit_length() + WIDTH)
     kind = df.schema["doc_id"].dataType
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = _bounds(buckets)
+        bounds = _bounds(buckets, bits)
         for batch, _, words, sizes in _batches(batches):
             codes, hashes = _word_hashes(words)
-            grams, counts = np.unique(_asked(hashes[codes], _places(sizes), order), return_counts=True)
+            grams, counts = np.unique(_asked(hashes[codes], _places(sizes), order, bits), return_counts=True)
             cut = [0, *np.searchsorted(grams, bounds).tolist(), len(grams)]
             rows = [(i, a, b) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
             if rows:
                 steps = [np.diff(grams[a:b], prepend=np.uint64(0)) for _, a, b in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch] * len(rows), pa.int64()), pa.array([i for i, _, _ in rows], pa.int32()), pa.array([_pack(s) for s in steps], pa.binary()), pa.array([_pack(counts[a:b].astype(np.uint32)) for _, a, b in rows], pa.binary())],
-                    ["batch", "bucket", "grams", "counts"],
+                    [pa.array([batch] * len(rows), pa.int64()), pa.array([i for i, _, _ in rows], pa.int32()), pa.array([_pack(s) for s in steps], pa.binary()), pa.array([_pack(counts[a:b].astype(np.uint32)) for _, a, b in rows], pa.binary()), pa.array([_mark(grams[a:b]) for _, a, b in rows], pa.int64())],
+                    ["batch", "bucket", "grams", "counts", "mark"],
                 )
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,7 +194,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
         sums = np.bincount(inverse, np.concatenate([_unpack(c, np.uint32) for c in pdf["counts"]]))[inverse].astype(np.uint64)
         ends = np.cumsum([len(g) for g in grams])[:-1]
-        return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "counts": [_pack(s) for s in np.split(sums, ends)]})
+        return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "counts": [_pack(s) for s in np.split(sums, ends)], "mark": pdf["mark"]})
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids, words, sizes in _batches(batches):
@@ -201,12 +216,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             table = head.read_all()
         hashes = np.frombuffer(blob, np.uint64, c // 8, 24 + a + b)[_unpack(blob[24 + a : 24 + a + b], np.uint32)] if b and c else np.empty(0, np.uint64)
         sizes = table["size"].to_numpy()
-        grams = np.unique(_asked(hashes, _places(sizes), order))
+        grams = np.unique(_asked(hashes, _places(sizes), order, bits))
         answers = answers.sort_values("bucket")
         counts = np.concatenate([np.empty(0, np.uint64), *(_unpack(x, np.uint64) for x in answers["counts"])]).astype(np.int64)
-        if len(counts) != len(grams):
+        marks = int(answers["mark"].to_numpy(np.int64).sum(dtype=np.int64)) if len(answers) else 0
+        if len(counts) != len(grams) or marks != _mark(grams):
             raise RuntimeError("the documents were not the same when read again")
-        value, seen = score_batch(sizes, hashes, grams, counts, order, backoff)
+        value, seen = score_batch(sizes, hashes, grams, counts, order, backoff, bits)
         mean = pd.array(np.divide(value, sizes, out=np.full(len(sizes), np.nan), where=sizes > 0), dtype="Float64")
         mean[np.asarray(sizes == 0)] = pd.NA
         return pd.DataFrame({"doc_id": table["doc_id"].to_pandas(types_mapper=pd.ArrowDtype), "n_tokens": sizes, "n_seen": seen, "log10_score": value, "mean_log10": mean})
@@ -214,26 +230,25 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(kind)
-    asked = df.mapInArrow(ask, "batch long, bucket int, grams binary, counts binary")
-    answers = asked.groupBy("bucket").applyInPandas(total, "batch long, bucket int, counts binary")
+    asked = df.mapInArrow(ask, "batch long, bucket int, grams binary, counts binary, mark long")
+    answers = asked.groupBy("bucket").applyInPandas(total, "batch long, bucket int, counts binary, mark long")
     texts = df.mapInArrow(keep, "batch long, texts binary")
     return answers.groupBy("batch").cogroup(texts.groupBy("batch")).applyInPandas(score, f"doc_id {kind.simpleString()}, n_tokens long, n_seen long, log10_score double, mean_log10 double")
 
 
 def oracle_sql(backoff: float = BACKOFF) -> str:
-    """The same result for order 2 in DuckDB's SQL, rounded as the query rounds."""
+    """The same result for order 3 in DuckDB's SQL, rounded as the query rounds."""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS ws FROM documents),
 t AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d),
-g AS (SELECT r, p, w, CASE WHEN p > 0 THEN lag(w) OVER (PARTITION BY r ORDER BY p) END AS v FROM t),
-c1 AS (SELECT w, count(*) AS n FROM t GROUP BY w), o1 AS (SELECT r, w, count(*) AS n FROM t GROUP BY r, w),
-c2 AS (SELECT v, w, count(*) AS n FROM g WHERE p > 0 GROUP BY v, w), o2 AS (SELECT r, v, w, count(*) AS n FROM g WHERE p > 0 GROUP BY r, v, w),
-x AS (SELECT g.r, g.p, (SELECT count(*) FROM t) - len(d.ws) AS n0, c1.n - o1.n AS n1, coalesce(c2.n - o2.n, 0) AS n2, coalesce(cv.n - ov.n, 0) AS nv
-  FROM g JOIN d USING (r) JOIN c1 ON c1.w = g.w JOIN o1 ON o1.r = g.r AND o1.w = g.w
-  LEFT JOIN c2 ON c2.v = g.v AND c2.w = g.w LEFT JOIN o2 ON o2.r = g.r AND o2.v = g.v AND o2.w = g.w
-  LEFT JOIN c1 cv ON cv.w = g.v LEFT JOIN o1 ov ON ov.r = g.r AND ov.w = g.v),
-s AS (SELECT r, sum(CASE WHEN n2 > 0 THEN log10(n2 / nv)
-  WHEN n1 > 0 THEN log10(n1 / n0) + CASE WHEN p > 0 THEN log10({backoff}) ELSE 0 END
-  ELSE (CASE WHEN p > 0 THEN 2 ELSE 1 END) * log10({backoff}) - log10(greatest(n0, 1)) END) AS score, sum(CASE WHEN n2 > 0 THEN 1 ELSE 0 END) AS seen FROM x GROUP BY r)
+g AS (SELECT r, p, w, lag(w) OVER x AS v, lag(w, 2) OVER x AS u FROM t WINDOW x AS (PARTITION BY r ORDER BY p)),
+a AS (SELECT r, p, w, v, u, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY r, w) AS n1,
+  CASE WHEN p > 0 THEN count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY r, v, w) ELSE 0 END AS n2,
+  CASE WHEN p > 1 THEN count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY r, u, v, w) ELSE 0 END AS n3 FROM g),
+x AS (SELECT r, p, n1, n2, n3, (SELECT count(*) FROM t) - count(*) OVER (PARTITION BY r) AS n0, lag(n1) OVER y AS c1, lag(n2) OVER y AS c2 FROM a WINDOW y AS (PARTITION BY r ORDER BY p)),
+s AS (SELECT r, sum(CASE WHEN n3 > 0 THEN log10(n3 / c2)
+  WHEN n2 > 0 THEN log10(n2 / c1) + (least(p, 2) - 1) * log10({backoff})
+  WHEN n1 > 0 THEN log10(n1 / n0) + least(p, 2) * log10({backoff})
+  ELSE (least(p, 2) + 1) * log10({backoff}) - log10(greatest(n0, 1)) END) AS score, sum(CASE WHEN n3 > 0 THEN 1 ELSE 0 END) AS seen FROM x GROUP BY r)
 SELECT doc_id, len(ws) AS n_tokens, CAST(coalesce(seen, 0) AS BIGINT) AS n_seen, round(coalesce(score, 0), 4) AS log10_score,
   CASE WHEN len(ws) > 0 THEN round(score / len(ws), 6) END AS mean_log10 FROM d LEFT JOIN s USING (r)"""

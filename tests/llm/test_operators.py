@@ -435,6 +435,22 @@ def test_lm_scores(spark, order, tmp_path, monkeypatch):
         assert (got[i].mean_log10 is None) == (got[i].n_tokens == 0)
 
 
+def test_marks_and_packing_of_ngrams():
+    a, b = np.array([1, 2, 3, 9], np.uint64), np.array([1, 2, 4, 8], np.uint64)
+    assert lm_score._mark(a) != lm_score._mark(b)  # as many, and of equal sum
+    assert (lm_score._mark(a[:2]) + lm_score._mark(a[2:]) - lm_score._mark(a)) % (1 << 64) == 0
+    for n in (0, 1, 31, 32, 5000):
+        x = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        assert (lm_score._unpack(lm_score._pack(x), np.uint64) == x).all()
+
+
+def test_documents_that_change_between_readings_are_refused(spark):
+    """Other texts of as many n-grams when read again."""
+    df = spark.range(40).selectExpr("id doc_id", "concat('w', reflect('java.util.UUID', 'randomUUID'), ' x') text")
+    with pytest.raises(Exception, match="not the same when read again"):
+        lm_score.lm_scores(df).collect()
+
+
 def test_lm_scores_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     assert lm_score.lm_scores(spark.read.parquet(str(tmp_path / "d"))).count() == 0
