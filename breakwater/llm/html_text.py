@@ -2,17 +2,23 @@
 
 Pages of a host are dealt with in groups. A token is a tag or a word together with the path
 of elements around it. Tokens that share an occurrence vector (how often each occurs on each
-page of the group) form an equivalence class; classes with enough support whose tokens keep
-one order on all pages are valid. The class of tokens that occur once on each page is the
-template's root; classes of repeated tokens nest in the gaps between root tokens. What is left
-between template tokens are slots; the article is what the slots of the main container
-hold, without the slots of menus, adverts and the like and without blocks of template words.
+page of the group) form an equivalence class, valid if its tokens keep one order. The class
+of tokens that occur once on a page is the template's root. Between two root tokens the
+classes of repeated tokens (records, such as a list's items or an article's paragraphs) are
+nested, each inside the record that holds it. The text between template tokens stands in slots; slots
+are the same places on all pages, so what a slot is (links, a menu, the article) is decided
+once from what all pages of the group have there. The article is what is left in the slots
+of the main container, without blocks that are template words throughout.
+
+Pages of hosts with fewer than ``LEAST`` distinct pages have no template; for them names of
+elements and classes, and the page's own text, decide.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -21,8 +27,10 @@ from pyspark.sql import functions as F
 
 #: Pages of a host that are deduced together, about; from so many on a template is deduced.
 GROUP, LEAST = 150, 6
-#: Share of the pages that must show a class, and least tokens of a class.
-SUPPORT, CLASS = 0.9, 2
+#: Share of the pages that must show the root's tokens; least tokens of a class, and pages that show a nested one.
+SUPPORT, CLASS, NESTED = 0.9, 2, 3
+#: Share of the text that the main container holds.
+MOST = 0.7
 #: Hosts with more than GROUP pages whose sizes may be broadcast.
 BROADCAST_HOSTS = 100_000
 
@@ -47,6 +55,9 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(?:^|(?<=[\s\"']))(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+_INLINE = frozenset("b i em strong span a font u".split())
+#: No main container, and what holds no text for readers whatever its name.
+_LEAVES, _NEVER = frozenset("p b i em strong span li br".split()), frozenset("head title".split())
 #: A new element of the first kind ends an open one of these.
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -74,13 +85,53 @@ def _kind(name: str, attributes: str) -> tuple[str, bool, bool]:
     return signature, chrome, main
 
 
+class Paths:
+    """Numbers for paths of elements: a path is the one above it and an element's signature."""
+
+    def __init__(self):
+        self.known: dict[tuple, int] = {}
+        self.up: list[int] = []
+        self.name: list[str] = []
+        self.chrome: list[bool] = []  # by its name or that of an element above
+        self.marked: list[bool] = []  # may be the main container, by its name
+        self.inside: list[bool] = []  # itself or an element above is marked
+        self.kinds: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+
+    def number(self, up: int, name: str, attributes: str) -> int:
+        kind = self.kinds.get((name, attributes))
+        if kind is None:
+            kind = _kind(name, attributes)
+            if len(attributes) < 200:
+                self.kinds[(name, attributes)] = kind
+        key = (up, *kind)
+        found = self.known.get(key)
+        if found is None:
+            _, chrome, main = kind
+            inside = up >= 0 and self.inside[up]
+            chrome |= name == "header" and not inside or up >= 0 and self.chrome[up]
+            found = self.known[key] = len(self.up)
+            self.up.append(up)
+            self.name.append(name)
+            self.chrome.append(chrome)
+            self.marked.append(main and not chrome)
+            self.inside.append(inside or main and not chrome)
+        return found
+
+
 class Page:
-    """Blocks of text of a page, and its tags with their paths in page order."""
+    """Elements of a page (path, and the element above), its tags in order, and its blocks of text.
 
-    def __init__(self, html: str):
-        self.blocks: list[dict] = []
-        self.tags: list[str] = []
-        stack: list[tuple] = []  # name, path, chrome, main containers around, is a header outside an article
+    A tag is its path's number, an end tag that number's complement. A block is its words,
+    its element, the characters of its links and the number of tags before it.
+    """
+
+    def __init__(self, html: str, paths: Paths):
+        self.tags: list[int] = []
+        self.path: list[int] = []
+        self.above: list[int] = []
+        self.blocks: list[tuple[list[str], int, int, int]] = []
+        stack: list[tuple[str, int]] = []  # name, element
+        open_: Counter = Counter()
         text: list[str] = []
         links = 0
 
@@ -89,8 +140,7 @@ class Page:
             if text:
                 words = entities.unescape("".join(text)).split()
                 if words:
-                    path, chrome, mains = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else ("", False, ())
-                    self.blocks.append({"words": words, "path": path, "chrome": chrome, "mains": mains, "links": links, "at": len(self.tags)})
+                    self.blocks.append((words, stack[-1][1] if stack else -1, links, len(self.tags)))
                 text.clear()
             links = 0
 
@@ -103,157 +153,343 @@ class Page:
                 continue
             name = m.group(3)
             if name is None:
-                text.append(" ") if text else None
+                if text:
+                    text.append(" ")
                 continue
             name = name.lower()
             if m.group(2) == "</":
                 if name in BLOCK:
                     flush()
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if depth is not None:
-                    self.tags.append("/" + stack[depth][1])
+                if open_[name]:
+                    depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
+                    self.tags.append(~self.path[stack[depth][1]])
+                    for n, _ in stack[depth:]:
+                        open_[n] -= 1
                     del stack[depth:]
                 continue
+            attributes = m.group(4) or ""
             if name in BLOCK:
                 flush()
                 enders = _ENDS.get(name, ())
-                while stack and (stack[-1][0] in enders or enders and stack[-1][0] in ("b", "i", "em", "strong", "span", "a", "font", "u")):
-                    if stack[-1][0] not in enders and not any(s[0] in enders for s in stack):
-                        break
-                    stack.pop()
+                while enders and stack and (stack[-1][0] in enders or stack[-1][0] in _INLINE and any(open_[e] for e in enders)):
+                    open_[stack.pop()[0]] -= 1
             elif name == "br":
                 text.append(" ")
-            signature, chrome, main = _kind(name, m.group(4) or "")
-            above = stack[-1] if stack else ("", "", False, ())
-            chrome |= name == "header" and not above[3]
-            path = f"{above[1]}>{signature}"
+            above = stack[-1][1] if stack else -1
+            path = paths.number(self.path[above] if above >= 0 else -1, name, attributes)
             self.tags.append(path)
-            if name not in VOID and not (m.group(4) or "").endswith("/"):
-                mains = (*above[3], len(self.tags)) if main and not (above[2] or chrome) else above[3]
-                stack.append((name, path, above[2] or chrome, mains))
+            if name not in VOID and not attributes.endswith("/"):
+                self.path.append(path)
+                self.above.append(above)
+                stack.append((name, len(self.path) - 1))
+                open_[name] += 1
         flush()
 
+    def events(self):
+        """Tags and blocks in page order: (tag, None) or (None, number of the block)."""
+        k = 0
+        for i, tag in enumerate(self.tags):
+            while k < len(self.blocks) and self.blocks[k][3] <= i:
+                yield None, k
+                k += 1
+            yield tag, None
+        while k < len(self.blocks):
+            yield None, k
+            k += 1
 
-def _order(rows: list[list[str]], members: set[str]) -> bool:
-    """Whether the members keep one order on all pages (their sequences agree where both occur)."""
-    first: list[str] | None = None
-    for tags in rows:
-        seen = [t for t in tags if t in members]
-        if first is None or len(seen) > len(first):
-            first, seen = seen, first or seen
-        it = iter(first)
-        if not all(any(t == x for x in it) for t in seen):
-            return False
-    return True
+    def path_of(self, block: int) -> int:
+        element = self.blocks[block][1]
+        return self.path[element] if element >= 0 else -1
+
+
+def _increasing(values: list[int]) -> set[int]:
+    """The values of a longest increasing subsequence."""
+    tails: list[int] = []
+    places: list[int] = []
+    back: list[int] = []
+    for i, v in enumerate(values):
+        k = bisect_left(tails, v)
+        back.append(places[k - 1] if k else -1)
+        if k == len(tails):
+            tails.append(v)
+            places.append(i)
+        else:
+            tails[k], places[k] = v, i
+    out, i = set(), places[-1] if places else -1
+    while i >= 0:
+        out.add(values[i])
+        i = back[i]
+    return out
 
 
-def deduce(pages: list[Page]) -> tuple[set[str], set[tuple[str, str]]]:
-    """The template of a group: root tags (once a page, in one order), and template words by path.
+class Template:
+    """The nested classes of a group of pages.
 
-    Words are in the template if their occurrence vector is that of a valid class of tags.
+    ``root`` numbers the root's tokens in order. ``records`` names for each pair of a gap of the root
+    and a tag in it the record (nested class) of the tag, and the tag's number in the record; ``sizes`` are
+    the records' numbers of tags and ``parents`` the slots they stand in. ``words`` are the template words of each slot.
     """
-    n = len(pages)
-    if n < LEAST:
-        return set(), set()
-    vectors: dict = defaultdict(Counter)
-    for i, p in enumerate(pages):
-        for t in p.tags:
-            vectors[t][i] += 1
-        for b in p.blocks:
-            for w in b["words"]:
-                vectors[(b["path"], w)][i] += 1
-    classes: dict = defaultdict(list)
-    for token, vector in vectors.items():
-        if len(vector) >= SUPPORT * n:
-            once = all(c == 1 for c in vector.values())
-            classes["once" if once else tuple(sorted(vector.items()))].append(token)
-    root, words = set(), set()
-    for key, tokens in classes.items():
-        tags = {t for t in tokens if isinstance(t, str)}
-        if len(tokens) < CLASS or not tags:
-            continue
-        rows = [p.tags for p in pages]
-        if key == "once":
-            while tags and not _order(rows, tags):
-                tags.discard(max(tags, key=lambda t: (t.count(">"), t)))
-            root = tags
-        elif not _order([list(dict.fromkeys(r)) for r in rows], tags):
-            continue
-        words |= {t for t in tokens if not isinstance(t, str)}
-    return root, words
-
-
-def _slots(page: Page, root: set[str]) -> list[str]:
-    """For each block the root tag before it: the slot it stands in."""
-    before, last = [""], ""
-    for t in page.tags:
-        last = t if t in root else last
-        before.append(last)
-    return [before[b["at"]] for b in page.blocks]
-
-
-def extract(htmls: list[str | None]) -> list[list[str]]:
-    """The article's blocks of each page of one group."""
-    pages = [Page(h or "") for h in htmls]
-    distinct = list({tuple(tuple(b["words"]) for b in p.blocks): p for p in pages if p.blocks}.values())
-    root, template = deduce(distinct)
-    slots = [_slots(p, root) for p in pages]
-    weight: Counter = Counter()
-    linked: Counter = Counter()
-    for p, own in zip(pages, slots):
-        for b, s in zip(p.blocks, own):
-            if not b["chrome"]:
-                size = sum(map(len, b["words"]))
-                weight[(s, b["path"])] += size
-                linked[(s, b["path"])] += min(b["links"], size)
-    out = []
-    for p, own in zip(pages, slots):
-        live = [(b, s) for b, s in zip(p.blocks, own) if not b["chrome"] and 2 * linked[(s, b["path"])] <= weight[(s, b["path"])]]
-        inside = _main(live)
-        if template:
-            rest = [b for b in inside if not all((b["path"], w) in template for w in b["words"])]
-            if 2 * sum(len(b["words"]) for b in rest) >= sum(len(b["words"]) for b in inside):
-                inside = rest
-        out.append([" ".join(b["words"]) for b in inside])
+
+    def __init__(self, pages: list[Page]):
+        self.root: dict = {}
+        self.records: dict[tuple[int, int], tuple[int, int]] = {}
+        self.sizes: list[int] = []
+        self.parents: list[tuple] = []
+        self.words: set = set()
+        self._texts: set[str] = set()
+        self._known: dict[int, list[tuple]] = {}
+        n = len(pages)
+        if n >= LEAST:
+            self._root(pages, SUPPORT * n)
+            self._nest(pages)
+            self._parents(pages)
+            self._record_words(pages, SUPPORT * n)
+
+    def _root(self, pages: list[Page], least: float) -> None:
+        held: Counter = Counter()
+        for p in pages:
+            held.update({*p.tags, *((p.path_of(i), w) for i, b in enumerate(p.blocks) for w in b[0])})
+        often = {t for t, c in held.items() if c >= least}
+        once, rows = set(often), []
+        words = {t[1] for t in often if not isinstance(t, int)}
+        for p in pages:
+            row = [t for tag, k in p.events() for t in ([tag] if k is None else [(p.path_of(k), w) for w in p.blocks[k][0] if w in words]) if t in often]
+            once -= {t for t, c in Counter(row).items() if c > 1}
+            rows.append(row)
+        self._often = often - once
+        longest = max(rows, key=lambda r: sum(t in once for t in r))
+        order = {t: i for i, t in enumerate(t for t in longest if t in once)}
+        keep = set(order.values())
+        for row in rows:
+            places = [order[t] for t in row if t in order]
+            keep -= set(places) - _increasing(places)
+        kept = [t for t, i in order.items() if i in keep]
+        # An element is in the root with both its tags, or with the first if its end is left out on all pages.
+        lost = {t for t in kept if isinstance(t, int) and t >= 0 and ~t in held and ~t not in order} | {t for t in kept if isinstance(t, int) and t < 0 and ~t not in order}
+        kept = [t for t in kept if t not in lost]
+        if sum(isinstance(t, int) for t in kept) >= CLASS:
+            self.root = {t: i for i, t in enumerate(kept)}
+            self.words = {t for t in kept if not isinstance(t, int)}
+            self._texts = {t[1] for t in self.words}
+
+    def _gaps(self, page: Page) -> list[tuple]:
+        """Events outside the root with the root token before them: (gap, tag, block)."""
+        known = self._known.get(id(page))
+        if known is None:
+            known = self._known[id(page)] = list(self._walk(page))
+        return known
+
+    def _walk(self, page: Page):
+        gap, texts = -1, self._texts
+        for tag, k in page.events():
+            if k is None:
+                if tag in self.root:
+                    gap = self.root[tag]
+                else:
+                    yield gap, tag, None
+            else:
+                yield gap, None, k
+                if not texts.isdisjoint(page.blocks[k][0]):
+                    for w in page.blocks[k][0]:
+                        gap = self.root.get((page.path_of(k), w), gap)
+
+    def _nest(self, pages: list[Page]) -> None:
+        """Tags of a gap with equal vectors, repeated in one order, are a record."""
+        vectors: dict = defaultdict(Counter)
+        orders: list[dict[int, list[int]]] = []
+        for i, p in enumerate(pages):
+            seen: dict[int, list[int]] = defaultdict(list)
+            for gap, tag, _ in self._gaps(p):
+                if tag is not None:
+                    vectors[(gap, tag)][i] += 1
+                    seen[gap].append(tag)
+            orders.append(seen)
+        classes: dict = defaultdict(list)
+        for (gap, tag), vector in vectors.items():
+            if len(vector) >= NESTED:
+                classes[(gap, tuple(sorted(vector.items())))].append(tag)
+        for (gap, vector), tags in classes.items():
+            if len(tags) < CLASS:
+                continue
+            members, period = set(tags), None
+            for i, count in vector:
+                row = [t for t in orders[i][gap] if t in members]
+                period = period or row[: len(tags)]
+                if row != period * count:
+                    break
+            else:
+                for k, tag in enumerate(period):
+                    self.records[(gap, tag)] = (len(self.sizes), k)
+                self.sizes.append(len(period))
+
+    def slots(self, page: Page) -> list[tuple]:
+        """The slot of each block: the gap of the root, and the innermost record around it with the tag before it there."""
+        out: list[tuple] = [()] * len(page.blocks)
+        open_: list[tuple[int, int]] = []
+        last = None
+        for gap, tag, k in self._gaps(page):
+            if gap != last:
+                open_, last = [], gap
+            if tag is not None:
+                if (at := self.records.get((gap, tag))) is not None:
+                    while any(r == at[0] for r, _ in open_):  # what stands inside ends with the record's next tag
+                        open_.pop()
+                    if at[1] + 1 < self.sizes[at[0]]:
+                        open_.append(at)
+            else:
+                out[k] = (gap, *(open_[-1] if open_ else (-1, -1)))
+        return out
+
+    def _parents(self, pages: list[Page]) -> None:
+        found: list[Counter] = [Counter() for _ in self.sizes]
+        for p in pages:
+            open_, last = [], None
+            for gap, tag, _ in self._gaps(p):
+                if gap != last:
+                    open_, last = [], gap
+                if tag is not None and (at := self.records.get((gap, tag))) is not None:
+                    while any(r == at[0] for r, _ in open_):
+                        open_.pop()
+                    if at[1] == 0:
+                        found[at[0]][(gap, *(open_[-1] if open_ else (-1, -1)))] += 1
+                    if at[1] + 1 < self.sizes[at[0]]:
+                        open_.append(at)
+        self.parents = [c.most_common(1)[0][0] if c else () for c in found]
+
+    def _record_words(self, pages: list[Page], least: float) -> None:
+        """Words that occur in a record's slot as often as the record, on all pages that have it."""
+        slots = [self.slots(p) for p in pages]
+        often = {t[1] for t in self._often if not isinstance(t, int)}
+        times: dict = defaultdict(Counter)
+        records: dict = defaultdict(Counter)
+        for i, p in enumerate(pages):
+            for gap, tag, _ in self._gaps(p):
+                if tag is not None and self.records.get((gap, tag), (0, 1))[1] == 0:
+                    records[self.records[(gap, tag)][0]][i] += 1
+            for k, s in enumerate(slots[i]):
+                if s[1] >= 0 and not often.isdisjoint(p.blocks[k][0]):
+                    for w in p.blocks[k][0]:
+                        if w in often and (p.path_of(k), w) in self._often:
+                            times[(s, w)][i] += 1
+        found = {key for key, vector in times.items() if vector == records[key[0][1]]}
+        self.words |= found
+        self._texts |= {w for _, w in found}
+
+    def constant(self, page: Page, k: int, slot: tuple) -> bool:
+        """Whether a block is template words throughout."""
+        path = page.path_of(k)
+        if not self._texts.issuperset(page.blocks[k][0]):
+            return False
+        return all((path, w) in self.words or (slot, w) in self.words for w in page.blocks[k][0])
+
+
+def _sums(up: list[int], own: dict[int, int]) -> list[int]:
+    """What each path holds with the paths below it; paths above come first."""
+    out = [own.get(i, 0) for i in range(len(up))]
+    for i in range(len(up) - 1, -1, -1):
+        if up[i] >= 0:
+            out[up[i]] += out[i]
     return out
 
 
-def _main(live: list[tuple[dict, str]]) -> list[dict]:
-    """The blocks of the main container: the marked one with most text, else the deepest with most of it."""
-    size = lambda b: sum(map(len, b["words"])) + 1
-    marked: Counter = Counter()
-    for b, _ in live:
-        for k in b["mains"]:
-            marked[k] += size(b)
+def _size(words: list[str]) -> int:
+    return sum(map(len, words)) + 1
+
+
+def _container(paths: Paths, own: dict[int, int], marks: bool) -> set[int]:
+    """The path of the main container: the marked one with most text, else the deepest with most of it.
+
+    Several marked paths without one that holds most of their text are all containers. -1 is the page itself.
+    """
+    total = _sums(paths.up, own)
+    marked = [i for i, m in enumerate(paths.marked) if m and total[i]] if marks else []
     if marked:
-        total = max(marked.values())
-        outer = [b["mains"] for b, _ in live if b["mains"]]
-        best = {k for k, v in marked.items() if v == total}
-        pick = max(best)
-        # Several articles beside each other are all taken unless one container holds nearly all.
-        if total < 0.6 * sum(size(b) for b, _ in live if b["mains"]):
-            return [b for b, _ in live if b["mains"]]
-        del outer
-        return [b for b, _ in live if pick in b["mains"]]
+        best = max(marked, key=lambda i: (total[i], i))
+        outer = [i for i in marked if paths.up[i] < 0 or not paths.inside[paths.up[i]]]
+        return {best} if total[best] >= 0.6 * sum(total[i] for i in outer) else set(outer)
+    most, depth = sum(own.values()), []
+    for up in paths.up:
+        depth.append(depth[up] + 1 if up >= 0 else 0)
+    best = max((i for i, t in enumerate(total) if t and t >= MOST * most), key=lambda i: (depth[i], total[i]), default=-1)
+    while best >= 0 and paths.name[best] in _LEAVES:
+        best = paths.up[best]
+    return {best}
+
+
+def _inside(page: Page, live: list[int], main: set[int]) -> list[int]:
+    """The live blocks inside elements of the main paths; if one such element holds most of them, only its own."""
+    if -1 in main:
+        return live
+    holder: list[int] = []
+    for e, path in enumerate(page.path):
+        above = page.above[e]
+        held = holder[above] if above >= 0 else -1
+        holder.append(e if held < 0 and path in main else held)
+    of = {k: holder[page.blocks[k][1]] if page.blocks[k][1] >= 0 else -1 for k in live}
     held: Counter = Counter()
-    for b, _ in live:
-        steps = b["path"].split(">")
-        for i in range(1, len(steps) + 1):
-            held[">".join(steps[:i])] += size(b)
+    for k, e in of.items():
+        if e >= 0:
+            held[e] += _size(page.blocks[k][0])
     if not held:
         return []
-    total = max(held.values())
-    deep = max((k for k, v in held.items() if v >= 0.7 * total), key=lambda k: (k.count(">"), held[k]))
-    if deep.rpartition(">")[2].split(".")[0] in ("p", "b", "i", "em", "strong", "span", "li"):
-        deep = deep.rpartition(">")[0]
-    return [b for b, _ in live if b["path"] == deep or b["path"].startswith(deep + ">")]
+    best, most = held.most_common(1)[0]
+    return [k for k in live if (of[k] == best if most >= 0.6 * held.total() else of[k] >= 0)]
+
+
+def extract(htmls: list[str | None], template: type = Template, names: bool = True) -> list[list[str]]:
+    """The article's blocks of each page of one group; without ``names`` those of elements and classes tell nothing."""
+    paths = Paths()
+    pages = [Page(h or "", paths) for h in htmls]
+    if not names:
+        paths.chrome = [n in _NEVER for n in paths.name]
+    distinct = list({tuple(tuple(b[0]) for b in p.blocks): p for p in pages if p.blocks}.values())
+    found = template(distinct)
+    if not found.root:
+        return [[" ".join(p.blocks[k][0]) for k in _alone(p, paths, names)] for p in pages]
+    slots = [found.slots(p) for p in pages]
+    weight, linked, chrome, own = Counter(), Counter(), Counter(), Counter()
+    for p, of in zip(pages, slots):
+        for k, (words, _, links, _) in enumerate(p.blocks):
+            size = _size(words)
+            weight[of[k]] += size
+            linked[of[k]] += min(links, size)
+            chrome[of[k]] += size * (p.path_of(k) >= 0 and paths.chrome[p.path_of(k)])
+    closed = {s for s, w in weight.items() if 2 * linked[s] > w or 2 * chrome[s] > w}
+    # What is nested in a closed slot is closed.
+    for r, up in enumerate(found.parents):
+        closed |= {s for s in weight if s[1] == r and up in closed}
+    lives = []
+    for p, of in zip(pages, slots):
+        live = [k for k, s in enumerate(of) if s not in closed and not found.constant(p, k, s)]
+        for k in live:
+            own[p.path_of(k)] += _size(p.blocks[k][0])
+        lives.append(live)
+    main = _container(paths, own, names)
+    out = []
+    for p, live in zip(pages, lives):
+        kept = _inside(p, live, main) or (_inside(p, live, _container(paths, Counter({p.path_of(k): _size(p.blocks[k][0]) for k in live}), names)) if live else [])
+        out.append([" ".join(p.blocks[k][0]) for k in kept])
+    return out
+
+
+def _alone(page: Page, paths: Paths, names: bool) -> list[int]:
+    """The article's blocks of a page without a template."""
+    weight, linked, own = Counter(), Counter(), Counter()
+    for k, (words, _, links, _) in enumerate(page.blocks):
+        weight[page.path_of(k)] += _size(words)
+        linked[page.path_of(k)] += min(links, _size(words))
+    live = [k for k in range(len(page.blocks)) if not ((at := page.path_of(k)) >= 0 and paths.chrome[at]) and 2 * linked[at] <= weight[at]]
+    for k in live:
+        own[page.path_of(k)] += _size(page.blocks[k][0])
+    return _inside(page, live, _container(paths, own, names)) if live else []
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row of ``pages(page_id, url, html)``.
 
     Pages of a host are dealt out in groups of about ``GROUP`` by a hash of the page, so a host
-    of any size makes bounded groups; every page is extracted with its own group's template.
+    of any size makes bounded groups; every page is extracted with its own group's template,
+    in time and memory linear in the pages' length, however deep their elements are.
     A null html gives an empty text, a null url belongs to the host of none, repeated rows
     are extracted each and deduced once; an empty table gives an empty result; other
     columns are not read.

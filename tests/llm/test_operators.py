@@ -271,15 +271,68 @@ def test_main_text(spark):
     assert got[100].text == "Only\npage" and got[101].text == got[102].text == "" and got[103].text == "plain <text>"
 
 
+class NoTemplate:
+    def __init__(self, pages):
+        self.root = {}
+
+
+def article(page):
+    import html
+
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", inner)]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_template_decides_without_names():
+    """On the hosts of the table, with all names of elements and classes hidden, the template alone finds every article; pages by themselves don't show it."""
+    import pyarrow.parquet as pq
+
+    hosts = {}
+    for r in pq.read_table(SF.replace("0.001", "0.01") + "/pages.parquet").to_pylist():
+        hosts.setdefault(re.sub(r"^\w+://([^/?#]*).*", r"\1", r["url"]), []).append(r["html"])
+    hosts = {h: p for h, p in hosts.items() if len(set(p)) >= html_text.LEAST}
+    right = lambda **how: [["\n".join(b) for b in html_text.extract(p, names=False, **how)] == [article(x) for x in p] for p in hosts.values()]
+    assert len(hosts) > 3 and all(right()) and not all(right(template=NoTemplate))
+
+
+NEUTRAL = """<html><body><div class=k1>%s</div><div class=k2><div class=k3><h2>%s</h2>%s</div><div class=k4>More on this site <b>now</b> %s</div></div><div class=k5><span>Written with care in our office. All prices in euro.</span></div></body></html>"""
+
+
+def test_nested_classes_of_a_neutral_host(spark):
+    """Records of links, of paragraphs, and of cards nested in each other; constant words; a page with more of the rest than of the article."""
+    rng = random.Random(5)
+    pages, want = [], []
+    for i in range(30):
+        links = "".join(f"<p><a href=/{k}>{' '.join(words(rng, 6))}</a></p>" for k in range(rng.randrange(5, 30)))
+        body = [" ".join(words(rng, rng.randrange(15, 40))) for _ in range(1 if i == 7 else rng.randrange(3, 7))]
+        cards = "".join(f"<div class=c><div class=d><a href=/>{' '.join(words(rng, 4))}</a></div><div class=e>Read on</div>{'<i>tag</i>' * rng.randrange(4)}</div>" for _ in range(rng.randrange(2, 9)))
+        title = " ".join(words(rng, 5))
+        pages.append((i, f"http://n.example/{i}", NEUTRAL % (links, title, "".join(f"<p>{b}</p>" for b in body), cards)))
+        want.append("\n".join([title, *body]))
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(30)] == want
+    paths = html_text.Paths()
+    template = html_text.Template([html_text.Page(h, paths) for _, _, h in pages])
+    assert len(template.root) >= 16 and len(template.sizes) >= 3
+    assert any(p[1] >= 0 for p in template.parents)  # a record inside a record
+    assert [html_text.extract([h for _, _, h in pages], template=NoTemplate)[i] for i in range(30)] != [w.split("\n") for w in want]
+
+
+def test_main_text_of_deep_and_long_pages(spark):
+    deep = "<article>" + '<div class="c">x ' * 60_000 + "</div>" * 60_000 + "</article>"
+    long = "<article>" + "".join(f"<p>word{i} and more" for i in range(60_000)) + "</article>"
+    rows = [(i, "http://d.example/", h) for i, h in enumerate([deep, long, "<" * 30_000, "<div " * 20_000, "</div>" * 20_000, "<a><p>" * 20_000, "&#0;&lt", "<!-- never closed", "<script>also not"])]
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0].text == "\n".join(["x"] * 60_000) and got[1].text.count("\n") == 59_999
+    assert len(got) == len(rows) and html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_main_text_of_the_table(spark):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
-    import html
-
     for r in df.collect():
-        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
-        want = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", inner)]
-        assert got[r.page_id] == "\n".join(b for b in want if b)
+        assert got[r.page_id] == article(r.html)
 
 
 # 3
