@@ -1,29 +1,85 @@
 """Operators on the feature matrix: ranks, imputation, scores, selection and their evaluation.
 
-A feature matrix is long, ``id, feature, value``: one exchange by feature serves all ranks.
+A feature matrix is long, ``id, feature, value``. Ranks, counts and quantiles of a feature come
+from ``ranking``, which spreads a feature over many tasks; the SQL text beside each says what
+they are.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from breakwater.operators import ranking
 from breakwater.plans.family import columns, family
 
+
+def stacked(wide: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``id, feature, value`` of a wide matrix, in one pass."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])
+    return wide.select("id", F.explode(pairs).alias("x")).select("id", "x.feature", "x.value")
+
+
+def _holed(wide: DataFrame) -> DataFrame:
+    holes = F.array(*[F.lit(n) for n in NAMES])
+    hole = F.col("feature").eqNullSafe(F.get(holes, (F.col("id") % 17).cast("int")))
+    return stacked(wide, NAMES).withColumn("value", F.when(~hole, F.col("value")))
+
+
+def _busy(wide: DataFrame) -> DataFrame:
+    return wide.crossJoin(F.broadcast(wide.agg(F.avg("n").alias("mean_n")))).select("id", F.when(F.col("n") > F.col("mean_n"), 1).otherwise(0).alias("y"))
+
+
+def _binned(rows: DataFrame, bins: int = 8) -> DataFrame:
+    """``feature, y, bin, k``: counts in bins of equal ranks; equal values share a bin."""
+    places = ranking.swept(rows, ["feature"], "value", pos=F.col("y").cast("long"), neg=1 - F.col("y").cast("long"))
+    low, total = F.col("pos_below") + F.col("neg_below"), F.col("pos_total") + F.col("neg_total")
+    both = F.array(F.struct(F.lit(1).alias("y"), F.col("pos").alias("k")), F.struct(F.lit(0).alias("y"), F.col("neg").alias("k")))
+    cells = places.select("feature", F.floor(bins * low / total).alias("bin"), F.explode(both).alias("c")).where("c.k > 0")
+    return cells.groupBy("feature", F.col("c.y").alias("y"), "bin").agg(F.sum("c.k").cast("double").alias("k"))
+
+
+def _held_quartiles(rows: DataFrame) -> DataFrame:
+    """``k, feature, q1, q2, q3`` of the values of all folds but k."""
+    places = ranking.swept(rows, ["feature"], "value", **{f"w{k}": (F.col("fold") == k).cast("long") for k in range(FOLDS)})
+    out = None
+    for k in range(FOLDS):
+        rest = [j for j in range(FOLDS) if j != k]
+        own = places.select("feature", "value", *[sum(F.col(f"w{j}{end}") for j in rest).alias(f"n{end}") for end in ("", "_below", "_total")])
+        got = ranking.from_sweep(own, ["feature"], "value", QUARTILES).withColumn("k", F.lit(k))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _summary(rows: DataFrame) -> DataFrame:
+    places = ranking.swept(rows, ["y"], "score", n=F.lit(1))
+    ends = places.groupBy("y").agg(F.sum("n").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    return ends.join(ranking.from_sweep(places, ["y"], "score", {"q25": 0.25, "med": 0.5, "q75": 0.75}), "y")
+
+
+def _dealt(labels: DataFrame) -> DataFrame:
+    """Rows of each class in the order of a digest of the id: ``id, y, at, at_of``."""
+    digest = F.md5((F.col("id") * 1000 + 42).cast("string"))
+    return ranking.numbered(labels.withColumn("_d", digest), ["y"], "_d", ["id"]).drop("_d")
+
 #: Eight features of each user series, long, with missing values; the label is a busy user.
 _WIDE = ("wide", "SELECT id, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS lo, max(value) AS hi, POST(avg(value)) - PRE(avg(value)) AS shift, DIV(POST(var_samp(value)), PRE(var_samp(value))) AS vr, POST(max(value)) - PRE(max(value)) AS top, DBL(count(*)) AS n FROM {seg} GROUP BY id")
+FOLDS, QUARTILES = 5, {"q1": 0.25, "q2": 0.5, "q3": 0.75}
 NAMES = ("mean", "sd", "lo", "hi", "shift", "vr", "top")
-_LONG = ("f", " UNION ALL ".join(f"SELECT id, '{c}' AS feature, CASE WHEN id % 17 = {k} THEN NULL ELSE {c} END AS value FROM {{wide}}" for k, c in enumerate(NAMES)))
-_LABEL = ("lab", "SELECT id, CASE WHEN n > PCTN THEN 1 ELSE 0 END AS y FROM {wide}".replace("PCTN", "avgn").replace("FROM {wide}", "FROM (SELECT id, n, avg(n) OVER () AS avgn FROM {wide}) z"))
-_FOLDS = ("fold", "SELECT id, y, BIG((row_number() OVER (PARTITION BY y ORDER BY MD5(id * 1000 + 42), id) - 1) % 5) AS fold FROM {lab}")
+_LONG = ("f", " UNION ALL ".join(f"SELECT id, '{c}' AS feature, CASE WHEN id % 17 = {k} THEN NULL ELSE {c} END AS value FROM {{wide}}" for k, c in enumerate(NAMES)), lambda have: _holed(have["wide"]))
+_LABEL = ("lab", "SELECT id, CASE WHEN n > PCTN THEN 1 ELSE 0 END AS y FROM {wide}".replace("PCTN", "avgn").replace("FROM {wide}", "FROM (SELECT id, n, avg(n) OVER () AS avgn FROM {wide}) z"), lambda have: _busy(have["wide"]))
+_FOLDS = ("fold", "SELECT id, y, BIG((row_number() OVER (PARTITION BY y ORDER BY MD5(id * 1000 + 42), id) - 1) % 5) AS fold FROM {lab}", lambda have: _dealt(have["lab"]).select("id", "y", (F.col("at") % FOLDS).alias("fold")))
 _BASE = (_WIDE, _LONG, _LABEL)
 IN = {"seg": "seg_users"}
 #: Average-tie rank over the number of values; missing is 0.5.
-_RANK = ("rk", "SELECT id, feature, value, CASE WHEN value IS NULL THEN DBL(0.5) ELSE (rank() OVER (PARTITION BY feature ORDER BY value NULLS LAST) + (count(*) OVER (PARTITION BY feature, value) - 1) / DBL(2)) / count(value) OVER (PARTITION BY feature) END AS r FROM {f}")
+_RANK = ("rk", "SELECT id, feature, value, CASE WHEN value IS NULL THEN DBL(0.5) ELSE (rank() OVER (PARTITION BY feature ORDER BY value NULLS LAST) + (count(*) OVER (PARTITION BY feature, value) - 1) / DBL(2)) / count(value) OVER (PARTITION BY feature) END AS r FROM {f}", lambda have: ranking.ranked(have["f"].select("id", "feature", "value"), ["feature"], "value"))
 #: Mann-Whitney with mid-ranks; one class only, or no value: 0.5.
 _AUC = "coalesce(DIV(sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / DBL(2), sum(y) * DBL(sum(1 - y))), 0.5)"
 
 
-def _auc(source: str, value: str, keys: str) -> tuple[str, str]:
+def _auc(source: str, value: str, keys: str) -> tuple:
     """Step ``a``: AUC of a value by keys."""
-    return ("a", f"SELECT {keys}, {_AUC} AS auc, BIG(count(*)) AS n FROM (SELECT {keys}, y, rank() OVER (PARTITION BY {keys} ORDER BY {value}) + (count(*) OVER (PARTITION BY {keys}, {value}) - 1) / DBL(2) AS r FROM {{{source}}} WHERE {value} IS NOT NULL) z GROUP BY {keys}")
+    return ("a", f"SELECT {keys}, {_AUC} AS auc, BIG(count(*)) AS n FROM (SELECT {keys}, y, rank() OVER (PARTITION BY {keys} ORDER BY {value}) + (count(*) OVER (PARTITION BY {keys}, {value}) - 1) / DBL(2) AS r FROM {{{source}}} WHERE {value} IS NOT NULL) z GROUP BY {keys}", lambda have: ranking.area(have[source], keys.split(", "), value))
 
 
 _WITH_Y = ("fy", "SELECT f.id, feature, value, y, fold FROM {f} f JOIN {fold} l ON f.id = l.id")
@@ -31,25 +87,54 @@ _WITH_Y = ("fy", "SELECT f.id, feature, value, y, fold FROM {f} f JOIN {fold} l
 _NORMALIZED = (
     ("ks", "SELECT DISTINCT fold AS k FROM {fold}"),
     ("tv", "SELECT k, id, feature, value, y, fold, CASE WHEN fold <> k AND value IS NOT NULL THEN 1 ELSE 0 END AS train FROM {fy} CROSS JOIN {ks}"),
-    ("nr", "SELECT k, id, feature, value, y, fold, train, CASE WHEN value IS NULL OR total = 0 THEN DBL(0.5) ELSE below / DBL(total) END AS r FROM (SELECT *, sum(train) OVER (PARTITION BY k, feature ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below, sum(train) OVER (PARTITION BY k, feature) AS total FROM {tv}) z"),
+    (
+        "nr",
+        "SELECT k, id, feature, value, y, fold, train, CASE WHEN value IS NULL OR total = 0 THEN DBL(0.5) ELSE below / DBL(total) END AS r FROM (SELECT *, sum(train) OVER (PARTITION BY k, feature ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below, sum(train) OVER (PARTITION BY k, feature) AS total FROM {tv}) z WHERE fold = k",
+        lambda have: ranking.held_out(have["fy"], ["feature"], "value", "fold", FOLDS).withColumn("k", F.col("fold")),
+    ),
 )
-_QUART = ("qs", "SELECT feature, PCT(value, 0.25) AS q1, PCT(value, 0.5) AS q2, PCT(value, 0.75) AS q3 FROM {f} WHERE value IS NOT NULL GROUP BY feature")
+_QUART = ("qs", "SELECT feature, PCT(value, 0.25) AS q1, PCT(value, 0.5) AS q2, PCT(value, 0.75) AS q3 FROM {f} WHERE value IS NOT NULL GROUP BY feature", lambda have: ranking.quantiles(have["f"], ["feature"], "value", QUARTILES))
 _WEIGHTS = ("wt", "SELECT * FROM (VALUES ('mean', 0.6), ('sd', 1.2), ('lo', 0.4), ('hi', 0.8), ('shift', 1.5), ('vr', 1.1), ('top', 0.7)) AS v(feature, w)")
 _IMPUTED = ("im", "SELECT f.id, f.feature, coalesce(f.value, q2, 0) AS value FROM {f} f LEFT JOIN {qs} q ON f.feature = q.feature")
 _PAIRED = ("pr", "SELECT a.id, a.feature AS fa, b.feature AS fb, a.value AS u, b.value AS v FROM {im} a JOIN {im} b ON a.id = b.id AND a.feature < b.feature")
 _Y_IM = ("iy", "SELECT i.id, i.feature, i.value, y, fold FROM {im} i JOIN {fold} l ON i.id = l.id")
-_BINNED = ("bn", "SELECT feature, y, bin, DBL(count(*)) AS k FROM (SELECT feature, y, ntile(8) OVER (PARTITION BY feature ORDER BY value, id) AS bin FROM {iy}) z GROUP BY feature, y, bin")
+_BINNED = ("bn", "SELECT feature, y, bin, DBL(count(*)) AS k FROM (SELECT feature, y, floor(8 * (rank() OVER (PARTITION BY feature ORDER BY value) - 1) / DBL(count(*) OVER (PARTITION BY feature))) AS bin FROM {iy}) z GROUP BY feature, y, bin", lambda have: _binned(have["iy"]))
 _MI = ("mi", "SELECT feature, sum(k / n * LN(k * n / (kb * ky))) AS mi FROM (SELECT feature, k, sum(k) OVER (PARTITION BY feature) AS n, sum(k) OVER (PARTITION BY feature, bin) AS kb, sum(k) OVER (PARTITION BY feature, y) AS ky FROM {bn}) z GROUP BY feature")
 _SCORE = ("sc", "SELECT r.id, round(avg(r), 9) AS score FROM {rk} r GROUP BY r.id")
 _SCORED = ("sy", "SELECT s.id, score, y, fold, 1 AS one FROM {sc} s JOIN {fold} l ON s.id = l.id")
 _ALL = (*_BASE, _FOLDS, _QUART, _IMPUTED, _Y_IM)
 
 # Baseline of the supplier series: robust contrasts, ranked and averaged.
+CONTRASTS = ("mean_delta", "median_delta", "std_logratio", "mad_logratio", "iqr_logratio")
+
+
+def _at(x, share: float):
+    """Interpolated quantile of a sorted array; null if it is empty."""
+    place = (F.size(x) - 1) * share
+    low, high = F.get(x, F.floor(place).cast("int")), F.get(x, F.ceil(place).cast("int"))
+    return low + (place - F.floor(place)) * (high - low)
+
+
+def _distances(x: str, centre: str):
+    return F.sort_array(F.transform(x, lambda v: F.abs(v - F.col(centre))))
+
+
+def _contrasts(seg: DataFrame) -> DataFrame:
+    """The five contrasts of each series, from one sorted array of each segment: one exchange, by id."""
+    value = lambda k: F.when(F.col("period") == k, F.col("value"))
+    one = seg.groupBy("id").agg(*[f(value(k)).alias(f"{n}{k}") for k in (0, 1) for n, f in (("mean", F.avg), ("sd", F.stddev_pop), ("x", lambda v: F.sort_array(F.collect_list(v))))])
+    one = one.select("*", *[_at(F.col(f"x{k}"), 0.5).alias(f"med{k}") for k in (0, 1)])
+    one = one.select("*", *[(_at(F.col(f"x{k}"), 0.75) - _at(F.col(f"x{k}"), 0.25)).alias(f"iqr{k}") for k in (0, 1)], *[_distances(f"x{k}", f"med{k}").alias(f"d{k}") for k in (0, 1)])
+    one = one.select("*", *[_at(F.col(f"d{k}"), 0.5).alias(f"mad{k}") for k in (0, 1)])
+    ratio = lambda n: F.abs(F.ln((F.col(f"{n}1") + 1e-8) / (F.col(f"{n}0") + 1e-8)))
+    return one.select("id", F.abs(F.col("mean1") - F.col("mean0")).alias("mean_delta"), F.abs(F.col("med1") - F.col("med0")).alias("median_delta"), ratio("sd").alias("std_logratio"), ratio("mad").alias("mad_logratio"), ratio("iqr").alias("iqr_logratio"))
+
+
 _SUP = (
     ("b0", "SELECT id, period, avg(value) AS mean, stddev_pop(value) AS sd, PCT(value, 0.5) AS med, PCT(value, 0.25) AS q25, PCT(value, 0.75) AS q75 FROM {seg} GROUP BY id, period"),
     ("b1", "SELECT s.id, s.period, PCT(abs(value - med), 0.5) AS mad FROM {seg} s JOIN {b0} b ON s.id = b.id AND s.period = b.period GROUP BY s.id, s.period"),
-    ("b2", "SELECT b.id, abs(V1(mean) - V0(mean)) AS mean_delta, abs(V1(med) - V0(med)) AS median_delta, abs(LN((V1(sd) + 1e-8) / (V0(sd) + 1e-8))) AS std_logratio, abs(LN((V1(mad) + 1e-8) / (V0(mad) + 1e-8))) AS mad_logratio, abs(LN((V1(q75 - q25) + 1e-8) / (V0(q75 - q25) + 1e-8))) AS iqr_logratio FROM (SELECT x.*, mad FROM {b0} x JOIN {b1} m ON x.id = m.id AND x.period = m.period) b GROUP BY b.id"),
-    ("f", " UNION ALL ".join(f"SELECT id, '{c}' AS feature, {c} AS value FROM {{b2}}" for c in ("mean_delta", "median_delta", "std_logratio", "mad_logratio", "iqr_logratio"))),
+    ("b2", "SELECT b.id, abs(V1(mean) - V0(mean)) AS mean_delta, abs(V1(med) - V0(med)) AS median_delta, abs(LN((V1(sd) + 1e-8) / (V0(sd) + 1e-8))) AS std_logratio, abs(LN((V1(mad) + 1e-8) / (V0(mad) + 1e-8))) AS mad_logratio, abs(LN((V1(q75 - q25) + 1e-8) / (V0(q75 - q25) + 1e-8))) AS iqr_logratio FROM (SELECT x.*, mad FROM {b0} x JOIN {b1} m ON x.id = m.id AND x.period = m.period) b GROUP BY b.id", lambda have: _contrasts(have["seg"])),
+    ("f", " UNION ALL ".join(f"SELECT id, '{c}' AS feature, {c} AS value FROM {{b2}}" for c in CONTRASTS), lambda have: stacked(have["b2"], CONTRASTS)),
 )
 
 FAMILIES = [
@@ -57,16 +142,16 @@ FAMILIES = [
     family("rank_pct", *_BASE, _RANK, "SELECT id, feature, R(r) AS r FROM {rk}", **IN),
     family("aggregate_features", *_BASE, _RANK, "SELECT id, R(avg(r)) AS score FROM {rk} GROUP BY id", **IN),
     family("stratified_folds", *_BASE, _FOLDS, "SELECT id, y, fold FROM {fold}", **IN),
-    family("stratified_split", *_BASE, "SELECT id, y, CASE WHEN (row_number() OVER (PARTITION BY y ORDER BY MD5(id * 1000 + 42), id) - 1) < floor(count(*) OVER (PARTITION BY y) * 0.2) THEN 1 ELSE 0 END AS test FROM {lab}", **IN),
+    family("stratified_split", *_BASE, ("sp", "SELECT id, y, CASE WHEN (row_number() OVER (PARTITION BY y ORDER BY MD5(id * 1000 + 42), id) - 1) < floor(count(*) OVER (PARTITION BY y) * 0.2) THEN 1 ELSE 0 END AS test FROM {lab}", lambda have: _dealt(have["lab"]).select("id", "y", F.when(F.col("at") < F.floor(F.col("at_of") * 0.2), 1).otherwise(0).alias("test"))), "SELECT id, y, test FROM {sp}", **IN),
     family("median_impute", *_BASE, _QUART, _IMPUTED, "SELECT id, feature, R(value) AS value FROM {im}", **IN),
     family("rank_normalizer", *_BASE, _FOLDS, _WITH_Y, *_NORMALIZED, "SELECT k, id, feature, R(r) AS r FROM {nr} WHERE fold = k", **IN),
     family("break_likelihood_rank", *_BASE, _RANK, _WEIGHTS, "SELECT id, R(sum(w * r) / sum(w)) AS break_likelihood FROM {rk} r JOIN {wt} w ON r.feature = w.feature GROUP BY id", **IN),
     family("break_likelihood_z", *_BASE, _QUART, _WEIGHTS, "SELECT f.id, R(1 / (1 + exp(-sum(w * CASE WHEN value IS NULL OR q3 - q1 <= 1e-12 THEN 0 ELSE greatest(least((value - q2) / (q3 - q1), 6), -6) END) / sum(w)))) AS break_likelihood FROM {f} f JOIN {qs} q ON f.feature = q.feature JOIN {wt} w ON f.feature = w.feature GROUP BY f.id", **IN),
-    family("break_likelihood_fitted", *_BASE, _FOLDS, _WITH_Y, ("ks", "SELECT DISTINCT fold AS k FROM {fold}"), ("tq", "SELECT k, feature, PCT(value, 0.25) AS q1, PCT(value, 0.5) AS q2, PCT(value, 0.75) AS q3 FROM {fy} CROSS JOIN {ks} WHERE fold <> k AND value IS NOT NULL GROUP BY k, feature"), _WEIGHTS, "SELECT f.id, R(1 / (1 + exp(-sum(w * CASE WHEN value IS NULL THEN 0 ELSE (value - q2) / CASE WHEN q3 - q1 <= 1e-12 THEN 1 ELSE q3 - q1 END END) / sum(w)))) AS break_likelihood FROM {fy} f JOIN {tq} q ON f.feature = q.feature AND f.fold = q.k JOIN {wt} w ON f.feature = w.feature GROUP BY f.id", **IN),
+    family("break_likelihood_fitted", *_BASE, _FOLDS, _WITH_Y, ("ks", "SELECT DISTINCT fold AS k FROM {fold}"), ("tq", "SELECT k, feature, PCT(value, 0.25) AS q1, PCT(value, 0.5) AS q2, PCT(value, 0.75) AS q3 FROM {fy} CROSS JOIN {ks} WHERE fold <> k AND value IS NOT NULL GROUP BY k, feature", lambda have: _held_quartiles(have["fy"])), _WEIGHTS, "SELECT f.id, R(1 / (1 + exp(-sum(w * CASE WHEN value IS NULL THEN 0 ELSE (value - q2) / CASE WHEN q3 - q1 <= 1e-12 THEN 1 ELSE q3 - q1 END END) / sum(w)))) AS break_likelihood FROM {fy} f JOIN {tq} q ON f.feature = q.feature AND f.fold = q.k JOIN {wt} w ON f.feature = w.feature GROUP BY f.id", **IN),
     family("feature_auc", *_BASE, _FOLDS, _WITH_Y, _auc("fy", "value", "feature"), "SELECT feature, R(auc) AS auc, R(greatest(auc, 1 - auc)) AS oriented_auc, n FROM {a}", **IN),
     family("feature_diagnostics", *_BASE, _FOLDS, _WITH_Y, "SELECT feature, R(avg(CASE WHEN value IS NULL THEN DBL(1) ELSE DBL(0) END)) AS missing, R(abs(corr(value, DBL(y)))) AS abs_corr FROM {fy} GROUP BY feature", **IN),
     family("score_auc", *_BASE, _RANK, _FOLDS, _SCORE, _SCORED, _auc("sy", "score", "one"), "SELECT one, R(auc) AS auc, n FROM {a}", **IN),
-    family("evaluation_summary", *_BASE, _RANK, _FOLDS, _SCORE, _SCORED, "SELECT y, BIG(count(*)) AS n, R(min(score)) AS lo, R(PCT(score, 0.25)) AS q25, R(PCT(score, 0.5)) AS med, R(PCT(score, 0.75)) AS q75, R(max(score)) AS hi FROM {sy} GROUP BY y", **IN),
+    family("evaluation_summary", *_BASE, _RANK, _FOLDS, _SCORE, _SCORED, ("su", "SELECT y, count(*) AS n, min(score) AS lo, PCT(score, 0.25) AS q25, PCT(score, 0.5) AS med, PCT(score, 0.75) AS q75, max(score) AS hi FROM {sy} GROUP BY y", lambda have: _summary(have["sy"])), "SELECT y, BIG(n) AS n, R(lo) AS lo, R(q25) AS q25, R(med) AS med, R(q75) AS q75, R(hi) AS hi FROM {su}", **IN),
     family("cv_auc_rank_mean", *_BASE, _FOLDS, _WITH_Y, *_NORMALIZED, ("ms", "SELECT k, id, max(y) AS y, round(avg(r), 9) AS score FROM {nr} WHERE fold = k GROUP BY k, id"), _auc("ms", "score", "k"), "SELECT k, R(auc) AS auc, n FROM {a}", **IN),
     family("oriented_topk", *_BASE, _FOLDS, _WITH_Y, _auc("fy", "value", "feature"), "SELECT feature, R(greatest(auc, 1 - auc)) AS oriented_auc, CASE WHEN auc < 0.5 THEN -1 ELSE 1 END AS direction FROM {a} ORDER BY greatest(auc, 1 - auc) DESC, feature LIMIT 4", **IN),
     family("auc_selection_sweep", *_BASE, _FOLDS, _WITH_Y, _auc("fy", "value", "feature"), "SELECT DBL(t) AS threshold, BIG(sum(CASE WHEN greatest(auc, 1 - auc) >= t THEN 1 ELSE 0 END)) AS n_features FROM {a} CROSS JOIN (VALUES (0.50), (0.52), (0.54), (0.56), (0.58), (0.60)) AS v(t) GROUP BY t", **IN),

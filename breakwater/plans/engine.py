@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from breakwater.functions.arrays import FUNCTIONS, per_series
-from breakwater.operators import contrasts, distances, dynamics, learning, tails
+from breakwater.operators import contrasts, distances, dynamics, learning, ranking, tails
+from breakwater.operators.matrix import stacked
 from breakwater.sources import series
 
 #: Families with a row for each series and scope, by name.
@@ -44,12 +44,8 @@ def features(table: DataFrame, families: tuple[str, ...] = DEFAULT, scopes: dict
 
 def rank_mean(wide: DataFrame) -> DataFrame:
     """``id, score``: mean over features of the average-tie rank share; a missing value counts 0.5."""
-    names = [c for c in wide.columns if c != "id"]
-    long = wide.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")).select("id", "x.*")
-    by, peers = Window.partitionBy("feature"), Window.partitionBy("feature", "value")
-    rank = F.rank().over(by.orderBy(F.col("value").asc_nulls_last())) + (F.count("*").over(peers) - 1) / 2
-    share = F.when(F.col("value").isNull(), 0.5).otherwise(rank / F.count("value").over(by))
-    return long.withColumn("r", share).groupBy("id").agg(F.avg("r").alias("score"))
+    long = stacked(wide, tuple(c for c in wide.columns if c != "id"))
+    return ranking.ranked(long, ["feature"], "value").groupBy("id").agg(F.avg("r").alias("score"))
 
 
 def baseline(table: DataFrame, families: tuple[str, ...] = DEFAULT) -> DataFrame:

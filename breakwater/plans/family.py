@@ -21,18 +21,22 @@ for _table in ("lineitem", "events", "supplier", "labels", "documents", "embeddi
 
 @dataclass(frozen=True)
 class Family:
-    """``steps``: named SQL texts, each over base relations and earlier steps in braces; the last is the result."""
+    """``steps``: named SQL texts, each over base relations and earlier steps in braces; the last is the result.
+
+    A step may have a third part, a function of the relations so far: Spark's way to the same
+    rows, where SQL has only a plan that doesn't spread over executors.
+    """
 
     name: str
-    steps: tuple[tuple[str, str], ...]
+    steps: tuple[tuple, ...]
     #: Relations of this family and what BASES gives for them.
     inputs: dict[str, str]
 
     def apply(self, spark: SparkSession, relations: dict[str, DataFrame]) -> DataFrame:
         """The result over DataFrames for the inputs."""
         have = dict(relations)
-        for name, text in self.steps:
-            have[name] = spark.sql(render(text, 0), **{k: v for k, v in have.items() if "{" + k + "}" in text})
+        for name, text, *other in self.steps:
+            have[name] = other[0](have) if other else spark.sql(render(text, 0), **{k: v for k, v in have.items() if "{" + k + "}" in text})
         return have[self.steps[-1][0]]
 
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,17 +44,17 @@ class Family:
 
     def oracle(self) -> str:
         parts = [f"{k} AS ({BASES[base][1]})" for k, base in self.inputs.items()]
-        for name, text in self.steps[:-1]:
+        for name, text, *_ in self.steps[:-1]:
             parts.append(f"{name} AS ({render(self._named(text), 1)})")
         return f"WITH {', '.join(parts)} {render(self._named(self.steps[-1][1]), 1)}"
 
     def _named(self, text: str) -> str:
-        for k in [*self.inputs, *(n for n, _ in self.steps)]:
+        for k in [*self.inputs, *(s[0] for s in self.steps)]:
             text = text.replace("{" + k + "}", k)
         return text
 
 
-def family(name: str, *steps: tuple[str, str] | str, **inputs: str) -> Family:
+def family(name: str, *steps: tuple | str, **inputs: str) -> Family:
     made = tuple(s if isinstance(s, tuple) else ("result", s) for s in steps)
     return Family(name, made, inputs or {"seg": "seg_suppliers"})
 
