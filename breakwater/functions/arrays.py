@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NAN = float("nan")
@@ -249,11 +251,14 @@ def pelt(x: np.ndarray, penalty: float = 3.0, least: int = 2, jump: int = 5) ->
     return out[::-1] or [n]
 
 
-def change_points(x0: np.ndarray, x1: np.ndarray) -> dict[str, float]:
-    """Where three searches put a change in the joined series, against the boundary."""
+def change_points(x0: np.ndarray, x1: np.ndarray, longest: int | None = None) -> dict[str, float]:
+    """Where three searches put a change in the joined series, against the boundary.
+
+    Series of every length are searched; with ``longest`` the first search leaves out longer ones.
+    """
     x = np.concatenate([x0, x1])
     n, true = len(x), len(x0) / max(1, len(x0) + len(x1))
-    ends = pelt(x) if 4 <= n <= 500 else [n]
+    ends = pelt(x) if 4 <= n <= (longest or n) else [n]
     gaps = np.diff(ends)
     first = ends[0] / n if len(ends) > 1 else 0.5
     cost = _costs(x) if n else None
@@ -301,14 +306,16 @@ def smoothed(x0: np.ndarray, x1: np.ndarray) -> dict[str, float]:
 
 def innovations(x: np.ndarray, q: float, r: float = 1.0) -> np.ndarray:
     """One-step errors of a local-level filter that starts at the first value."""
-    level, p, out = x[0], r, np.empty(len(x) - 1)
-    for i, v in enumerate(x[1:]):
+    level, *rest = x.tolist()
+    p, out = r, []
+    for v in rest:
         p += q
         gain = p / (p + r)
-        out[i] = v - level
-        level += gain * out[i]
+        error = v - level
+        out.append(error)
+        level += gain * error
         p *= 1 - gain
-    return out
+    return np.array(out)
 
 
 def _fitted(x: np.ndarray) -> tuple[float, float]:
@@ -343,6 +350,80 @@ def kalman(x0: np.ndarray, x1: np.ndarray) -> dict[str, float]:
     return out
 
 
+def _lag_one(x: np.ndarray) -> float:
+    """Autocovariance at one step over the variance, kept inside the unit circle; 0 for a constant."""
+    spread = float(x.var())
+    if len(x) < 3 or spread < 1e-10:
+        return 0.0
+    c = x - x.mean()
+    return float(np.clip((c[1:] * c[:-1]).sum() / (len(x) - 1) / spread, -0.999, 0.999))
+
+
+def _errors(x: np.ndarray, phi: float) -> tuple[float, float]:
+    e = x[1:] - phi * x[:-1]
+    return float(np.sqrt((e**2).mean())), float(e.var())
+
+
+def _second_order(x: np.ndarray, phi: float) -> tuple[float, float, float, float]:
+    """Two coefficients by ridge least squares, error variance and error; of the first order if that is unstable."""
+    if len(x) < 5:
+        return (NAN,) * 4
+    lags, y = np.stack([x[1:-1], x[:-2]], axis=1), x[2:]
+    g = np.linalg.solve(lags.T @ lags + 1e-6 * np.eye(2), lags.T @ y)
+    if np.abs(np.roots([1, -g[0], -g[1]])).max() >= 0.999:
+        rmse, spread = _errors(x, phi)
+        return phi, 0.0, spread, rmse
+    e = y - lags @ g
+    return float(g[0]), float(g[1]), float(e.var()), float(np.sqrt((e**2).mean()))
+
+
+def _line(x: np.ndarray) -> tuple[float, float, float]:
+    """Level, slope and error of the least-squares line over 0, 1, .."""
+    if len(x) < 2:
+        return (NAN,) * 3
+    t = np.arange(len(x)) - (len(x) - 1) / 2
+    slope = float((t * x).sum() / (t * t).sum())
+    level = float(x.mean()) - slope * (len(x) - 1) / 2
+    return level, slope, float(np.sqrt((_off_line(x, level, slope) ** 2).mean()))
+
+
+def _off_line(x: np.ndarray, level: float, slope: float) -> np.ndarray:
+    return x - level - slope * np.arange(len(x))
+
+
+def ar_kalman_block(x0: np.ndarray, x1: np.ndarray) -> dict[str, float]:
+    """All 67 statistics of autoregression (30), local-level filter (18) and trend (19), full and at windows of 25, 50 and 100.
+
+    Both segments are clipped and standardised by the first. Nothing is defined for fewer than
+    three points before or two after, nor a window for segments shorter than it.
+    """
+    out: dict[str, float] = {}
+    fine = len(x0) >= 3 and len(x1) >= 2
+    a, b = clipped(x0, x1) if fine else (x0, x1)
+    for w in (None, 25, 50, 100):
+        end = "" if w is None else f"_w{w}"
+        held = fine and (w is None or min(len(a), len(b)) >= w)
+        p, s = (a, b) if w is None else (a[-w:], b[:w])
+        phi, own, after, own_after, across = NAN, (NAN, NAN), NAN, (NAN, NAN), (NAN, NAN)
+        line, line_after, cross, drift = (NAN,) * 3, (NAN,) * 3, NAN, NAN
+        if held:
+            phi, after = _lag_one(p), _lag_one(s)
+            own, own_after, across = _errors(p, phi), _errors(s, after), _errors(s, phi)
+            line, line_after = _line(p), _line(s)
+            rest = _off_line(s, *line[:2])
+            cross, drift = float(np.sqrt((rest**2).mean())), float(rest.mean())
+        if w is None:
+            ratio = math.log(own_after[1] / (own[1] + 1e-10)) if own[1] > 1e-10 and own_after[1] > 0 else NAN
+            out |= {"ar1_phi_pre": phi, "ar1_phi_post": after, "ar1_delta_phi": after - phi, "ar1_resid_var_pre": own[1], "ar1_resid_var_post": own_after[1], "ar1_log_resid_var_ratio": ratio}
+            out |= {"ar1_rmse_pre": own[0], "ar1_rmse_post": own_after[0], "ar1_rmse_cross_pred": across[0], "ar1_resid_var_cross_pred": across[1], "ar1_delta_rmse_cross": across[0] - own[0]}
+            out |= dict(zip(("ar2_phi1_pre", "ar2_phi2_pre", "ar2_resid_var_pre", "ar2_rmse_pre"), _second_order(a, phi) if held else (NAN,) * 4))
+            out |= {"trend_slope_pre": line[1], "trend_slope_post": line_after[1], "trend_delta_slope": line_after[1] - line[1], "trend_rmse_pre": line[2], "trend_rmse_post": line_after[2], "trend_rmse_cross": cross, "trend_mean_error_cross": drift}
+        else:
+            out |= {f"ar1_phi_pre{end}": phi, f"ar1_phi_post{end}": after, f"ar1_delta_phi{end}": after - phi, f"ar1_rmse_pre{end}": own[0], f"ar1_rmse_cross{end}": across[0]}
+            out |= {f"trend_slope_pre{end}": line[1], f"trend_slope_post{end}": line_after[1], f"trend_delta_slope{end}": line_after[1] - line[1], f"trend_rmse_cross{end}": cross}
+    return out | (kalman(x0, x1) if fine else dict.fromkeys(kalman(np.arange(4.0), np.arange(4.0)), NAN))
+
+
 def kalman_grid(x0: np.ndarray, x1: np.ndarray) -> dict[str, float]:
     """The process variance that each segment by itself would choose, and its innovation variance."""
     a, b = clipped(x0, x1) if len(x0) >= 3 else (x0, x1)
@@ -541,27 +622,41 @@ FUNCTIONS: dict[str, Callable[[np.ndarray, np.ndarray], dict[str, float]]] = {
     "transform_ewma": smoothed,
     "kalman_local_level": kalman,
     "kalman_grid": kalman_grid,
+    "ar_kalman_block": ar_kalman_block,
     "ar_kalman_estimated": ar_kalman,
     "test_pvalues": test_probabilities,
     "autoencoder_substitute": reconstruction,
 }
 
 
+def segment_arrays(segments: DataFrame) -> DataFrame:
+    """``id, x0, x1``: each series' values before and after its boundary, in order. One shuffle, by id."""
+    points = segments.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("seq", "period", "value"))).alias("s"))
+    side = lambda k: F.transform(F.filter("s", lambda p: p["period"] == k), lambda p: p["value"].cast("double"))
+    return points.select("id", side(0).alias("x0"), side(1).alias("x1"))
+
+
 def per_series(segments: DataFrame, function: Callable[[np.ndarray, np.ndarray], dict[str, float]], windows: tuple[int | None, ...] = (None,)) -> DataFrame:
     """``id, scope`` and the function's values for each series and scope (None: the full segments).
 
-    One shuffle by id; a task holds one series at a time, so a series must fit in memory.
+    One shuffle by id; a row holds one series, so a series must fit in memory.
     """
     names = list(function(np.arange(4.0), np.arange(4.0)))
     schema = T.StructType([T.StructField("id", segments.schema["id"].dataType), T.StructField("scope", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in names)])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        x0, x1 = (pdf.loc[pdf["period"] == p, "value"].to_numpy(float) for p in (0, 1))
-        rows = []
-        for w in windows:
-            a, b = (x0, x1) if w is None else (x0[-w:], x1[:w])
-            rows.append({"id": pdf["id"].iat[0], "scope": "full" if w is None else f"w{w}"} | {k: (None if isinstance(v, float) and not math.isfinite(v) else v) for k, v in function(a, b).items()})
-        return pd.DataFrame(rows, columns=["id", "scope", *names])
-
-    return segments.select("id", "seq", "period", "value").groupBy("id").applyInPandas(run, schema)
+    def values(column: pa.ListArray) -> list[np.ndarray]:
+        flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        return [flat[i:j] for i, j in zip(at, at[1:])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x0, x1 in zip(values(batch.column(1)), values(batch.column(2))):
+                for w in windows:
+                    found = function(x0, x1) if w is None else function(x0[-w:], x1[:w])
+                    rows.append([None if not math.isfinite(found[n]) else float(found[n]) for n in names])
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), len(windows))))
+            scopes = pa.array([("full" if w is None else f"w{w}") for w in windows] * batch.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([ids, scopes, *(pa.array(c, pa.float64()) for c in zip(*rows))] if rows else [ids, scopes, *(pa.array([], pa.float64()) for _ in names)], ["id", "scope", *names])
+
+    return segment_arrays(segments).mapInArrow(run, schema)

@@ -90,14 +90,15 @@ _TRANSFORMS = {
     "rank": "SELECT id, seq, period, DBL(dense_rank() OVER (PARTITION BY id ORDER BY value)) AS value FROM {seg}",
     "abs": "SELECT id, seq, period, abs(value) AS value FROM {seg}",
     "zscore": "SELECT id, seq, period, CASE WHEN sd < 1e-10 THEN value - m ELSE (value - m) / sd END AS value FROM (SELECT *, avg(value) OVER (PARTITION BY id) AS m, stddev_pop(value) OVER (PARTITION BY id) AS sd FROM {seg}) z",
-    "mosum": "SELECT a.id, a.seq, a.period, a.s - coalesce(b.s, 0) AS value FROM {pre} a LEFT JOIN {pre} b ON a.id = b.id AND b.seq = a.seq - a.w",
+    # Half of a series below 100 points is its own window; such a series has few pairs.
+    "mosum": "SELECT id, seq, period, sum(value * value) OVER (PARTITION BY id ORDER BY seq ROWS 49 PRECEDING) AS value FROM {sized} WHERE n >= 100 UNION ALL SELECT a.id, a.seq, max(a.period) AS period, sum(b.value * b.value) AS value FROM {sized} a JOIN {sized} b ON a.id = b.id WHERE a.n < 100 AND b.n < 100 AND b.seq <= a.seq AND b.seq > a.seq - floor(a.n / 2) GROUP BY a.id, a.seq",
     "raw": "SELECT id, seq, period, value FROM {seg}",
 }
-_PREFIX = ("pre", "SELECT id, seq, period, sum(value * value) OVER (PARTITION BY id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s, least(50, BIG(floor(count(*) OVER (PARTITION BY id) / 2))) AS w FROM {seg}")
+_SIZED = ("sized", "SELECT *, count(*) OVER (PARTITION BY id) AS n FROM {seg}")
 
 
 def _transform(kind: str):
-    steps = [_PREFIX] if kind == "mosum" else []
+    steps = [_SIZED] if kind == "mosum" else []
     return family(f"transform_{kind}", *steps, ("t", _TRANSFORMS[kind]), "SELECT id, seq, period, R(value) AS value FROM {t}", **S)
 
 
