@@ -18,22 +18,24 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from breakwater.operators import frames, ranking
 
 SEED, FOLDS = 42, 3
-DIMENSIONS = 16
 
 
-def matrix_of(spark: SparkSession, sf_dir: str, dims: int = DIMENSIONS) -> DataFrame:
-    """``id, y, f0..``: leading components of the embeddings and whether the label is below 3."""
+def matrix_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, y, f0..``: all components of the embeddings and whether the label is below 3."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null and label is not null")
-    return e.select(F.col("vec_id").alias("id"), (F.col("label") < 3).cast("double").alias("y"), *[F.element_at("embedding", i + 1).cast("double").alias(f"f{i}") for i in range(dims)])
+    dims = e.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+    return e.select(F.col("vec_id").alias("id"), (F.col("label") < 3).cast("double").alias("y"), *[F.coalesce(F.get("embedding", F.lit(i)).cast("double"), F.lit(0.0)).alias(f"f{i}") for i in range(dims)])
 
 
 def folded(df: DataFrame, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
     """Adds ``fold``: a class's rows dealt evenly, in an order that only depends on id and seed."""
-    order = Window.partitionBy("y").orderBy(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(seed))), "id")
-    return df.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
+    digest = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(seed)))
+    dealt = ranking.numbered(df.withColumn("_digest", digest), ["y"], "_digest", ["id"])
+    return dealt.select(*df.columns, (F.col("at") % folds).cast("int").alias("fold"))
 
 
 def features(df: DataFrame) -> list[str]:
@@ -109,7 +111,7 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def recursive_elimination(spark: SparkSession, sf_dir: str, keep: int = 4, step: int = 4) -> DataFrame:
+def recursive_elimination(spark: SparkSession, sf_dir: str, keep: int = 8, step: int = 14) -> DataFrame:
     """``round, feature``: features left after each round that drops the ``step`` least important."""
     df = matrix_of(spark, sf_dir).cache()
     left, rows, k = features(df), [], 0
@@ -122,4 +124,66 @@ def recursive_elimination(spark: SparkSession, sf_dir: str, keep: int = 4, step:
     return spark.createDataFrame(rows, "round int, feature string")
 
 
+def learned_aggregation(wide: DataFrame, labels: DataFrame, top: int = 40, limit: float = 0.98, folds: int = FOLDS, make=None) -> DataFrame:
+    """``id, y, fold, meta_agg_score``: each labelled row scored by a model of the other folds.
+
+    Inside a fold everything is fitted on the other folds: values become shares of training
+    values not above them (0.5 where missing), the ``top`` features by area under the curve
+    are taken, those correlated above ``limit`` with a better one dropped, and a logistic model
+    (or ``make(columns)``) is trained.
+    """
+    labelled = folded(labels.select("id", F.col("y").cast("double").alias("y")), folds)
+    long = frames.stacked(wide, frames.names(wide)).join(labelled, "id")
+    parts = []
+    for k in range(folds):
+        seen = long.where(F.col("fold") != k)
+        best = ranking.area(seen, ["feature"], "value").orderBy(F.desc(F.greatest("auc", 1 - F.col("auc"))), "feature").limit(top)
+        order = [r["feature"] for r in best.collect()]  # at most ``top`` names
+        ranks = ranking.against(long.where(F.col("feature").isin(order)), seen.where(F.col("feature").isin(order)).select("feature", "value"), ["feature"], "value")
+        shares = ranks.groupBy("id", "y", "fold").pivot("feature", order).agg(F.first("r")).cache()
+        columns = frames.correlated(shares.where(F.col("fold") != k), order, limit)
+        model = (make or logistic)(columns).fit(shares.where(F.col("fold") != k))
+        parts.append(scored(model, shares.where(F.col("fold") == k), "meta_agg_score"))
+    return reduce(DataFrame.union, parts)
+
+
+def stability_selection(wide: DataFrame, labels: DataFrame, most: int = 150, limit: float = 0.9, folds: int = FOLDS) -> list[str]:
+    """Features by a blend of two ranks, greedily without those correlated above ``limit``.
+
+    0.6 of the blend is the stability of the area under the curve over folds (its mean distance from
+    a half over one plus its relative spread), 0.4 the mutual information of eight rank bins with the label.
+    """
+    labelled = folded(labels.select("id", F.col("y").cast("double").alias("y")), folds)
+    long = frames.stacked(wide, frames.names(wide)).join(labelled, "id")
+    areas = reduce(DataFrame.union, [ranking.area(long.where(F.col("fold") != k), ["feature"], "value") for k in range(folds)])
+    off = F.abs(F.col("auc") - 0.5)
+    stable = areas.groupBy("feature").agg((F.avg(off) / (1 + F.try_divide(F.stddev_pop(off), F.avg(off) + 1e-12))).alias("s"))
+    rows = stable.join(mutual_information(long), "feature").collect()  # a row for each feature
+    by = lambda c: {r["feature"]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[c], r["feature"])))}
+    s, m = by("s"), by("mi")
+    order = sorted(s, key=lambda f: (-(0.6 * s[f] + 0.4 * m[f]), f))
+    return frames.correlated(wide, order, limit)[:most]
+
+
+def mutual_information(long: DataFrame, bins: int = 8) -> DataFrame:
+    """``feature, mi`` of ``long(feature, value, y)``: of equal-rank bins with a label of two classes."""
+    places = ranking.swept(long, ["feature"], "value", pos=F.col("y").cast("long"), neg=1 - F.col("y").cast("long"))
+    total = F.col("pos_total") + F.col("neg_total")
+    cells = places.withColumn("bin", F.floor(bins * (F.col("pos_below") + F.col("neg_below")) / total)).groupBy("feature", "bin").agg(*[F.sum(c).cast("double").alias(c) for c in ("pos", "neg")], *[F.first(f"{c}_total").cast("double").alias(f"{c}_total") for c in ("pos", "neg")])
+    n, here = F.col("pos_total") + F.col("neg_total"), F.col("pos") + F.col("neg")
+    part = lambda c: F.when(F.col(c) > 0, F.col(c) / n * F.ln(F.col(c) * n / (here * F.col(f"{c}_total")))).otherwise(0.0)
+    return cells.groupBy("feature").agg(F.sum(part("pos") + part("neg")).alias("mi"))
+
+
+def interaction_selection(wide: DataFrame, labels: DataFrame, top: int = 5, most: int = 20) -> DataFrame:
+    """The matrix with the interactions of its ``top`` features that have the most mutual information with the label."""
+    labelled = labels.select("id", F.col("y").cast("double").alias("y"))
+    scores = lambda m: mutual_information(frames.stacked(m, frames.names(m)).join(labelled, "id")).orderBy(F.desc("mi"), "feature")
+    best = [r["feature"] for r in scores(wide).limit(top).collect()]
+    grown = frames.interactions(wide, [(a, b) for i, b in enumerate(best) for a in best[:i]])
+    made = [c for c in grown.columns if c not in wide.columns]
+    kept = [r["feature"] for r in scores(grown.select("id", *made)).limit(most).collect()] if made else []
+    return grown.select(*wide.columns, *kept)
+
+
 QUERIES = {"logistic_cv": logistic_cv_scores, "gbt_ensemble": gbt_ensemble, "isotonic": isotonic, "oof_stack": oof_stack, "feature_importance": feature_importance, "recursive_elimination": recursive_elimination}

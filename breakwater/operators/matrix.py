@@ -11,15 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breakwater.operators import ranking
+from breakwater.operators.frames import stacked
 from breakwater.plans.family import columns, family
 
 
-def stacked(wide: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """``id, feature, value`` of a wide matrix, in one pass."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])
-    return wide.select("id", F.explode(pairs).alias("x")).select("id", "x.feature", "x.value")
-
-
 def _holed(wide: DataFrame) -> DataFrame:
     holes = F.array(*[F.lit(n) for n in NAMES])
     hole = F.col("feature").eqNullSafe(F.get(holes, (F.col("id") % 17).cast("int")))

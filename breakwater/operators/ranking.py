@@ -89,6 +89,14 @@ def held_out(df: DataFrame, keys: list[str], value: str, fold: str, folds: int,
     return df.join(places.select(*keys, value, *shares), [*keys, value], "left").select(*df.columns, own.alias(name))
 
 
+def against(df: DataFrame, train: DataFrame, keys: list[str], value: str, name: str = "r") -> DataFrame:
+    """``df`` with the share of ``train``'s values of the key that are not above the row's; 0.5 where there is none."""
+    both = train.select(*keys, value, F.lit(1).alias("_t")).union(df.select(*keys, value, F.lit(0).alias("_t")))
+    places = swept(both, keys, value, _n=F.col("_t"))
+    share = F.try_divide((F.col("_n_below") + F.col("_n")).cast("double"), F.col("_n_total"))
+    return df.join(places.select(*keys, value, share.alias(name)), [*keys, value], "left").select(*df.columns, F.coalesce(name, F.lit(0.5)).alias(name))
+
+
 def numbered(df: DataFrame, keys: list[str], digest: str, order: list[str], name: str = "at") -> DataFrame:
     """``df`` with the number of each row in its key, from 0, by a hexadecimal digest and then ``order``; and ``<name>_of``, how many there are."""
     spread = df.withColumn("_range", F.substring(digest, 1, 2))

@@ -17,7 +17,6 @@ def _array_query(function, windows):
     return lambda spark, sf_dir: per_series(series.segments(spark, sf_dir), function, windows)
 
 
-_SCOPED = ("spectral", "compression", "test_pvalues", "wavelet")
 for _name, _function in FUNCTIONS.items():
-    QUERIES[_name] = _array_query(_function, (50, 100, 250, None) if _name in _SCOPED else (None,))
+    QUERIES[_name] = _array_query(_function, (50, 100, 250, None) if _name in engine.WINDOWED else (None,))
 QUERIES |= learning.QUERIES | engine.QUERIES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -9,17 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breakwater.functions.arrays import FUNCTIONS, per_series
-from breakwater.operators import contrasts, distances, dynamics, learning, ranking, tails
-from breakwater.operators.matrix import stacked
+from breakwater.operators import contrasts, distances, dynamics, frames, learning, likelihood, ranking, tails
 from breakwater.sources import series
 
 #: Families with a row for each series and scope, by name.
 SCOPED = {f.name: f for m in (contrasts, distances, tails, dynamics) for f in m.FAMILIES if list(f.inputs) == ["x"]}
+#: Families in Python that are taken at every scope, not only over whole segments.
+WINDOWED = ("spectral", "wavelet", "compression", "test_pvalues")
 DEFAULT = ("quantile_features", "quantile_deltas", "scale_shift", "acf1_shift", "wasserstein", "energy_v", "cv_features", "cusum_features", "ar1_yw")
 
 
+#: SQL families of the break likelihood's statistics; the others are spectral and wavelet ones.
+BREAK_FAMILIES = ("ar1_yw", "energy_v", "wasserstein", "acf1_shift", "scale_shift")
+
+
+def named(statistic: str, scope: str) -> str:
+    return statistic if scope == "full" else f"{statistic}_{scope}"
+
+
 def features(table: DataFrame, families: tuple[str, ...] = DEFAULT, scopes: dict[str, int] | None = None, arrays: tuple[str, ...] = ()) -> DataFrame:
-    """Wide features of a table ``id, seq, period, value``: ``id`` and a column ``<stat>_<scope>`` for each.
+    """Wide features of a table ``id, seq, period, value``: ``id`` and a column for each statistic and scope.
+
+    Names end in the window (``energy_w50``), those of whole segments have no end.
 
     Each family is one plan over the same scoped segments; the results are co-partitioned by
     id, so the joins that put them side by side shuffle only their own small rows. A name
@@ -35,16 +48,19 @@ def features(table: DataFrame, families: tuple[str, ...] = DEFAULT, scopes: dict
         names = [c for c in got.columns if c not in ("id", "scope") and c not in seen]
         seen |= set(names)
         if names:
-            parts.append(got.groupBy("id").agg(*[F.max(F.when(F.col("scope") == s, F.col(c))).alias(f"{c}_{s}") for s in scopes for c in names]))
+            parts.append(got.groupBy("id").agg(*[F.max(F.when(F.col("scope") == s, F.col(c))).alias(named(c, s)) for s in scopes for c in names]))
     for name in arrays:
-        got = per_series(segs, FUNCTIONS[name]).drop("scope")
-        parts.append(got.select("id", *[F.col(c).alias(f"{c}_full") for c in got.columns if c != "id" and f"{c}_full" not in seen]))
+        windows = tuple(None if s == "full" else w for s, w in scopes.items()) if name in WINDOWED else (None,)
+        got = per_series(segs, FUNCTIONS[name], windows)
+        fresh = [c for c in got.columns if c not in ("id", "scope") and c not in seen]
+        seen |= set(fresh)
+        parts.append(got.groupBy("id").agg(*[F.max(F.when(F.col("scope") == s, F.col(c))).alias(named(c, s)) for s in (scopes if len(windows) > 1 else ("full",)) for c in fresh]))
     return reduce(lambda a, b: a.join(b, "id", "full_outer"), parts)
 
 
 def rank_mean(wide: DataFrame) -> DataFrame:
     """``id, score``: mean over features of the average-tie rank share; a missing value counts 0.5."""
-    long = stacked(wide, tuple(c for c in wide.columns if c != "id"))
+    long = frames.stacked(wide, frames.names(wide))
     return ranking.ranked(long, ["feature"], "value").groupBy("id").agg(F.avg("r").alias("score"))
 
 
@@ -53,22 +69,75 @@ def baseline(table: DataFrame, families: tuple[str, ...] = DEFAULT) -> DataFrame
     return rank_mean(features(table, families))
 
 
-def train(table: DataFrame, labels: DataFrame, families: tuple[str, ...] = DEFAULT) -> PipelineModel:
-    """Boosted trees on the features of labelled series ``labels(id, y)``; missing values are zero."""
-    data = features(table, families).fillna(0.0).join(labels.select("id", F.col("y").cast("double").alias("y")), "id")
-    return learning.boosted([c for c in data.columns if c not in ("id", "y")]).fit(data)
+@dataclass
+class Bundle:
+    """A trained model with what its inputs need: families, columns in order, and training medians."""
+
+    model: PipelineModel
+    families: tuple[str, ...]
+    columns: list[str]
+    medians: dict[str, float]
 
+    def inputs(self, table: DataFrame) -> DataFrame:
+        """Features of any series table as the model takes them: the same columns, missing values at their medians."""
+        wide = frames.aligned(frames.finite(features(table, self.families)), self.columns)
+        return wide.fillna(self.medians)
 
-def infer(table: DataFrame, model: PipelineModel | None = None, families: tuple[str, ...] = DEFAULT) -> DataFrame:
-    """``id, score``: by a trained model, else the baseline."""
-    if model is None:
+    def save(self, path: str) -> None:
+        """Writes the bundle to a folder, over an older one."""
+        self.model.write().overwrite().save(f"{path}/model")
+        spark = SparkSession.getActiveSession()
+        state = json.dumps({"families": self.families, "columns": self.columns, "medians": self.medians})
+        spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Bundle:
+        state = json.loads(spark.read.text(f"{path}/state").first()[0])
+        return cls(PipelineModel.load(f"{path}/model"), tuple(state["families"]), state["columns"], state["medians"])
+
+
+def train(table: DataFrame, labels: DataFrame, families: tuple[str, ...] = DEFAULT, columns: list[str] | None = None) -> Bundle:
+    """Boosted trees on the features of labelled series ``labels(id, y)``.
+
+    Constant columns are dropped and missing values set to the training medians; with
+    ``columns`` (such as a selection's) only those are used, and each must be there.
+    """
+    wide = frames.finite(features(table, families))
+    if columns is not None:
+        wide = frames.aligned(frames.check(wide, columns), columns)
+    idle = frames.constant(wide)
+    wide = wide.drop(*idle)
+    middle = frames.medians(wide)
+    data = wide.fillna(middle).join(labels.select("id", F.col("y").cast("double").alias("y")), "id")
+    return Bundle(learning.boosted(list(middle)).fit(data), tuple(families), list(middle), middle)
+
+
+def infer(table: DataFrame, bundle: Bundle | None = None, families: tuple[str, ...] = DEFAULT) -> DataFrame:
+    """``id, score``: by a trained bundle, else the baseline."""
+    if bundle is None:
         return baseline(table, families)
     from pyspark.ml.functions import vector_to_array
 
-    got = model.transform(features(table, families).fillna(0.0))
+    got = bundle.model.transform(bundle.inputs(table))
     return got.select("id", F.element_at(vector_to_array("probability"), 2).alias("score"))
 
 
+def ar_kalman_scores(table: DataFrame, labels: DataFrame | None = None, top: int | None = None) -> DataFrame:
+    """``id, score``: mean rank of the autoregression, filter and trend block.
+
+    With labels each column is turned so that larger values mean a break, by its area under the
+    curve, and with ``top`` only that many columns of the best areas are averaged.
+    """
+    wide = frames.finite(features(table, (), arrays=("ar_kalman_block",)))
+    if labels is None:
+        return rank_mean(wide)
+    long = frames.stacked(wide, frames.names(wide)).join(labels.select("id", "y"), "id", "left")
+    areas = ranking.area(long.where("y is not null"), ["feature"], "value").withColumn("oriented", F.greatest("auc", 1 - F.col("auc"))).orderBy(F.desc("oriented"), "feature")
+    chosen = F.broadcast((areas.limit(top) if top else areas).select("feature", "auc"))
+    turned = ranking.ranked(long.select("id", "feature", "value"), ["feature"], "value").join(chosen, "feature")
+    return turned.groupBy("id").agg(F.avg(F.when(F.col("auc") < 0.5, 1 - F.col("r")).otherwise(F.col("r"))).alias("score"))
+
+
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide features of the supplier series."""
     return features(series.segments(spark, sf_dir))
@@ -78,4 +147,22 @@ def engine_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline(series.segments(spark, sf_dir), ("quantile_deltas", "wasserstein", "ks_stat"))
 
 
-QUERIES = {"feature_matrix": feature_matrix, "engine_baseline": engine_baseline}
+def ar_kalman_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers whose account is in the red as labels; the ten best columns."""
+    owing = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") < 0).cast("int").alias("y"))
+    return ar_kalman_scores(series.segments(spark, sf_dir), owing, 10)
+
+
+def break_likelihood_49(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted statistics that SQL families give, fitted on and applied to the supplier series."""
+    wide = frames.finite(features(series.segments(spark, sf_dir), BREAK_FAMILIES, arrays=("spectral", "wavelet")))
+    return likelihood.BreakLikelihood().fit(wide).transform(wide)
+
+
+def learned_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owing = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") < 3000).cast("int").alias("y"))
+    wide = frames.finite(features(series.segments(spark, sf_dir), ("quantile_deltas", "ks_stat", "scale_shift")))
+    return learning.learned_aggregation(wide, owing)
+
+
+QUERIES = {"feature_matrix": feature_matrix, "engine_baseline": engine_baseline, "ar_kalman_scorer": ar_kalman_scorer, "break_likelihood_49": break_likelihood_49, "learned_aggregation": learned_aggregation}

@@ -188,7 +188,7 @@ def test_engine_scores_breaks_above_others(spark):
 def test_folds_are_stratified_and_scores_probabilities(spark):
     from breakwater.operators import learning
 
-    df = learning.folded(learning.matrix_of(spark, SF, 4))
+    df = learning.folded(learning.matrix_of(spark, SF))
     sizes = {(r.y, r.fold): r["count"] for r in df.groupBy("y", "fold").count().collect()}
     for y in (0.0, 1.0):
         n = [sizes[(y, k)] for k in range(learning.FOLDS)]
