@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from breakwater.functions.arrays import FUNCTIONS, per_series
 from breakwater.operators import contrasts, distances, dynamics, learning, matrix, preprocessing, tails
-from breakwater.plans import engine
+from breakwater.plans import engine, multiscale
 from breakwater.sources import series
 
 FAMILIES = [*preprocessing.FAMILIES, *contrasts.FAMILIES, *distances.FAMILIES, *tails.FAMILIES, *dynamics.FAMILIES, *matrix.FAMILIES]
@@ -19,4 +19,4 @@ def _array_query(function, windows):
 
 for _name, _function in FUNCTIONS.items():
     QUERIES[_name] = _array_query(_function, (50, 100, 250, None) if _name in engine.WINDOWED else (None,))
-QUERIES |= learning.QUERIES | engine.QUERIES
+QUERIES |= learning.QUERIES | engine.QUERIES | multiscale.QUERIES

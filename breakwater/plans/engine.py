@@ -14,8 +14,10 @@ from breakwater.functions.arrays import FUNCTIONS, per_series
 from breakwater.operators import contrasts, distances, dynamics, frames, learning, likelihood, ranking, tails
 from breakwater.sources import series
 
-#: Families with a row for each series and scope, by name.
-SCOPED = {f.name: f for m in (contrasts, distances, tails, dynamics) for f in m.FAMILIES if list(f.inputs) == ["x"]}
+#: Families with a row for each series, or each series and scope, by name.
+SCOPED = {f.name: f for m in (contrasts, distances, tails, dynamics) for f in m.FAMILIES if list(f.inputs) in (["x"], ["seg"])}
+#: Families that compare a window with whole segments.
+WINDOWS_ONLY = ("localization", "tail_localization")
 #: Families in Python that are taken at every scope, not only over whole segments.
 WINDOWED = ("spectral", "wavelet", "compression", "test_pvalues")
 DEFAULT = ("quantile_features", "quantile_deltas", "scale_shift", "acf1_shift", "wasserstein", "energy_v", "cv_features", "cusum_features", "ar1_yw")
@@ -44,11 +46,14 @@ def features(table: DataFrame, families: tuple[str, ...] = DEFAULT, scopes: dict
     x = series.scoped(segs, scopes)
     parts, seen = [], set()
     for name in families:
-        got = SCOPED[name].apply(spark, {"x": x})
+        got = SCOPED[name].apply(spark, {"x": x, "seg": segs})
         names = [c for c in got.columns if c not in ("id", "scope") and c not in seen]
         seen |= set(names)
-        if names:
-            parts.append(got.groupBy("id").agg(*[F.max(F.when(F.col("scope") == s, F.col(c))).alias(named(c, s)) for s in scopes for c in names]))
+        if names and "scope" not in got.columns:
+            parts.append(got.select("id", *names))
+        elif names:
+            windows = [s for s in scopes if not (s == "full" and name in WINDOWS_ONLY)]
+            parts.append(got.groupBy("id").agg(*[F.max(F.when(F.col("scope") == s, F.col(c))).alias(named(c, s)) for s in windows for c in names]))
     for name in arrays:
         windows = tuple(None if s == "full" else w for s, w in scopes.items()) if name in WINDOWED else (None,)
         got = per_series(segs, FUNCTIONS[name], windows)

@@ -172,3 +172,12 @@ def test_per_series_over_arrays(spark):
         a, b = ([v for _, k, v in p if k == s] for s in (0, 1))
         a, b = (a, b) if r.scope == "full" else (a[-50:], b[:50])
         assert r.n0 == len(a) and r.s1 == pytest.approx(sum(b)) and r.last == a[-1]
+
+
+def test_full_matrix_has_920_columns(spark):
+    from breakwater.plans import multiscale
+
+    assert sum(multiscale.COUNTS.values()) == 920 and set(multiscale.COUNTS) == set(multiscale.GROUPS)
+    table, _ = breaks(spark, 2, 60)
+    wide = multiscale.matrix(table, ("cv", "compression"))
+    assert len(wide.columns) == 1 + 88 + 68 and wide.count() == 2 and {"cv_pre", "cv_pre_w50", "ncd_boundary_w250"} <= set(wide.columns)
