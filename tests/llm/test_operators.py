@@ -538,6 +538,18 @@ def test_packing(spark):
     assert sum(r.length for r in rows) / (1024 * len(seqs)) > 0.9
 
 
+def test_tokens_of_random_unicode():
+    """Ids equal those of the tokenizer's own library for white space, controls, marks, emoji and unassigned points anywhere."""
+    from tokenizers import Tokenizer
+
+    own, ours, rng = Tokenizer.from_file(TOKENIZER), packing.Tokens(TOKENIZER), random.Random(12)
+    odd = [*" \t\n\r\x0b\x0c\x00\x1c\x85\xa0\u1680\u2003\u2028\u200b\u3000\ufeff", "\u0301", "\u0e33", "\u0661", "\u2167", "\xbd", "\U0001f469\u200d\U0001f680", "\ufffd", "\U000e0100", "'s", "'LL", "<|", "\u2019", "__", "..."]
+    for _ in range(1500):
+        parts = [rng.choice(odd) if rng.random() < 0.5 else chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x2FFF), rng.randrange(0x4E00, 0x9FFF), rng.randrange(0x10000, 0x1FFFF)])) for _ in range(rng.randrange(30))]
+        text = "".join(parts)
+        assert np.frombuffer(ours.ids(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_placing_keeps_all_limits():
     rng = np.random.default_rng(1)
     need = np.stack([rng.integers(1, 1025, 700), rng.integers(1, 9, 700), rng.integers(0, 600, 700)], axis=1)

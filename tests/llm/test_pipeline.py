@@ -37,3 +37,21 @@ def test_language_stage_drops_what_has_no_language(spark):
     odd = spark.createDataFrame([(10_000, None, None, "s", 0), (10_001, "123 !!", None, "s", 0), (None, None, None, "s", 0)], docs.schema)
     left = corpus_pipeline.language(spark, docs.union(odd), SF)
     assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = docs.orderBy("doc_id").first()
+    odd = spark.createDataFrame([(10_000, None, None, None, None), (10_001, "", None, "s", 0), (one.doc_id, *one[1:]), (None, one.text, "en", "s", 1), (10_002, "a " * 30_000, "en", "s", 60_000)], docs.schema)
+    both = docs.union(odd)
+    n = both.count()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, both, SF)
+        rows = got.collect()
+        assert name == "packing" or got.columns == docs.columns and 0 < len(rows) <= n
+        ids = [r.doc_id for r in rows]
+        if name == "near_duplicates":
+            assert ids.count(one.doc_id) == 1 and None not in ids and 10_000 in ids and 10_001 not in ids
+        elif name in ("toxicity", "decontamination"):
+            assert None in ids and 10_000 in ids and 10_002 in ids
+        assert stage(spark, docs.limit(0), SF).count() == 0
