@@ -1,4 +1,9 @@
-"""The corpus pipeline over ``documents``: language, toxicity, near-duplicates, benchmark leaks, packing."""
+"""The corpus pipeline over ``documents``: language, toxicity, near-duplicates, benchmark leaks, packing.
+
+All stages take an empty table to an empty one, keep other columns as they are, judge rows that
+repeat alike, and treat documents of equal text alike but for near-duplicates, where the
+smallest doc_id stays.
+"""
 
 from __future__ import annotations
 
@@ -33,23 +38,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not reject stay."""
+    """Documents that the classifier chain does not reject stay.
+
+    All rows of a rejected doc_id go; null doc_ids stay; without a document labelled toxic all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _without(docs, toxicity.rejected(docs, labels), "toxic")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that with the smallest doc_id.
+
+    Of rows that repeat this doc_id one stays. Null and empty texts are copies of each other. A
+    group of null doc_ids only keeps one row.
+    """
     return simhash.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark text stay."""
+    """Documents without benchmark text stay.
+
+    All rows of a doc_id with benchmark text go; null doc_ids and null texts stay; an empty
+    benchmark removes nothing.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of all documents that are left."""
+    """Token sequences of all documents that are left: a row for each piece of each row, null text as empty."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
