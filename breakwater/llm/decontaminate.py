@@ -20,7 +20,7 @@ SHORT = 12
 #: Items are cut into pieces that start STEP tokens apart, so that no row holds a long item.
 STEP = 48
 #: Likewise documents, for which this bounds what each window's row copies.
-DOC_STEP = 192
+DOC_STEP = 64
 #: Rows of benchmark seeds (about 300 bytes each) that one broadcast holds; more go in several blocks.
 BLOCK = 200_000
 
