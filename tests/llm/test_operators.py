@@ -565,6 +565,8 @@ def test_pack_examples(spark):
     got = packing.pack_examples(df, ["tokens", "segments", "loss"], [1024, 8, 400]).toPandas()
     sums = got.groupby("sequence_id")[["tokens", "segments", "loss"]].sum().max()
     assert len(got) == 301 and (sums <= [1024, 8, 400]).all()
+    assert packing.pack_examples(df.limit(0), ["tokens"], [1024]).count() == 0
+    assert packing.pack_documents(docs(spark, ["a"]).limit(0), TOKENIZER).count() == 0
 
 
 # 9
