@@ -28,6 +28,8 @@ KEY_BITS = 12
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: Variants or pairs that a task holds at once.
+CHUNK = 200_000
 
 
 def fingerprint_of(text: str | None) -> int:
@@ -40,7 +42,7 @@ def fingerprint_of(text: str | None) -> int:
         return 0
     if len(words) < SHINGLE:
         return digest(b" ".join(words), SEED)
-    n, half = len(words) - SHINGLE + 1, 1 << 18
+    n, half = len(words) - SHINGLE + 1, 1 << 14
     ones = np.zeros(64, np.int64)
     for at in range(0, n, half):
         part = words[at : at + half + SHINGLE - 1]
@@ -55,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint_of(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([fingerprint_of(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -112,7 +114,7 @@ def _links(fp: np.ndarray, key: np.ndarray, flips: np.ndarray) -> tuple[np.ndarr
     two = rest[i] | rest[j]
     for flipped, masks in ((2, np.zeros(1, np.uint64)), (1, rest), (0, two)):
         pick = np.flatnonzero(odd & (flips == flipped))
-        step = max(1, 2_000_000 // len(masks))
+        step = max(1, CHUNK // len(masks))
         for s in range(0, len(pick), step):
             p = pick[s : s + step]
             probe((moved[p][:, None] ^ masks).ravel(), fp[p], len(masks))
@@ -179,8 +181,8 @@ def long_fingerprint(text: str | None) -> np.ndarray:
     ones, n = np.zeros(64 * LONG_WORDS, np.int64), max(1, len(words) - LONG_SHINGLE + 1)
     if not words:
         return np.zeros(LONG_WORDS, np.int64)
-    for at in range(0, n, 1 << 15):
-        part = words[at : at + (1 << 15) + LONG_SHINGLE - 1]
+    for at in range(0, n, 1 << 13):
+        part = words[at : at + (1 << 13) + LONG_SHINGLE - 1]
         shingles = zip(*(part[i:] for i in range(LONG_SHINGLE))) if len(words) >= LONG_SHINGLE else [words]
         h = np.array([digest(b" ".join(t), SEED) for t in shingles], np.uint64)[:, None] ^ _SALTS
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -197,7 +199,7 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
 
 
-def _chunks(sizes: np.ndarray, most: int = 1_000_000) -> Iterator[slice]:
+def _chunks(sizes: np.ndarray, most: int = CHUNK) -> Iterator[slice]:
     """Slices of consecutive ranges that together hold about ``most`` integers."""
     total, at = np.cumsum(sizes), 0
     while at < len(sizes):
@@ -227,8 +229,9 @@ def _near_values(values: np.ndarray, byte: int) -> tuple[np.ndarray, np.ndarray]
     i, j = np.triu_indices(len(rest), 1)
     two = rest[i] | rest[j]
     odd = np.flatnonzero(np.bitwise_count(values) & 1)
-    for s in range(0, len(odd), 4_000):
-        p = odd[s : s + 4_000]
+    step = CHUNK // len(two)
+    for s in range(0, len(odd), step):
+        p = odd[s : s + step]
         v = (values[p][:, None] ^ two).ravel()
         hit = np.flatnonzero(known[(v * mix) >> shift])
         v = v[hit]
@@ -354,9 +357,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() for t in b.column(1)]
-            fp = np.array([fingerprint_of(t) for t in texts], np.uint64).view(np.int64)
-            long = np.array([long_fingerprint(t) for t in texts], np.int64).reshape(-1, LONG_WORDS)
+            both = [(fingerprint_of(text := t.as_py()), long_fingerprint(text)) for t in b.column(1)]
+            fp = np.array([f for f, _ in both], np.uint64).view(np.int64)
+            long = np.array([w for _, w in both], np.int64).reshape(-1, LONG_WORDS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *(pa.array(long[:, i].copy()) for i in range(LONG_WORDS))], ["doc_id", "fp", *names])
 
     prints = df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long, " + ", ".join(f"{n} long" for n in names))
