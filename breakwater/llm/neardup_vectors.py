@@ -26,7 +26,7 @@ from breakwater.llm.common import connected_components, write_table
 
 COSINE = 0.93
 #: Trees; classes of a leaf that one task compares; deepest split.
-TREES, LEAF, DEPTH = 6, 1024, 32
+TREES, LEAF, DEPTH = 3, 1024, 32
 #: Spill margin in standard deviations of a linked pair's projected difference, and the share of a
 #: node's vectors that a side may take, its margin included: a split pays only if both sides take less
 #: than 0.71, as pairs within grow with the square. Where a side takes more, the node waits for the
