@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakwater.llm import decontaminate, html_text, langid, licenses, lm_score, neardup_vectors, packing, simhash, toxicity, warc
+from breakwater.llm import decontaminate, fill_middle, html_text, langid, licenses, lm_score, merkle, neardup_vectors, packing, simhash, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fill_middle.restored(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")])
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_main_text": op2_main_text,
@@ -65,10 +78,15 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_token_counts": op12_token_counts,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontaminate.oracle_sql(),
     "op6_lm_scores": lm_score.oracle_sql(),
     "op9_licenses": licenses.oracle_sql(),
+    "op11_fill_middle": fill_middle.oracle_sql(),
+    "op13_merkle_manifest": merkle.oracle_sql(),
 }
