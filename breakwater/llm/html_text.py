@@ -10,8 +10,11 @@ are the same places on all pages, so what a slot is (links, a menu, the article)
 once from what all pages of the group have there. The article is what is left in the slots
 of the main container, without blocks that are template words throughout.
 
-Pages of hosts with fewer than ``LEAST`` distinct pages have no template; for them names of
-elements and classes, and the page's own text, decide.
+Names of elements and classes only choose among what is left: a name closes an element unless
+that is the one that holds most of the page's text that is no link, whatever it is called.
+
+Pages of hosts with fewer than ``LEAST`` distinct pages, or with copies of one article only,
+have no template; for them names, overruled in the same way, and the page's own text decide.
 """
 
 from __future__ import annotations
@@ -26,7 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pages of a host that are deduced together, about; from so many on a template is deduced.
-GROUP, LEAST = 150, 6
+GROUP, LEAST = 150, 3
+#: Characters of the pages that are deduced together, about.
+GROUP_CHARS = 32 << 20
+#: A whole name does not hold if it closes so many characters and leaves less than this share of them open.
+MUCH, LEFT = 140, 0.1
+#: Pages whose text that no name or link closes is in blocks that nearly all of them have, to this share, are copies of one article.
+SAME = 0.95
 #: Share of the pages that must show the root's tokens; least tokens of a class, and pages that show a nested one.
 SUPPORT, CLASS, NESTED = 0.9, 2, 3
 #: Share of the text that the main container holds.
@@ -45,16 +54,21 @@ CHROME = frozenset(
 )
 #: Words of wrappers that are named after what stands in them (such as "with-sidebar").
 AROUND = frozenset("with has no".split())
+#: Words that say where or what kind of box an element is; with one of the words above they make a name (such as "site-footer").
+PLACES = frozenset("site page main global primary secondary top bottom left right upper lower inner outer list area box bar wrap wrapper container section block item items link links group row col column holder panel content article entry story post posts reader readers user users form field button icon icons text title head header body fixed sticky mobile desktop first last".split())
+#: How sure a name is: a part of a name that also has words of its own, a whole name, and what never holds text for readers.
+WEAK, WHOLE, NEVER = 1, 2, 3
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MAIN = frozenset("article main content articlebody entry post story".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|textarea)\b[^>]*>|"
     r"(</?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/a-zA-Z][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"(?:^|(?<=[\s\"']))(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+_RAW_ENDS: dict[str, re.Pattern] = {}
 _INLINE = frozenset("b i em strong span a font u".split())
 #: No main container, and what holds no text for readers whatever its name.
 _LEAVES, _NEVER = frozenset("p b i em strong span li br".split()), frozenset("head title".split())
@@ -62,27 +76,45 @@ _LEAVES, _NEVER = frozenset("p b i em strong span li br".split()), frozenset("he
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-def _kind(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """An element's signature, whether it holds no article text, and whether it may be the main container."""
-    signature, chrome, main = name, name in NOT_TEXT, name in ("article", "main")
+def _named(value: str) -> int:
+    """How sure a class or id says that an element is no article."""
+    found = 0
+    for name in value.split():
+        words = set(_WORD.findall(name))
+        if words & CHROME and not words & AROUND:
+            found = max(found, WHOLE if words <= CHROME | PLACES else WEAK)
+    return found
+
+
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})\b", re.I)
+
+
+def _kind(name: str, attributes: str) -> tuple[str, int, bool]:
+    """An element's signature, how sure its names say that it holds no article text, and whether it may be the main container."""
+    signature, level, main = name, NEVER if name in _NEVER else WHOLE if name in NOT_TEXT else 0, name in ("article", "main")
+    whole = False
     if attributes and "=" in attributes or "hidden" in attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
-            words = set(_WORD.findall(value))
             if key == "role":
-                chrome |= value in ROLES
+                level = max(level, WHOLE if value in ROLES else 0)
                 main |= value in ("main", "article")
             elif key in ("class", "id"):
                 signature += f".{value}" if not re.search(r"\d", value) else ""
-                chrome |= bool(words & CHROME) and not words & AROUND and name not in ("body", "html", "main", "article")
-                main |= bool(words & MAIN) and name in ("div", "section", "td")
+                if name not in ("body", "html", "main", "article"):
+                    level = max(level, _named(value))
+                if name in ("div", "section", "td"):
+                    main |= bool(set(_WORD.findall(value)) & MAIN)
+                    whole |= any(set(_WORD.findall(n)) & MAIN and not set(_WORD.findall(n)) & CHROME for n in value.split())
             elif key == "itemprop":
                 main |= value == "articlebody"
             elif key == "style":
-                chrome |= "display:none" in value.replace(" ", "")
+                level = max(level, WHOLE if "display:none" in value.replace(" ", "") else 0)
             else:
-                chrome |= key == "hidden" and not value or value == "true"
-    return signature, chrome, main
+                level = max(level, WHOLE if key == "hidden" and not value or value == "true" else 0)
+    if level == WEAK and whole:  # called an article by a name of its own
+        level = 0
+    return signature, level, main
 
 
 class Paths:
@@ -92,10 +124,11 @@ class Paths:
         self.known: dict[tuple, int] = {}
         self.up: list[int] = []
         self.name: list[str] = []
+        self.level: list[int] = []  # how sure its own name is
         self.chrome: list[bool] = []  # by its name or that of an element above
         self.marked: list[bool] = []  # may be the main container, by its name
         self.inside: list[bool] = []  # itself or an element above is marked
-        self.kinds: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+        self.kinds: dict[tuple[str, str], tuple[str, int, bool]] = {}
 
     def number(self, up: int, name: str, attributes: str) -> int:
         kind = self.kinds.get((name, attributes))
@@ -106,18 +139,40 @@ class Paths:
         key = (up, *kind)
         found = self.known.get(key)
         if found is None:
-            _, chrome, main = kind
+            _, level, main = kind
             inside = up >= 0 and self.inside[up]
-            chrome |= name == "header" and not inside or up >= 0 and self.chrome[up]
+            if name == "header" and not inside:
+                level = max(level, WHOLE)
+            chrome = level > 0 or up >= 0 and self.chrome[up]
             found = self.known[key] = len(self.up)
             self.up.append(up)
             self.name.append(name)
+            self.level.append(level)
             self.chrome.append(chrome)
             self.marked.append(main and not chrome)
             self.inside.append(inside or main and not chrome)
         return found
 
 
+def _raw_end(html: str, start: re.Match, unclosed: set[str]) -> int:
+    """Where an element without text for readers ends; one that is never closed ends before the next block.
+
+    ``unclosed`` are names without an end tag from here on, so that a page is searched once for each.
+    """
+    name = start.group(1).lower()
+    if name == "svg" and start.group().endswith("/>"):
+        return start.end()
+    if name not in unclosed:
+        if name not in _RAW_ENDS:
+            _RAW_ENDS[name] = re.compile(rf"</{name}\s*>", re.I)
+        end = _RAW_ENDS[name].search(html, start.end())
+        if end:
+            return end.end()
+        unclosed.add(name)
+    end = _BLOCK_TAG.search(html, start.end())
+    return end.start() if end else len(html)
+
+
 class Page:
     """Elements of a page (path, and the element above), its tags in order, and its blocks of text.
 
@@ -144,7 +199,9 @@ class Page:
                 text.clear()
             links = 0
 
-        for m in _TOKEN.finditer(html):
+        at, unclosed = 0, set()
+        while m := _TOKEN.match(html, at):
+            at = m.end()
             run = m.group(5)
             if run is not None:
                 text.append(run)
@@ -155,6 +212,8 @@ class Page:
             if name is None:
                 if text:
                     text.append(" ")
+                if m.group(1):
+                    at = _raw_end(html, m, unclosed)
                 continue
             name = name.lower()
             if m.group(2) == "</":
@@ -201,6 +260,49 @@ class Page:
         element = self.blocks[block][1]
         return self.path[element] if element >= 0 else -1
 
+    def closed_by_name(self, paths: Paths, counts: list[bool]) -> list[bool]:
+        """For each block whether a name closes it; ``counts`` are the blocks whose text counts.
+
+        The largest element with a weak name is opened if it holds more than all that no name
+        closes, one with a whole name if hardly anything else is left.
+        """
+        level = [paths.level[p] for p in self.path]
+        own = [0] * len(level)
+        outside = 0
+        for (words, e, links, _), counted in zip(self.blocks, counts):
+            size = max(0, _size(words) - links) if counted else 0
+            if e >= 0:
+                own[e] += size
+            else:
+                outside += size
+        total = list(own)
+        for e in range(len(level) - 1, -1, -1):
+            if self.above[e] >= 0:
+                total[self.above[e]] += total[e]
+        while True:
+            under = [0] * len(level)  # the level that closes the element, its own or that of the outermost above
+            free, best = outside, {}
+            for e, up in enumerate(self.above):
+                if up >= 0 and under[up]:
+                    under[e] = under[up]
+                elif level[e]:
+                    under[e] = level[e]
+                    if level[e] not in best or total[e] > total[best[level[e]]]:
+                        best[level[e]] = e
+                else:
+                    free += own[e]
+            weak, whole = best.get(WEAK), best.get(WHOLE)
+            opened = weak if weak is not None and total[weak] > free else whole if whole is not None and total[whole] >= MUCH and free < LEFT * total[whole] else None
+            if opened is None:
+                return [e >= 0 and under[e] > 0 for _, e, _, _ in self.blocks]
+            level[opened] = 0
+            inner = {opened}
+            for e in range(opened + 1, len(level)):
+                if self.above[e] in inner:
+                    inner.add(e)
+                    if paths.name[self.path[e]] == "header" and level[e] == WHOLE:
+                        level[e] = 0  # of the article, as it stands in it
+
 
 def _increasing(values: list[int]) -> set[int]:
     """The values of a longest increasing subsequence."""
@@ -441,26 +543,35 @@ def extract(htmls: list[str | None], template: type = Template, names: bool = Tr
     paths = Paths()
     pages = [Page(h or "", paths) for h in htmls]
     if not names:
-        paths.chrome = [n in _NEVER for n in paths.name]
+        paths.level = [NEVER * (n in _NEVER) for n in paths.name]
     distinct = list({tuple(tuple(b[0]) for b in p.blocks): p for p in pages if p.blocks}.values())
     found = template(distinct)
     if not found.root:
         return [[" ".join(p.blocks[k][0]) for k in _alone(p, paths, names)] for p in pages]
     slots = [found.slots(p) for p in pages]
     weight, linked, chrome, own = Counter(), Counter(), Counter(), Counter()
+    fixed: list[list[bool]] = []
+    shared = Counter(key for p in distinct for key in {(p.path_of(k), tuple(b[0])) for k, b in enumerate(p.blocks)})
+    open_, same_ = 0, 0
     for p, of in zip(pages, slots):
+        fixed.append([found.constant(p, k, s) for k, s in enumerate(of)])
+        by_name = p.closed_by_name(paths, [not f for f in fixed[-1]])
         for k, (words, _, links, _) in enumerate(p.blocks):
             size = _size(words)
             weight[of[k]] += size
             linked[of[k]] += min(links, size)
-            chrome[of[k]] += size * (p.path_of(k) >= 0 and paths.chrome[p.path_of(k)])
+            chrome[of[k]] += size * by_name[k]
+            if not by_name[k] and 2 * links <= size:
+                open_, same_ = open_ + size, same_ + size * (shared[(p.path_of(k), tuple(words))] >= SUPPORT * len(distinct))
+    if same_ > SAME * open_:
+        return [[" ".join(p.blocks[k][0]) for k in _alone(p, paths, names)] for p in pages]
     closed = {s for s, w in weight.items() if 2 * linked[s] > w or 2 * chrome[s] > w}
     # What is nested in a closed slot is closed.
     for r, up in enumerate(found.parents):
         closed |= {s for s in weight if s[1] == r and up in closed}
     lives = []
-    for p, of in zip(pages, slots):
-        live = [k for k, s in enumerate(of) if s not in closed and not found.constant(p, k, s)]
+    for p, of, same in zip(pages, slots, fixed):
+        live = [k for k, s in enumerate(of) if s not in closed and not same[k]]
         for k in live:
             own[p.path_of(k)] += _size(p.blocks[k][0])
         lives.append(live)
@@ -478,7 +589,8 @@ def _alone(page: Page, paths: Paths, names: bool) -> list[int]:
     for k, (words, _, links, _) in enumerate(page.blocks):
         weight[page.path_of(k)] += _size(words)
         linked[page.path_of(k)] += min(links, _size(words))
-    live = [k for k in range(len(page.blocks)) if not ((at := page.path_of(k)) >= 0 and paths.chrome[at]) and 2 * linked[at] <= weight[at]]
+    by_name = page.closed_by_name(paths, [True] * len(page.blocks))
+    live = [k for k in range(len(page.blocks)) if not by_name[k] and 2 * linked[at := page.path_of(k)] <= weight[at]]
     for k in live:
         own[page.path_of(k)] += _size(page.blocks[k][0])
     return _inside(page, live, _container(paths, own, names)) if live else []
@@ -491,19 +603,21 @@ def main_text(pages: DataFrame) -> DataFrame:
     of any size makes bounded groups; every page is extracted with its own group's template,
     in time and memory linear in the pages' length, however deep their elements are.
     A null html gives an empty text, a null url belongs to the host of none, repeated rows
-    are extracted each and deduced once; an empty table gives an empty result; other
+    are extracted each, deduced once in a group and spread over groups like others; groups have
+    about ``GROUP`` pages and ``GROUP_CHARS`` characters at most; an empty table gives an empty result; other
     columns are not read.
     """
     host = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
-    df = pages.select("page_id", "url", "html", F.lower(host).alias("host"))
-    large = df.groupBy("host").count().where(f"count > {GROUP}").select("host", F.ceil(F.col("count") / GROUP).cast("int").alias("groups"))
+    df = pages.select("page_id", "url", "html", F.lower(host).alias("host"), F.monotonically_increasing_id().alias("row"))
+    shares = F.greatest(F.count("*") / GROUP, F.sum(F.length("html")) / GROUP_CHARS)
+    large = df.groupBy("host").agg(F.ceil(shares).cast("int").alias("groups")).where("groups > 1")
     few = large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     df = df.join(F.broadcast(large) if few else large, "host", "left")
-    df = df.withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("groups")), F.lit(0)).cast("int"))
+    df = df.withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id", "url", "row"), F.col("groups")), F.lit(0)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         text = ["\n".join(blocks) for blocks in extract(pdf["html"].tolist())]
         return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     kind = df.schema["page_id"].dataType.simpleString()
-    return df.drop("groups").groupBy("host", "part").applyInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    return df.drop("groups", "row").groupBy("host", "part").applyInPandas(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -328,6 +328,61 @@ def test_main_text_of_deep_and_long_pages(spark):
     assert len(got) == len(rows) and html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def named_page(rng, name, i):
+    text = [" ".join(words(rng, 30)) for _ in range(5)]
+    menu = "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(6))
+    comments = f"<div class=comments><p>{' '.join(words(rng, 25))}</p><p>{' '.join(words(rng, 9))}</p></div>"
+    page = f"<html><head><title>{i}</title></head><body><div class=site-header><ul class=menu>{menu}</ul></div><div class='{name}'><h1>Title {i}</h1>{''.join(f'<p>{t}</p>' for t in text)}</div><div class=sidebar><a href=/x>{' '.join(words(rng, 6))}</a></div>{comments}<div class=site-footer>All rights kept 2020. A company of some town.</div></body></html>"
+    return page, [f"Title {i}", *text]
+
+
+@pytest.mark.parametrize("name", ["content", "post search-engines", "entry market-share", "side-effects", "article-body notices-law", "topic-legal", "content comment-culture", "comment", "legal", "k1"])
+def test_names_never_close_the_article(name):
+    """Whole articles, and only they, from hosts of many, few and single pages, whatever the container is called."""
+    rng = random.Random(4)
+    for n in (8, 3, 1):
+        made = [named_page(rng, name, i) for i in range(n)]
+        if name != "k1" or n > 1:
+            assert html_text.extract([p for p, _ in made]) == [w for _, w in made], (name, n)
+    mixed = [named_page(rng, f"{name} topic{i}", i) for i in range(9)]
+    assert html_text.extract([p for p, _ in mixed]) == [w for _, w in mixed]
+
+
+def test_comments_longer_than_the_article_stay_out():
+    rng = random.Random(6)
+    made = [named_page(rng, "text", i) for i in range(7)]
+    long = [p.replace("<div class=comments>", "<div class=comments>" + "".join(f"<p>{' '.join(words(rng, 40))}</p>" for _ in range(12))) for p, _ in made]
+    assert html_text.extract(long) == [w for _, w in made]
+
+
+def test_copies_of_one_article_keep_it():
+    page, want = named_page(random.Random(8), "content", 1)
+    copies = [page.replace("Link 0", f"Link {i}") for i in range(8)]
+    assert html_text.extract(copies) == [want] * 8
+
+
+def test_unclosed_raw_elements_end_before_the_next_block():
+    text = "<p>One whole paragraph of text.</p><p>And another one.</p>"
+    want = [["One whole paragraph of text.", "And another one."]]
+    for raw in ("<svg><path d='M0'>", "<svg/>", "<svg>icon</svg>", "<canvas>none", "<iframe src=x>", "<script>var x = 1 < 2;", "<style>p {color: red}", "<noscript>off</noscript>"):
+        assert html_text.extract([f"<body>{raw}{text}</body>"]) == want, raw
+
+
+def test_rows_of_one_key_are_spread(spark, monkeypatch):
+    """Repeated and null keys are dealt like others; long pages make more groups."""
+    rng = random.Random(9)
+    rows, want = [], []
+    for i in range(400):
+        page, text = named_page(rng, "content", i)
+        rows.append((None, None, page) if i % 2 else (7, "http://one.example/", page))
+        want.append("\n".join(text))
+    monkeypatch.setattr(html_text, "GROUP", 40)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    assert sorted(r.text for r in html_text.main_text(df).collect()) == sorted(want)
+    monkeypatch.setattr(html_text, "GROUP_CHARS", 40_000)
+    assert sorted(r.text for r in html_text.main_text(df).collect()) == sorted(want)
+
+
 def test_main_text_of_the_table(spark):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
