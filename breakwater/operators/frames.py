@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from breakwater.operators import gram
+
 
 def names(wide: DataFrame, keys: tuple[str, ...] = ("id", "y", "fold")) -> list[str]:
     return [c for c in wide.columns if c not in keys]
@@ -67,23 +69,59 @@ def save_features(wide: DataFrame, path: str) -> None:
 def correlated(wide: DataFrame, columns: list[str], limit: float) -> list[str]:
     """``columns`` without those whose correlation with an earlier one kept is above ``limit``.
 
-    Correlations are aggregates over the rows; only the matrix of columns leaves the executors.
+    One scan of the rows, whatever the number of columns; only names of pairs above the limit leave the executors.
     """
-    if not columns:
-        return []
-    pairs = [(a, b) for i, b in enumerate(columns) for a in columns[:i]]
-    found: dict[tuple[str, str], float] = {}
-    for at in range(0, len(pairs), 500):
-        part = pairs[at : at + 500]
-        row = wide.agg(*[F.abs(F.corr(a, b)).alias(f"c{k}") for k, (a, b) in enumerate(part)]).first()
-        found |= {p: row[f"c{k}"] for k, p in enumerate(part)}
+    return unrelated(gram.correlations(wide, columns), columns, limit)
+
+
+def unrelated(pairs: DataFrame, columns: list[str], limit: float) -> list[str]:
+    """``columns`` without those that ``pairs(a, b, r)`` relates above ``limit`` to an earlier one kept."""
+    above = pairs.where(F.abs("r") > limit).select("a", "b").collect()
+    close: dict[str, set[str]] = {}
+    for r in above:
+        close.setdefault(r["b"], set()).add(r["a"])
     kept: list[str] = []
     for c in columns:
-        if all((found.get((k, c)) or 0.0) <= limit for k in kept):
+        if close.get(c, set()).isdisjoint(kept):
             kept.append(c)
     return kept
 
 
+#: How two columns make one.
+COMBINED = {
+    "mul": lambda a, b: a * b, "sqmul": lambda a, b: a * a * b, "div": lambda a, b: F.try_divide(a, b + 1e-8), "add": lambda a, b: a + b, "sub": lambda a, b: a - b,
+    "ratio": lambda a, b: F.try_divide(a, F.abs(a) + F.abs(b) + 1e-8), "harmonic": lambda a, b: F.try_divide(2 * a * b, a + b + 1e-8),
+}
+
+
+def combinations(columns: list[str], most: int = 5000, kinds: tuple[str, ...] = tuple(COMBINED)) -> list[tuple[str, str, str]]:
+    """``kind, a, b`` of each combination of two columns, pair by pair, at most ``most``."""
+    return [(k, a, b) for i, a in enumerate(columns) for b in columns[i + 1 :] for k in kinds][:most]
+
+
+def combined(wide: DataFrame, made: list[tuple[str, str, str]], name: str = "block") -> DataFrame:
+    """``wide`` with one array column: the combinations ``made``, in their order.
+
+    The plan has one expression for each kind, over index arrays, however many thousands of
+    combinations there are. A value that is not defined is null.
+    """
+    columns = list(dict.fromkeys(c for _, a, b in made for c in (a, b)))
+    at = {c: i for i, c in enumerate(columns)}
+    rows = wide.withColumn("_x", F.array(*[F.col(c).cast("double") for c in columns]))
+    parts, order = [], []
+    with_values = lambda how: lambda i, j: how(F.get("_x", i), F.get("_x", j))
+    for kind, how in COMBINED.items():
+        own = [(i, at[a], at[b]) for i, (k, a, b) in enumerate(made) if k == kind]
+        if own:
+            order += [i for i, _, _ in own]
+            parts.append(F.zip_with(F.lit([a for _, a, _ in own]), F.lit([b for _, _, b in own]), with_values(how)))
+    if not parts:
+        return wide.withColumn(name, F.array().cast("array<double>"))
+    back = sorted(range(len(order)), key=order.__getitem__)
+    rows = rows.withColumn("_parts", F.concat(*parts))
+    return rows.withColumn(name, F.transform(F.lit(back), lambda i: F.get("_parts", i))).drop("_x", "_parts")
+
+
 def interactions(wide: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """The matrix with product, difference and ratio of each pair of columns."""
     made = lambda a, b: [(F.col(a) * F.col(b)).alias(f"{a}_x_{b}"), (F.col(a) - F.col(b)).alias(f"{a}_minus_{b}"), F.try_divide(F.col(a), F.abs(F.col(b)) + 1e-8).alias(f"{a}_over_{b}")]

@@ -19,7 +19,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakwater.operators import frames, ranking
+from breakwater.operators import frames, gram, ranking
+from breakwater.sources import tables
 
 SEED, FOLDS = 42, 3
 
@@ -175,15 +176,32 @@ def mutual_information(long: DataFrame, bins: int = 8) -> DataFrame:
     return cells.groupBy("feature").agg(F.sum(part("pos") + part("neg")).alias("mi"))
 
 
-def interaction_selection(wide: DataFrame, labels: DataFrame, top: int = 5, most: int = 20) -> DataFrame:
-    """The matrix with the interactions of its ``top`` features that have the most mutual information with the label."""
+def interaction_selection(wide: DataFrame, labels: DataFrame, top: int = 50, most: int = 5000, keep: int = 20, limit: float = 0.95, step: int = 512) -> tuple[DataFrame, list[str]]:
+    """``id`` and the best interactions of the ``top`` features, and their names, best first.
+
+    Features are taken by mutual information with the label, of their combinations at most ``most`` are
+    made, as one array column. Constant ones are dropped; in the order of their information
+    each is kept unless it correlates above ``limit`` with one kept before, up to ``keep``.
+    """
     labelled = labels.select("id", F.col("y").cast("double").alias("y"))
-    scores = lambda m: mutual_information(frames.stacked(m, frames.names(m)).join(labelled, "id")).orderBy(F.desc("mi"), "feature")
-    best = [r["feature"] for r in scores(wide).limit(top).collect()]
-    grown = frames.interactions(wide, [(a, b) for i, b in enumerate(best) for a in best[:i]])
-    made = [c for c in grown.columns if c not in wide.columns]
-    kept = [r["feature"] for r in scores(grown.select("id", *made)).limit(most).collect()] if made else []
-    return grown.select(*wide.columns, *kept)
+    informed = lambda m, names: mutual_information(frames.stacked(m, names).join(labelled, "id"))
+    best = [r["feature"] for r in informed(wide, frames.names(wide)).orderBy(F.desc("mi"), "feature").limit(top).collect()]
+    made = frames.combinations(best, most)
+    names = [f"{a}_{k}_{b}" for k, a, b in made]
+    block = tables.staged(frames.combined(wide, made).select("id", "block"), "interactions")
+    labels_of = F.lit(names)
+    long = block.join(labelled, "id").select("y", F.posexplode("block").alias("at", "value")).where("value is not null and not isnan(value)")
+    long = tables.staged(long.select("y", F.get(labels_of, F.col("at")).alias("feature"), "value"), "interactions")
+    varied = long.groupBy("feature").agg((F.min("value") < F.max("value")).alias("varies")).where("varies").select("feature")
+    order = [r["feature"] for r in mutual_information(long).join(varied, "feature").orderBy(F.desc("mi"), "feature").collect()]
+    place, kept = {n: i for i, n in enumerate(names)}, []
+    for at in range(0, len(order), step):
+        part = [*kept, *order[at : at + step]]
+        values = F.transform(F.lit([place[n] for n in part]), lambda i: F.get("block", i))
+        kept = frames.unrelated(gram.correlations(block, part, values), part, limit)[:keep]
+        if len(kept) == keep:
+            break
+    return block.select("id", *[F.get("block", F.lit(place[n])).alias(n) for n in kept]), kept
 
 
 QUERIES = {"logistic_cv": logistic_cv_scores, "gbt_ensemble": gbt_ensemble, "isotonic": isotonic, "oof_stack": oof_stack, "feature_importance": feature_importance, "recursive_elimination": recursive_elimination}

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breakwater.operators import ranking
+from breakwater.operators import gram, neighbours, ranking
 from breakwater.operators.frames import stacked
-from breakwater.plans.family import columns, family
+from breakwater.plans.family import columns, family, kept
 
 
 def _holed(wide: DataFrame) -> DataFrame:
@@ -21,6 +21,14 @@ def _holed(wide: DataFrame) -> DataFrame:
     return stacked(wide, NAMES).withColumn("value", F.when(~hole, F.col("value")))
 
 
+def _components(vectors: DataFrame) -> DataFrame:
+    """``i, j, r`` of each pair of places of ``embedding``; shorter vectors lack the last ones."""
+    dims = vectors.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+    padded = F.transform(F.sequence(F.lit(0), F.lit(max(dims, 1) - 1)), lambda i: F.get("embedding", i).cast("double"))
+    found = gram.correlations(vectors.where("embedding is not null"), [str(i) for i in range(dims)], padded)
+    return found.select(F.col("a").cast("bigint").alias("i"), F.col("b").cast("bigint").alias("j"), "r")
+
+
 def _busy(wide: DataFrame) -> DataFrame:
     return wide.crossJoin(F.broadcast(wide.agg(F.avg("n").alias("mean_n")))).select("id", F.when(F.col("n") > F.col("mean_n"), 1).otherwise(0).alias("y"))
 
@@ -34,6 +42,12 @@ def _binned(rows: DataFrame, bins: int = 8) -> DataFrame:
     return cells.groupBy("feature", F.col("c.y").alias("y"), "bin").agg(F.sum("c.k").cast("double").alias("k"))
 
 
+def _correlated(rows: DataFrame) -> DataFrame:
+    """``fa, fb, r`` of each pair of features, by name."""
+    wide = rows.groupBy("id").pivot("feature", sorted(NAMES)).agg(F.first("value"))
+    return gram.correlations(wide, sorted(NAMES)).select(F.col("a").alias("fa"), F.col("b").alias("fb"), "r")
+
+
 def _held_quartiles(rows: DataFrame) -> DataFrame:
     """``k, feature, q1, q2, q3`` of the values of all folds but k."""
     places = ranking.swept(rows, ["feature"], "value", **{f"w{k}": (F.col("fold") == k).cast("long") for k in range(FOLDS)})
@@ -58,12 +72,12 @@ def _dealt(labels: DataFrame) -> DataFrame:
     return ranking.numbered(labels.withColumn("_d", digest), ["y"], "_d", ["id"]).drop("_d")
 
 #: Eight features of each user series, long, with missing values; the label is a busy user.
-_WIDE = ("wide", "SELECT id, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS lo, max(value) AS hi, POST(avg(value)) - PRE(avg(value)) AS shift, DIV(POST(var_samp(value)), PRE(var_samp(value))) AS vr, POST(max(value)) - PRE(max(value)) AS top, DBL(count(*)) AS n FROM {seg} GROUP BY id")
+_WIDE = kept(("wide", "SELECT id, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS lo, max(value) AS hi, POST(avg(value)) - PRE(avg(value)) AS shift, DIV(POST(var_samp(value)), PRE(var_samp(value))) AS vr, POST(max(value)) - PRE(max(value)) AS top, DBL(count(*)) AS n FROM {seg} GROUP BY id"))
 FOLDS, QUARTILES = 5, {"q1": 0.25, "q2": 0.5, "q3": 0.75}
 NAMES = ("mean", "sd", "lo", "hi", "shift", "vr", "top")
 _LONG = ("f", " UNION ALL ".join(f"SELECT id, '{c}' AS feature, CASE WHEN id % 17 = {k} THEN NULL ELSE {c} END AS value FROM {{wide}}" for k, c in enumerate(NAMES)), lambda have: _holed(have["wide"]))
 _LABEL = ("lab", "SELECT id, CASE WHEN n > PCTN THEN 1 ELSE 0 END AS y FROM {wide}".replace("PCTN", "avgn").replace("FROM {wide}", "FROM (SELECT id, n, avg(n) OVER () AS avgn FROM {wide}) z"), lambda have: _busy(have["wide"]))
-_FOLDS = ("fold", "SELECT id, y, BIG((row_number() OVER (PARTITION BY y ORDER BY MD5(id * 1000 + 42), id) - 1) % 5) AS fold FROM {lab}", lambda have: _dealt(have["lab"]).select("id", "y", (F.col("at") % FOLDS).alias("fold")))
+_FOLDS = kept(("fold", "SELECT id, y, BIG((row_number() OVER (PARTITION BY y ORDER BY MD5(id * 1000 + 42), id) - 1) % 5) AS fold FROM {lab}", lambda have: _dealt(have["lab"]).select("id", "y", (F.col("at") % FOLDS).alias("fold"))))
 _BASE = (_WIDE, _LONG, _LABEL)
 IN = {"seg": "seg_users"}
 #: Average-tie rank over the number of values; missing is 0.5.
@@ -90,11 +104,12 @@ _NORMALIZED = (
 )
 _QUART = ("qs", "SELECT feature, PCT(value, 0.25) AS q1, PCT(value, 0.5) AS q2, PCT(value, 0.75) AS q3 FROM {f} WHERE value IS NOT NULL GROUP BY feature", lambda have: ranking.quantiles(have["f"], ["feature"], "value", QUARTILES))
 _WEIGHTS = ("wt", "SELECT * FROM (VALUES ('mean', 0.6), ('sd', 1.2), ('lo', 0.4), ('hi', 0.8), ('shift', 1.5), ('vr', 1.1), ('top', 0.7)) AS v(feature, w)")
-_IMPUTED = ("im", "SELECT f.id, f.feature, coalesce(f.value, q2, 0) AS value FROM {f} f LEFT JOIN {qs} q ON f.feature = q.feature")
+_IMPUTED = kept(("im", "SELECT f.id, f.feature, coalesce(f.value, q2, 0) AS value FROM {f} f LEFT JOIN {qs} q ON f.feature = q.feature"))
 _PAIRED = ("pr", "SELECT a.id, a.feature AS fa, b.feature AS fb, a.value AS u, b.value AS v FROM {im} a JOIN {im} b ON a.id = b.id AND a.feature < b.feature")
+_CORR = kept(("cm", "SELECT fa, fb, corr(u, v) AS r FROM {pr} GROUP BY fa, fb", lambda have: _correlated(have["im"])))
 _Y_IM = ("iy", "SELECT i.id, i.feature, i.value, y, fold FROM {im} i JOIN {fold} l ON i.id = l.id")
 _BINNED = ("bn", "SELECT feature, y, bin, DBL(count(*)) AS k FROM (SELECT feature, y, floor(8 * (rank() OVER (PARTITION BY feature ORDER BY value) - 1) / DBL(count(*) OVER (PARTITION BY feature))) AS bin FROM {iy}) z GROUP BY feature, y, bin", lambda have: _binned(have["iy"]))
-_MI = ("mi", "SELECT feature, sum(k / n * LN(k * n / (kb * ky))) AS mi FROM (SELECT feature, k, sum(k) OVER (PARTITION BY feature) AS n, sum(k) OVER (PARTITION BY feature, bin) AS kb, sum(k) OVER (PARTITION BY feature, y) AS ky FROM {bn}) z GROUP BY feature")
+_MI = kept(("mi", "SELECT feature, sum(k / n * LN(k * n / (kb * ky))) AS mi FROM (SELECT feature, k, sum(k) OVER (PARTITION BY feature) AS n, sum(k) OVER (PARTITION BY feature, bin) AS kb, sum(k) OVER (PARTITION BY feature, y) AS ky FROM {bn}) z GROUP BY feature"))
 _SCORE = ("sc", "SELECT r.id, round(avg(r), 9) AS score FROM {rk} r GROUP BY r.id")
 _SCORED = ("sy", "SELECT s.id, score, y, fold, 1 AS one FROM {sc} s JOIN {fold} l ON s.id = l.id")
 _ALL = (*_BASE, _FOLDS, _QUART, _IMPUTED, _Y_IM)
@@ -132,6 +147,9 @@ _SUP = (
     ("f", " UNION ALL ".join(f"SELECT id, '{c}' AS feature, {c} AS value FROM {{b2}}" for c in CONTRASTS), lambda have: stacked(have["b2"], CONTRASTS)),
 )
 
+#: Correlations of all components of the embeddings, in one scan.
+_COMPONENTS = ("gc", "SELECT i, j, corr(embedding[i + 1], embedding[j + 1]) AS r FROM {embeddings} CROSS JOIN (SELECT unnest(range(0, (SELECT max(len(embedding)) FROM {embeddings}))) AS i) x CROSS JOIN (SELECT unnest(range(0, (SELECT max(len(embedding)) FROM {embeddings}))) AS j) y WHERE i < j GROUP BY i, j", lambda have: _components(have["embeddings"]))
+
 FAMILIES = [
     family("baseline_score", *_SUP, _RANK, "SELECT id, R(avg(r)) AS score FROM {rk} GROUP BY id", seg="seg_suppliers"),
     family("rank_pct", *_BASE, _RANK, "SELECT id, feature, R(r) AS r FROM {rk}", **IN),
@@ -152,8 +170,10 @@ FAMILIES = [
     family("auc_selection_sweep", *_BASE, _FOLDS, _WITH_Y, _auc("fy", "value", "feature"), "SELECT DBL(t) AS threshold, BIG(sum(CASE WHEN greatest(auc, 1 - auc) >= t THEN 1 ELSE 0 END)) AS n_features FROM {a} CROSS JOIN (VALUES (0.50), (0.52), (0.54), (0.56), (0.58), (0.60)) AS v(t) GROUP BY t", **IN),
     family("interactions", *_ALL, _PAIRED, "SELECT id, fa, fb, " + ", ".join(f"R({e}) AS {n}" for n, e in (("mul", "u * v / 1000"), ("sqmul", "u * u * v / 1000000"), ("divide", "DIV(u, v + 1e-8)"), ("added", "u + v"), ("sub", "u - v"), ("ratio", "DIV(u, abs(u) + abs(v) + 1e-8)"), ("harmonic", "DIV(2 * u * v, u + v + 1e-8)"))) + " FROM {pr} WHERE abs(v) > 0.001 AND abs(u + v) > 0.001", **IN),
     family("differentiation", *_ALL, "SELECT id, feature, R(power(value, 3) / 1000000) AS cube, R(LN(abs(value) + 1)) AS log1, R(1 / (abs(value) + 1)) AS reciprocal, R(sin(value)) AS sine, R(cos(value)) AS cosine, R(sqrt(abs(value))) AS root FROM {im}", **IN),
-    family("corr_matrix", *_ALL, _PAIRED, "SELECT fa, fb, R(corr(u, v)) AS r FROM {pr} GROUP BY fa, fb", **IN),
-    family("corr_filter", *_ALL, _PAIRED, _BINNED, _MI, ("hi", "SELECT fa, fb FROM {pr} GROUP BY fa, fb HAVING abs(corr(u, v)) > 0.5"), "SELECT m.feature, R(m.mi) AS mi FROM {mi} m WHERE m.feature NOT IN (SELECT CASE WHEN a.mi >= b.mi THEN h.fb ELSE h.fa END FROM {hi} h JOIN {mi} a ON h.fa = a.feature JOIN {mi} b ON h.fb = b.feature)", **IN),
+    family("corr_matrix", *_ALL, _PAIRED, _CORR, "SELECT fa, fb, R(r) AS r FROM {cm}", **IN),
+    family("gram_correlation", _COMPONENTS, "SELECT i, j, R(r) AS r FROM {gc}", embeddings="embeddings"),
+    family("corr_filter", *_ALL, _PAIRED, _CORR, _BINNED, _MI, ("hi", "SELECT fa, fb FROM {cm} WHERE abs(r) > 0.5"), "SELECT m.feature, R(m.mi) AS mi FROM {mi} m WHERE m.feature NOT IN (SELECT CASE WHEN a.mi >= b.mi THEN h.fb ELSE h.fa END FROM {hi} h JOIN {mi} a ON h.fa = a.feature JOIN {mi} b ON h.fb = b.feature)", **IN),
+    family("knn_mi", *_ALL, *neighbours.STEPS, "SELECT feature, R(mi) AS mi FROM {nm}", **IN),
     family("binned_mi", *_ALL, _BINNED, _MI, "SELECT feature, R(mi) AS mi FROM {mi}", **IN),
     family("stability_rank", *_ALL, ("ks", "SELECT DISTINCT fold AS k FROM {fold}"), ("tr", "SELECT k, feature, value, y FROM {iy} CROSS JOIN {ks} WHERE fold <> k"), _auc("tr", "value", "k, feature"), "SELECT feature, R(avg(abs(auc - 0.5)) / (1 + DIV(stddev_pop(abs(auc - 0.5)), avg(abs(auc - 0.5)) + 1e-12))) AS stability FROM {a} GROUP BY feature", **IN),
     family("weight_grid", *_BASE, _RANK, _FOLDS, ("ab", "SELECT r.id, y, max(CASE WHEN feature = 'mean' THEN r END) AS a, max(CASE WHEN feature = 'hi' THEN r END) AS b, max(CASE WHEN feature = 'sd' THEN r END) AS c FROM {rk} r JOIN {fold} l ON r.id = l.id GROUP BY r.id, y"), ("gs", "SELECT id, y, i * 10 + j AS w, (i * a + j * b + (10 - i - j) * c) / 10 AS score FROM {ab} CROSS JOIN (VALUES (0), (2), (4), (6), (8), (10)) AS p(i) CROSS JOIN (VALUES (0), (2), (4), (6), (8), (10)) AS q(j) WHERE i + j <= 10"), ("gr", "SELECT id, y, w, round(score, 9) AS score FROM {gs}"), _auc("gr", "score", "w"), "SELECT w, R(auc) AS auc FROM {a}", **IN),

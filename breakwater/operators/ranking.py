@@ -6,6 +6,9 @@ that keep the order, running sums are taken inside each range, and the sums of t
 before it (a small table) are added. So a group is spread over ``CUTS`` tasks, and a value that
 fills a third of all rows is one row.
 
+The counts by value are written to the shared folder before they are used three times, so a
+plan with several sweeps stays as large as its last step.
+
 Keys name columns of a matrix (features, folds, classes), so their number doesn't grow with
 the rows, and tables of one row for each key and range are small.
 """
@@ -17,34 +20,47 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from breakwater.sources import tables
+
 #: Ranges that a group's values are cut into.
 CUTS = 64
 
 
+def dealt(each: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``each`` with ``_range``, the number of the range that the value falls into, among about ``CUTS`` of its key."""
+    shares = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    cuts = each.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(20 * CUTS)).alias("_cuts"))
+    return each.join(F.broadcast(cuts), keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+
+
 def swept(df: DataFrame, keys: list[str], value: str, **weights: Column) -> DataFrame:
     """A row for each key and distinct value: for each weight its sum ``w``, and ``w_below`` and ``w_total``.
 
     ``w_below`` sums over smaller values of the key, ``w_total`` over all. Null values are left
     out; an empty table gives an empty result.
     """
-    each = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(w).alias(n) for n, w in weights.items()])
-    shares = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    cuts = each.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(20 * CUTS)).alias("_cuts"))
-    dealt = each.join(F.broadcast(cuts), keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(w).alias(n) for n, w in weights.items()])
+    each = dealt(tables.staged(counts, "sweep"), keys, value)
     before = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    dealt = dealt.select("*", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_in_{n}") for n in weights])
-    ranges = dealt.groupBy(*keys, "_range").agg(*[F.sum(n).alias(f"_all_{n}") for n in weights])
+    inside = each.select("*", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_in_{n}") for n in weights])
+    ranges = each.groupBy(*keys, "_range").agg(*[F.sum(n).alias(f"_all_{n}") for n in weights])
     earlier, whole = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
     ranges = ranges.select(*keys, "_range", *[F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}") for n in weights], *[F.sum(f"_all_{n}").over(whole).alias(f"{n}_total") for n in weights])
-    both = dealt.join(F.broadcast(ranges), [*keys, "_range"])
+    both = inside.join(F.broadcast(ranges), [*keys, "_range"])
     return both.select(*keys, value, *weights, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(f"{n}_below") for n in weights], *[f"{n}_total" for n in weights])
 
 
+def _looked_up(df: DataFrame, places: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``df`` with the columns of ``places`` of its key and value; rows without a value are spread over tasks."""
+    spread = df.withColumn("_spread", F.when(F.col(value).isNull(), F.xxhash64(*df.columns)).otherwise(F.lit(0)))
+    return spread.join(places.withColumn("_spread", F.lit(0).cast("long")), [*keys, value, "_spread"], "left")
+
+
 def ranked(df: DataFrame, keys: list[str], value: str, name: str = "r") -> DataFrame:
     """``df`` with the average-tie rank of each value over the number of values; 0.5 where it is null."""
     places = swept(df, keys, value, _n=F.lit(1))
     share = (F.col("_n_below") + (F.col("_n") + 1) / 2) / F.col("_n_total")
-    return df.join(places.select(*keys, value, share.alias(name)), [*keys, value], "left").select(*df.columns, F.coalesce(name, F.lit(0.5)).alias(name))
+    return _looked_up(df, places.select(*keys, value, share.alias(name)), keys, value).select(*df.columns, F.coalesce(name, F.lit(0.5)).alias(name))
 
 
 def area(df: DataFrame, keys: list[str], value: str, y: str = "y") -> DataFrame:
@@ -86,7 +102,7 @@ def held_out(df: DataFrame, keys: list[str], value: str, fold: str, folds: int,
 
     shares = [F.try_divide((others(k, "w{}_below") + others(k, "w{}")).cast("double"), others(k, "w{}_total")).alias(f"_s{k}") for k in range(folds)]
     own = F.coalesce(*[F.when(F.col(fold) == k, F.col(f"_s{k}")) for k in range(folds)], F.lit(0.5))
-    return df.join(places.select(*keys, value, *shares), [*keys, value], "left").select(*df.columns, own.alias(name))
+    return _looked_up(df, places.select(*keys, value, *shares), keys, value).select(*df.columns, own.alias(name))
 
 
 def against(df: DataFrame, train: DataFrame, keys: list[str], value: str, name: str = "r") -> DataFrame:
@@ -94,7 +110,7 @@ def against(df: DataFrame, train: DataFrame, keys: list[str], value: str, name:
     both = train.select(*keys, value, F.lit(1).alias("_t")).union(df.select(*keys, value, F.lit(0).alias("_t")))
     places = swept(both, keys, value, _n=F.col("_t"))
     share = F.try_divide((F.col("_n_below") + F.col("_n")).cast("double"), F.col("_n_total"))
-    return df.join(places.select(*keys, value, share.alias(name)), [*keys, value], "left").select(*df.columns, F.coalesce(name, F.lit(0.5)).alias(name))
+    return _looked_up(df, places.select(*keys, value, share.alias(name)), keys, value).select(*df.columns, F.coalesce(name, F.lit(0.5)).alias(name))
 
 
 def numbered(df: DataFrame, keys: list[str], digest: str, order: list[str], name: str = "at") -> DataFrame:

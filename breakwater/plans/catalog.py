@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-from breakwater.functions.arrays import FUNCTIONS, per_series
-from breakwater.operators import contrasts, distances, dynamics, learning, matrix, preprocessing, tails
+from breakwater.operators import change, contrasts, distances, dynamics, filters, learning, matrix, preprocessing, probabilities, spectra, tails
 from breakwater.plans import engine, multiscale
-from breakwater.sources import series
 
-FAMILIES = [*preprocessing.FAMILIES, *contrasts.FAMILIES, *distances.FAMILIES, *tails.FAMILIES, *dynamics.FAMILIES, *matrix.FAMILIES]
+FAMILIES = [f for m in (preprocessing, contrasts, distances, tails, dynamics, filters, spectra, change, probabilities, matrix) for f in m.FAMILIES]
 
 QUERIES: dict = {f.name: f.query for f in FAMILIES}
 ORACLES: dict[str, str] = {f.name: f.oracle() for f in FAMILIES}
 
-
-def _array_query(function, windows):
-    return lambda spark, sf_dir: per_series(series.segments(spark, sf_dir), function, windows)
-
-
-for _name, _function in FUNCTIONS.items():
-    QUERIES[_name] = _array_query(_function, (50, 100, 250, None) if _name in engine.WINDOWED else (None,))
+QUERIES |= {f.name: f.query for f in spectra.PLAIN}
 QUERIES |= learning.QUERIES | engine.QUERIES | multiscale.QUERIES

@@ -10,35 +10,32 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakwater.functions.arrays import FUNCTIONS, per_series
-from breakwater.operators import contrasts, distances, dynamics, frames, learning, likelihood, ranking, tails
+from breakwater.operators import change, contrasts, distances, dynamics, filters, frames, learning, likelihood, probabilities, ranking, spectra, tails
 from breakwater.sources import series
 
 #: Families with a row for each series, or each series and scope, by name.
-SCOPED = {f.name: f for m in (contrasts, distances, tails, dynamics) for f in m.FAMILIES if list(f.inputs) in (["x"], ["seg"])}
+SCOPED = {f.name: f for m in (contrasts, distances, tails, dynamics, filters, spectra, change, probabilities) for f in [*m.FAMILIES, *getattr(m, "PLAIN", [])] if list(f.inputs) in (["x"], ["seg"])}
 #: Families that compare a window with whole segments.
 WINDOWS_ONLY = ("localization", "tail_localization")
-#: Families in Python that are taken at every scope, not only over whole segments.
-WINDOWED = ("spectral", "wavelet", "compression", "test_pvalues")
 DEFAULT = ("quantile_features", "quantile_deltas", "scale_shift", "acf1_shift", "wasserstein", "energy_v", "cv_features", "cusum_features", "ar1_yw")
 
 
-#: SQL families of the break likelihood's statistics; the others are spectral and wavelet ones.
-BREAK_FAMILIES = ("ar1_yw", "energy_v", "wasserstein", "acf1_shift", "scale_shift")
+#: Families of the break likelihood's statistics.
+BREAK_FAMILIES = ("ar1_yw", "energy_v", "wasserstein", "acf1_shift", "scale_shift", "spectral", "wavelet")
 
 
 def named(statistic: str, scope: str) -> str:
     return statistic if scope == "full" else f"{statistic}_{scope}"
 
 
-def features(table: DataFrame, families: tuple[str, ...] = DEFAULT, scopes: dict[str, int] | None = None, arrays: tuple[str, ...] = ()) -> DataFrame:
+def features(table: DataFrame, families: tuple[str, ...] = DEFAULT, scopes: dict[str, int] | None = None) -> DataFrame:
     """Wide features of a table ``id, seq, period, value``: ``id`` and a column for each statistic and scope.
 
     Names end in the window (``energy_w50``), those of whole segments have no end.
 
     Each family is one plan over the same scoped segments; the results are co-partitioned by
     id, so the joins that put them side by side shuffle only their own small rows. A name
-    that two families share is kept from the first. ``arrays`` adds families in Python.
+    that two families share is kept from the first.
     """
     spark = table.sparkSession
     scopes = scopes or series.SCOPES
@@ -54,12 +51,6 @@ def features(table: DataFrame, families: tuple[str, ...] = DEFAULT, scopes: dict
         elif names:
             windows = [s for s in scopes if not (s == "full" and name in WINDOWS_ONLY)]
             parts.append(got.groupBy("id").agg(*[F.max(F.when(F.col("scope") == s, F.col(c))).alias(named(c, s)) for s in windows for c in names]))
-    for name in arrays:
-        windows = tuple(None if s == "full" else w for s, w in scopes.items()) if name in WINDOWED else (None,)
-        got = per_series(segs, FUNCTIONS[name], windows)
-        fresh = [c for c in got.columns if c not in ("id", "scope") and c not in seen]
-        seen |= set(fresh)
-        parts.append(got.groupBy("id").agg(*[F.max(F.when(F.col("scope") == s, F.col(c))).alias(named(c, s)) for s in (scopes if len(windows) > 1 else ("full",)) for c in fresh]))
     return reduce(lambda a, b: a.join(b, "id", "full_outer"), parts)
 
 
@@ -133,7 +124,7 @@ def ar_kalman_scores(table: DataFrame, labels: DataFrame | None = None, top: int
     With labels each column is turned so that larger values mean a break, by its area under the
     curve, and with ``top`` only that many columns of the best areas are averaged.
     """
-    wide = frames.finite(features(table, (), arrays=("ar_kalman_block",)))
+    wide = frames.finite(features(table, ("ar_kalman_block",)))
     if labels is None:
         return rank_mean(wide)
     long = frames.stacked(wide, frames.names(wide)).join(labels.select("id", "y"), "id", "left")
@@ -160,7 +151,7 @@ def ar_kalman_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def break_likelihood_49(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weighted statistics that SQL families give, fitted on and applied to the supplier series."""
-    wide = frames.finite(features(series.segments(spark, sf_dir), BREAK_FAMILIES, arrays=("spectral", "wavelet")))
+    wide = frames.finite(features(series.segments(spark, sf_dir), BREAK_FAMILIES))
     return likelihood.BreakLikelihood().fit(wide).transform(wide)
 
 

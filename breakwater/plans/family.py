@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from breakwater.plans.dialect import render
-from breakwater.sources import series
+from breakwater.sources import series, tables
 
 #: Base relations: how Spark gets them from a data folder, and DuckDB's SQL.
 BASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
@@ -46,7 +46,8 @@ class Family:
         parts = [f"{k} AS ({BASES[base][1]})" for k, base in self.inputs.items()]
         for name, text, *_ in self.steps[:-1]:
             parts.append(f"{name} AS ({render(self._named(text), 1)})")
-        return f"WITH {', '.join(parts)} {render(self._named(self.steps[-1][1]), 1)}"
+        recursive = "RECURSIVE " if any("{" + n + "}" in text for n, text, *_ in self.steps) else ""
+        return f"WITH {recursive}{', '.join(parts)} {render(self._named(self.steps[-1][1]), 1)}"
 
     def _named(self, text: str) -> str:
         for k in [*self.inputs, *(s[0] for s in self.steps)]:
@@ -54,6 +55,18 @@ class Family:
         return text
 
 
+def kept(step: tuple) -> tuple:
+    """A step that Spark writes to the shared folder, as later steps use it more than once."""
+    name, text, *other = step
+
+    def run(have: dict[str, DataFrame]) -> DataFrame:
+        used = {k: v for k, v in have.items() if "{" + k + "}" in text}
+        made = other[0](have) if other else next(iter(used.values())).sparkSession.sql(render(text, 0), **used)
+        return tables.staged(made, name)
+
+    return (name, text, run)
+
+
 def family(name: str, *steps: tuple | str, **inputs: str) -> Family:
     made = tuple(s if isinstance(s, tuple) else ("result", s) for s in steps)
     return Family(name, made, inputs or {"seg": "seg_suppliers"})

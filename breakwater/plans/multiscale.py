@@ -15,17 +15,17 @@ from breakwater.operators import frames
 from breakwater.plans import engine
 from breakwater.sources import series, tables
 
-#: Groups: SQL families, families in Python, and columns left out of the matrix.
-GROUPS: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]] = {
-    "base": (("quantile_features", "hist_entropy", "rolling_var_slope", "diff_variance", "energy_v", "wasserstein", "quantile_deltas", "scale_shift", "acf1_shift", "ar1_yw"), (), ("entropy_pre", "entropy_post")),
-    "cv": (("cv_features",), (), ()),
-    "compression": ((), ("compression",), ("lz76_pre", "lz76_post")),
-    "cusum": (("cusum_features", "cusum_elbow", "cusum_error", "cusum_boundary_vol"), (), ()),
-    "transforms": (("transform_stats_raw", "transform_stats_cumsum", "transform_stats_diff"), (), ()),
-    "distances": (("boundary_distances", "winsor_distances", "tail_distances", "tail_mass"), (), ()),
-    "disagreement": (("dod_ratios", "agreement", "tail_bulk", "localization", "dod_curve"), (), ()),
-    "tails": (("hill_tail", "exceedance", "quantile_spacing", "asymmetry"), (), ()),
-    "tail_curves": (("tail_localization", "tail_curve"), (), ()),
+#: Groups: families, and columns left out of the matrix.
+GROUPS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "base": (("quantile_features", "hist_entropy", "rolling_var_slope", "diff_variance", "energy_v", "wasserstein", "quantile_deltas", "scale_shift", "acf1_shift", "ar1_yw"), ("entropy_pre", "entropy_post")),
+    "cv": (("cv_features",), ()),
+    "compression": (("compression",), ("lz76_pre", "lz76_post")),
+    "cusum": (("cusum_features", "cusum_elbow", "cusum_error", "cusum_boundary_vol"), ()),
+    "transforms": (("transform_stats_raw", "transform_stats_cumsum", "transform_stats_diff"), ()),
+    "distances": (("boundary_distances", "winsor_distances", "tail_distances", "tail_mass"), ()),
+    "disagreement": (("dod_ratios", "agreement", "tail_bulk", "localization", "dod_curve"), ()),
+    "tails": (("hill_tail", "exceedance", "quantile_spacing", "asymmetry"), ()),
+    "tail_curves": (("tail_localization", "tail_curve"), ()),
 }
 #: Columns of each group.
 COUNTS = {"base": 92, "cv": 88, "compression": 68, "cusum": 100, "transforms": 24, "distances": 168, "disagreement": 152, "tails": 148, "tail_curves": 80}
@@ -36,8 +36,8 @@ def matrix(table: DataFrame, groups: tuple[str, ...] = tuple(GROUPS)) -> DataFra
     segs = tables.staged(table, "series")
     parts = []
     for name in groups:
-        families, arrays, without = GROUPS[name]
-        wide = engine.features(segs, families, arrays=arrays)
+        families, without = GROUPS[name]
+        wide = engine.features(segs, families)
         left = [c for c in frames.names(wide) if not any(c == w or c.startswith(f"{w}_w") for w in without)]
         if len(left) != COUNTS[name]:
             raise ValueError(f"group {name} has {len(left)} columns, not {COUNTS[name]}")

@@ -1,4 +1,4 @@
-"""The array statistics against slow derivations from their definitions."""
+"""The numpy statistics, which those in SQL are compared with, against slow derivations from their definitions."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import math
 import numpy as np
 import pytest
 
-from breakwater.functions import arrays
+from . import numpy_series as arrays
 
 RNG = np.random.default_rng(11)
 X0, X1 = RNG.normal(size=61), RNG.normal(0.7, 1.8, size=74).round(2)

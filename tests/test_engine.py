@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from breakwater.functions import arrays
-from breakwater.operators import frames, learning, likelihood, ranking
+from breakwater.operators import frames, gram, learning, likelihood, neighbours, ranking
 from breakwater.plans import engine
-from breakwater.sources import series
 
-from .conftest import SF
+from . import numpy_series as arrays
 
 
 @pytest.fixture(scope="module")
@@ -138,8 +138,79 @@ def test_selection(spark):
     labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "id long, y int")
     assert learning.stability_selection(wide, labels)[0] in ("good", "copy")
     assert len({"good", "copy"} & set(learning.stability_selection(wide, labels))) == 1
-    grown = learning.interaction_selection(wide, labels, top=2, most=2)
-    assert len(grown.columns) == len(wide.columns) + 2 and grown.count() == 200
+    grown, kept = learning.interaction_selection(wide, labels, top=3, keep=4)
+    assert grown.columns == ["id", *kept] and 1 <= len(kept) <= 4 and grown.count() == 200
+    values = grown.toPandas()[kept].to_numpy()
+    assert np.abs(np.corrcoef(values.T) - np.eye(len(kept))).max() <= 0.95 + 1e-9
+
+
+def test_thousands_of_combinations_in_one_plan(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(20, 40))
+    x[3, 5], x[4, 6] = np.nan, 0.0
+    wide = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, " + ", ".join(f"c{k} double" for k in range(40)))
+    made = frames.combinations([f"c{k}" for k in range(40)])
+    start = time.perf_counter()
+    block = frames.combined(wide, made)
+    block._jdf.queryExecution().executedPlan()
+    assert len(made) == 5000 and time.perf_counter() - start < 10
+    how = {"mul": lambda a, b: a * b, "sqmul": lambda a, b: a * a * b, "div": lambda a, b: a / (b + 1e-8), "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "ratio": lambda a, b: a / (abs(a) + abs(b) + 1e-8), "harmonic": lambda a, b: 2 * a * b / (a + b + 1e-8)}
+    for r in block.collect():
+        for (k, a, b), v in zip(made, r.block):
+            u, w = x[r.id, int(a[1:])], x[r.id, int(b[1:])]
+            assert v is None if np.isnan(u + w) else v == pytest.approx(how[k](u, w))
+    assert frames.combined(wide, []).first().block == []
+
+
+def test_correlations_of_all_pairs_in_one_scan(spark, monkeypatch):
+    """Equal to Spark's own, pair by pair, with nulls, constants, large means and several tasks and blocks."""
+    monkeypatch.setattr(gram, "BLOCK", 3)
+    monkeypatch.setattr(gram, "ROWS", 7)
+    monkeypatch.setattr(gram, "TASKS", 2)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 8)) @ rng.normal(size=(8, 8)) + np.array([0, 1e6, 0, -1e5, 0, 0, 0, 0])
+    x[:, 6] = 2.5
+    names = [f"f{k}" for k in range(8)]
+    rows = [(i, *[None if rng.random() < 0.2 or k == 7 and i > 1 else float(v) for k, v in enumerate(r)]) for i, r in enumerate(x)]
+    wide = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} double" for n in names)).repartition(5)
+    got = {(r.a, r.b): r for r in gram.correlations(wide, names).collect()}
+    assert len(got) == 28
+    for (a, b), r in got.items():
+        both = [(p[1 + names.index(a)], p[1 + names.index(b)]) for p in rows if p[1 + names.index(a)] is not None and p[1 + names.index(b)] is not None]
+        assert r.n == len(both)
+        u, v = (np.array(c) for c in zip(*both)) if both else (np.array([0.0]), np.array([0.0]))
+        if len(both) > 1 and u.std() > 0 and v.std() > 0:
+            assert r.r == pytest.approx(np.corrcoef(u, v)[0, 1], abs=1e-9)
+        else:
+            assert r.r is None
+    plan = gram.correlations(wide, names)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Repartition") == 1
+    assert gram.correlations(wide, names[:1]).count() == 0 and gram.correlations(wide.limit(0), names).count() == 0
+
+
+def test_information_by_nearest_neighbours(spark, monkeypatch):
+    """Equal to a comparison of all pairs: ties, a common value, small classes, three labels, several ranges."""
+    monkeypatch.setattr(ranking, "CUTS", 5)
+    rng = np.random.default_rng(9)
+    columns = {"normal": rng.normal(size=120), "tied": rng.integers(0, 6, 120) / 4, "mixed": np.where(rng.random(120) < 0.4, 1.5, rng.normal(size=120)), "same": np.ones(120)}
+    y = rng.integers(0, 3, 120)
+    y[:3], y[3] = 7, 9  # a class of three rows and one of a single row
+    columns["label"] = y + rng.normal(0, 0.1, 120)
+    rows = [(f, float(v), int(c)) for f, x in columns.items() for v, c in zip(x, y)] + [("normal", None, 1), ("normal", float("nan"), 1), ("tied", 1.0, None), ("empty", None, 1), ("lone", 1.0, 1)]
+    got = {r.feature: r.mi for r in neighbours.knn_information(spark.createDataFrame(rows, "feature string, value double, y int").repartition(4)).collect()}
+    psi = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, int(n)))
+    for f, x in columns.items():
+        size = {c: (y == c).sum() for c in set(y)}
+        keep = np.array([size[c] > 1 for c in y])
+        total = psi(keep.sum())
+        for i in np.flatnonzero(keep):
+            own = np.sort(np.abs(x[(y == y[i]) & (np.arange(120) != i)] - x[i]))
+            k = min(3, len(own))
+            near = np.abs(x[keep] - x[i])
+            m = (near < own[k - 1]).sum() if own[k - 1] > 0 else (near == 0).sum()
+            total += (psi(k) - psi(size[y[i]]) - psi(m)) / keep.sum()
+        assert got[f] == pytest.approx(max(total, 0), abs=1e-6), f
+    assert got["label"] > 0.8 > got["normal"] and got["lone"] == 0.0 and "empty" not in got
 
 
 def test_block_of_67(spark):
@@ -160,20 +231,6 @@ def test_block_of_67(spark):
     assert block["trend_rmse_post"] == pytest.approx(np.sqrt(((b - level - slope * np.arange(len(b))) ** 2).mean()))
 
 
-def test_per_series_over_arrays(spark):
-    segs = series.segments(spark, SF)
-    points = {}
-    for r in segs.collect():
-        points.setdefault(r.id, []).append((r.seq, r.period, r.value))
-    got = arrays.per_series(segs, lambda a, b: {"n0": float(len(a)), "s1": float(np.sum(b)), "last": float(a[-1]) if len(a) else float("nan")}, (None, 50)).collect()
-    assert len(got) == 2 * len(points)
-    for r in got:
-        p = sorted(points[r.id])
-        a, b = ([v for _, k, v in p if k == s] for s in (0, 1))
-        a, b = (a, b) if r.scope == "full" else (a[-50:], b[:50])
-        assert r.n0 == len(a) and r.s1 == pytest.approx(sum(b)) and r.last == a[-1]
-
-
 def test_full_matrix_has_920_columns(spark):
     from breakwater.plans import multiscale
 

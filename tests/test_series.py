@@ -9,15 +9,15 @@ import duckdb
 import numpy as np
 import pytest
 
-from breakwater.functions import arrays
-from breakwater.operators import contrasts, distances, dynamics, matrix, preprocessing, tails
+from breakwater.operators import change, contrasts, distances, dynamics, filters, matrix, preprocessing, probabilities, spectra, tails
 from breakwater.plans import catalog
 from breakwater.plans.dialect import render
 from breakwater.sources import series
 
+from . import numpy_series as arrays
 from .conftest import SF
 
-ALL = {f.name: f for m in (preprocessing, contrasts, distances, tails, dynamics, matrix) for f in m.FAMILIES}
+ALL = {f.name: f for m in (preprocessing, contrasts, distances, tails, dynamics, filters, spectra, change, probabilities, matrix) for f in [*m.FAMILIES, *getattr(m, 'PLAIN', [])]}
 
 
 def table(spark, x0, x1, ident=1):
