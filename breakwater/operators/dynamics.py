@@ -97,6 +97,12 @@ _TRANSFORMS = {
 _SIZED = ("sized", "SELECT *, count(*) OVER (PARTITION BY id) AS n FROM {seg}")
 
 
+def transformed(seg, kind: str):
+    """``id, seq, period, value`` of segments under a transform by its name."""
+    steps = [_SIZED] if kind == "mosum" else []
+    return family(kind, *steps, ("t", _TRANSFORMS[kind]), **S).apply(seg.sparkSession, {"seg": seg})
+
+
 def _transform(kind: str):
     steps = [_SIZED] if kind == "mosum" else []
     return family(f"transform_{kind}", *steps, ("t", _TRANSFORMS[kind]), "SELECT id, seq, period, R(value) AS value FROM {t}", **S)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -19,7 +19,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breakwater.operators import frames, gram, ranking
+from breakwater.operators import boosting, frames, gram, ranking
+from breakwater.operators.estimators import RankNormalizer
 from breakwater.sources import tables
 
 SEED, FOLDS = 42, 3
@@ -39,6 +40,23 @@ def folded(df: DataFrame, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
     return dealt.select(*df.columns, (F.col("at") % folds).cast("int").alias("fold"))
 
 
+def labelled_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix with its folds, written once for all fits on it."""
+    return tables.staged(folded(matrix_of(spark, sf_dir)), "matrix")
+
+
+def leafwise_scores(spark: SparkSession, sf_dir: str, settings: boosting.Settings = boosting.Settings(trees=8, leaves=15, l2=1.0, l1=0.1, rows=0.8, columns=0.5, patience=3)) -> DataFrame:
+    """``id, y, fold, score``: boosted trees grown leaf by leaf, out of fold."""
+    df = labelled_matrix(spark, sf_dir)
+    columns = features(df)
+    parts = []
+    for k in range(FOLDS):
+        model = boosting.fit(df.where(F.col("fold") != k), columns, settings)
+        own = df.where(F.col("fold") == k)
+        parts.append(own.select("id", "y", "fold").join(model.score(own), "id"))
+    return reduce(DataFrame.union, parts)
+
+
 def features(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in ("id", "y", "fold")]
 
@@ -73,12 +91,12 @@ def out_of_fold(df: DataFrame, make, name: str = "score", folds: int = FOLDS) ->
 
 
 def logistic_cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out_of_fold(folded(matrix_of(spark, sf_dir)).cache(), logistic_cv)
+    return out_of_fold(labelled_matrix(spark, sf_dir), logistic_cv)
 
 
 def gbt_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of differently grown boosted trees, out of fold."""
-    df = folded(matrix_of(spark, sf_dir)).cache()
+    df = labelled_matrix(spark, sf_dir)
     kinds = [dict(depth=2), dict(depth=3, seed=1), dict(depth=3, sampling=0.6, seed=2)]
     runs = [out_of_fold(df, lambda c, kw=kw: boosted(c, **kw)) for kw in kinds]
     return reduce(DataFrame.union, runs).groupBy("id", "y", "fold").agg(F.avg("score").alias("score"))
@@ -86,7 +104,7 @@ def gbt_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores, calibrated by a monotone map that is fitted on the other folds' scores."""
-    raw = out_of_fold(folded(matrix_of(spark, sf_dir)).cache(), logistic).cache()
+    raw = tables.staged(out_of_fold(labelled_matrix(spark, sf_dir), logistic), "scores")
     parts = []
     for k in range(FOLDS):
         fit = IsotonicRegression(featuresCol="score", labelCol="y", predictionCol="calibrated").fit(raw.where(F.col("fold") != k))
@@ -96,17 +114,17 @@ def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oof_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees, a forest and logistic regression out of fold; a logistic model of their scores, out of fold too."""
-    df = folded(matrix_of(spark, sf_dir)).cache()
+    df = labelled_matrix(spark, sf_dir)
     base = None
     for name, make in (("gbt", boosted), ("forest", forest), ("logistic", logistic)):
         one = out_of_fold(df, make, name)
         base = one if base is None else base.join(one.select("id", name), "id")
-    return out_of_fold(base.cache(), logistic, "stacked")
+    return out_of_fold(tables.staged(base, "scores"), logistic, "stacked")
 
 
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``feature, importance`` of boosted trees, largest first."""
-    df = folded(matrix_of(spark, sf_dir))
+    df = labelled_matrix(spark, sf_dir)
     model = boosted(features(df)).fit(df).stages[-1]
     rows = sorted(zip(features(df), map(float, model.featureImportances.toArray())), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(rows, "feature string, importance double")
@@ -114,7 +132,7 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recursive_elimination(spark: SparkSession, sf_dir: str, keep: int = 8, step: int = 14) -> DataFrame:
     """``round, feature``: features left after each round that drops the ``step`` least important."""
-    df = matrix_of(spark, sf_dir).cache()
+    df = labelled_matrix(spark, sf_dir)
     left, rows, k = features(df), [], 0
     while len(left) > keep:
         model = boosted(left, rounds=5).fit(df).stages[-1]
@@ -125,26 +143,54 @@ def recursive_elimination(spark: SparkSession, sf_dir: str, keep: int = 8, step:
     return spark.createDataFrame(rows, "round int, feature string")
 
 
-def learned_aggregation(wide: DataFrame, labels: DataFrame, top: int = 40, limit: float = 0.98, folds: int = FOLDS, make=None) -> DataFrame:
-    """``id, y, fold, meta_agg_score``: each labelled row scored by a model of the other folds.
+class LearnedAggregator:
+    """A model of a feature matrix that is fitted on some of its rows and scores any: ``id, <name>``.
 
-    Inside a fold everything is fitted on the other folds: values become shares of training
-    values not above them (0.5 where missing), the ``top`` features by area under the curve
-    are taken, those correlated above ``limit`` with a better one dropped, and a logistic model
-    (or ``make(columns)``) is trained.
+    Values become shares of the fitted rows' values not above them (0.5 where missing), the
+    ``top`` features by area under the curve are taken, those correlated above ``limit`` with a
+    better one dropped, and a logistic model (or ``make(columns)``) is trained.
     """
-    labelled = folded(labels.select("id", F.col("y").cast("double").alias("y")), folds)
-    long = frames.stacked(wide, frames.names(wide)).join(labelled, "id")
+
+    def __init__(self, columns: list[str], model: PipelineModel):
+        self.columns, self.model = columns, model
+
+    @classmethod
+    def fit(cls, wide: DataFrame, labels: DataFrame, top: int = 40, limit: float = 0.98, make=None) -> LearnedAggregator:
+        """On the rows of ``wide`` that ``labels(id, y)`` has."""
+        data = tables.staged(wide.join(labels.select("id", F.col("y").cast("double").alias("y")), "id"), "fitted")
+        long = frames.stacked(data, frames.names(data)).join(data.select("id", "y"), "id")
+        best = ranking.area(long, ["feature"], "value").orderBy(F.desc(F.greatest("auc", 1 - F.col("auc"))), "feature").limit(top)
+        order = [r["feature"] for r in best.collect()]  # at most ``top`` names
+        ranks = RankNormalizer(inputCols=order).fit(data)
+        shares = tables.staged(ranks.transform(data.select("id", "y", *order)), "shares")
+        columns = frames.correlated(shares, order, limit)
+        ranks = ranks.copy()
+        ranks.set(ranks.inputCols, columns)
+        fitted = (make or logistic)(columns).fit(shares)
+        return cls(columns, PipelineModel([ranks, *fitted.stages]))
+
+    def transform(self, wide: DataFrame, name: str = "meta_agg_score") -> DataFrame:
+        held = frames.aligned(wide.select("id", *[c for c in self.columns if c in wide.columns]), self.columns)
+        return self.model.transform(held).select("id", F.element_at(vector_to_array("probability"), 2).alias(name))
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> LearnedAggregator:
+        model = PipelineModel.load(path)
+        return cls(model.stages[0].getInputCols(), model)
+
+
+def learned_aggregation(wide: DataFrame, labels: DataFrame, top: int = 40, limit: float = 0.98, folds: int = FOLDS, make=None) -> DataFrame:
+    """``id, y, fold, meta_agg_score``: each labelled row scored by a :class:`LearnedAggregator` of the other folds."""
+    labelled = tables.staged(folded(labels.select("id", F.col("y").cast("double").alias("y")), folds), "folds")
+    data = tables.staged(wide.join(labelled.select("id"), "id", "left_semi"), "matrix")
     parts = []
     for k in range(folds):
-        seen = long.where(F.col("fold") != k)
-        best = ranking.area(seen, ["feature"], "value").orderBy(F.desc(F.greatest("auc", 1 - F.col("auc"))), "feature").limit(top)
-        order = [r["feature"] for r in best.collect()]  # at most ``top`` names
-        ranks = ranking.against(long.where(F.col("feature").isin(order)), seen.where(F.col("feature").isin(order)).select("feature", "value"), ["feature"], "value")
-        shares = ranks.groupBy("id", "y", "fold").pivot("feature", order).agg(F.first("r")).cache()
-        columns = frames.correlated(shares.where(F.col("fold") != k), order, limit)
-        model = (make or logistic)(columns).fit(shares.where(F.col("fold") != k))
-        parts.append(scored(model, shares.where(F.col("fold") == k), "meta_agg_score"))
+        model = LearnedAggregator.fit(data, labelled.where(F.col("fold") != k), top, limit, make)
+        own = data.join(labelled.where(F.col("fold") == k).select("id"), "id", "left_semi")
+        parts.append(model.transform(own).join(labelled, "id").select("id", "y", "fold", "meta_agg_score"))
     return reduce(DataFrame.union, parts)
 
 
@@ -204,4 +250,4 @@ def interaction_selection(wide: DataFrame, labels: DataFrame, top: int = 50, mos
     return block.select("id", *[F.get("block", F.lit(place[n])).alias(n) for n in kept]), kept
 
 
-QUERIES = {"logistic_cv": logistic_cv_scores, "gbt_ensemble": gbt_ensemble, "isotonic": isotonic, "oof_stack": oof_stack, "feature_importance": feature_importance, "recursive_elimination": recursive_elimination}
+QUERIES = {"logistic_cv": logistic_cv_scores, "gbt_ensemble": gbt_ensemble, "isotonic": isotonic, "oof_stack": oof_stack, "feature_importance": feature_importance, "recursive_elimination": recursive_elimination, "leafwise_scores": leafwise_scores}

@@ -27,6 +27,36 @@ WEIGHTS = {
 MODES = ("rank_mean", "zscore_logit")
 
 
+def _present(wide: DataFrame, weights: dict[str, float]) -> tuple[dict[str, float], float]:
+    have = {c: w for c, w in weights.items() if c in wide.columns}
+    if not have:
+        raise ValueError("the matrix has none of the weighted statistics")
+    return have, sum(have.values())
+
+
+def _weighted(rows: DataFrame, value: str, weights: dict[str, float], total: float) -> DataFrame:
+    weight = F.coalesce(*[F.when(F.col("feature") == c, F.lit(w)) for c, w in weights.items()])
+    return rows.groupBy("id").agg((F.sum(F.col(value) * weight) / total).alias("break_likelihood"))
+
+
+def stateless(wide: DataFrame, mode: str = "rank_mean", weights: dict[str, float] | None = None) -> DataFrame:
+    """``id, break_likelihood`` of a matrix by itself, nothing kept.
+
+    ``rank_mean`` averages average-tie ranks as shares; ``zscore_logit`` clips distances from the
+    median at six quartile ranges, and leaves out a statistic without a range.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
+    have, total = _present(wide, weights or WEIGHTS)
+    long = frames.stacked(wide.select("id", *have), list(have))
+    if mode == "rank_mean":
+        return _weighted(ranking.ranked(long, ["feature"], "value"), "r", have, total)
+    middle = ranking.quantiles(long, ["feature"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    z = F.greatest(F.least((F.col("value") - F.col("q2")) / (F.col("q3") - F.col("q1")), F.lit(6.0)), F.lit(-6.0))
+    rows = long.join(F.broadcast(middle), "feature", "left").withColumn("z", F.when(F.col("value").isNull() | F.col("q1").isNull() | (F.col("q3") - F.col("q1") <= 1e-12), 0.0).otherwise(z))
+    return _weighted(rows, "z", have, total).select("id", (1 / (1 + F.exp(-F.col("break_likelihood")))).alias("break_likelihood"))
+
+
 class BreakLikelihood:
     """A scorer fitted on one wide matrix and applied to any: ``id, break_likelihood``.
 
@@ -68,8 +98,7 @@ class BreakLikelihood:
                 z = z + self.weights[c] * F.coalesce((F.col(c) - q2) / (q3 - q1 if q3 - q1 > 1e-12 else 1.0), F.lit(0.0))
             return held.select("id", (1 / (1 + F.exp(-z / total))).alias("break_likelihood"))
         rows = ranking.against(frames.stacked(held, self.columns), self.places, ["feature"], "value")
-        weight = F.coalesce(*[F.when(F.col("feature") == c, F.lit(w)) for c, w in self.weights.items() if c in self.columns])
-        return rows.groupBy("id").agg((F.sum(F.col("r") * weight) / total).alias("break_likelihood"))
+        return _weighted(rows, "r", {c: self.weights[c] for c in self.columns}, total)
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Writes the fitted scorer to a folder."""

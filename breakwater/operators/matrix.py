@@ -48,18 +48,6 @@ def _correlated(rows: DataFrame) -> DataFrame:
     return gram.correlations(wide, sorted(NAMES)).select(F.col("a").alias("fa"), F.col("b").alias("fb"), "r")
 
 
-def _held_quartiles(rows: DataFrame) -> DataFrame:
-    """``k, feature, q1, q2, q3`` of the values of all folds but k."""
-    places = ranking.swept(rows, ["feature"], "value", **{f"w{k}": (F.col("fold") == k).cast("long") for k in range(FOLDS)})
-    out = None
-    for k in range(FOLDS):
-        rest = [j for j in range(FOLDS) if j != k]
-        own = places.select("feature", "value", *[sum(F.col(f"w{j}{end}") for j in rest).alias(f"n{end}") for end in ("", "_below", "_total")])
-        got = ranking.from_sweep(own, ["feature"], "value", QUARTILES).withColumn("k", F.lit(k))
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
 def _summary(rows: DataFrame) -> DataFrame:
     places = ranking.swept(rows, ["y"], "score", n=F.lit(1))
     ends = places.groupBy("y").agg(F.sum("n").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
@@ -103,7 +91,6 @@ _NORMALIZED = (
     ),
 )
 _QUART = ("qs", "SELECT feature, PCT(value, 0.25) AS q1, PCT(value, 0.5) AS q2, PCT(value, 0.75) AS q3 FROM {f} WHERE value IS NOT NULL GROUP BY feature", lambda have: ranking.quantiles(have["f"], ["feature"], "value", QUARTILES))
-_WEIGHTS = ("wt", "SELECT * FROM (VALUES ('mean', 0.6), ('sd', 1.2), ('lo', 0.4), ('hi', 0.8), ('shift', 1.5), ('vr', 1.1), ('top', 0.7)) AS v(feature, w)")
 _IMPUTED = kept(("im", "SELECT f.id, f.feature, coalesce(f.value, q2, 0) AS value FROM {f} f LEFT JOIN {qs} q ON f.feature = q.feature"))
 _PAIRED = ("pr", "SELECT a.id, a.feature AS fa, b.feature AS fb, a.value AS u, b.value AS v FROM {im} a JOIN {im} b ON a.id = b.id AND a.feature < b.feature")
 _CORR = kept(("cm", "SELECT fa, fb, corr(u, v) AS r FROM {pr} GROUP BY fa, fb", lambda have: _correlated(have["im"])))
@@ -158,9 +145,6 @@ FAMILIES = [
     family("stratified_split", *_BASE, ("sp", "SELECT id, y, CASE WHEN (row_number() OVER (PARTITION BY y ORDER BY MD5(id * 1000 + 42), id) - 1) < floor(count(*) OVER (PARTITION BY y) * 0.2) THEN 1 ELSE 0 END AS test FROM {lab}", lambda have: _dealt(have["lab"]).select("id", "y", F.when(F.col("at") < F.floor(F.col("at_of") * 0.2), 1).otherwise(0).alias("test"))), "SELECT id, y, test FROM {sp}", **IN),
     family("median_impute", *_BASE, _QUART, _IMPUTED, "SELECT id, feature, R(value) AS value FROM {im}", **IN),
     family("rank_normalizer", *_BASE, _FOLDS, _WITH_Y, *_NORMALIZED, "SELECT k, id, feature, R(r) AS r FROM {nr} WHERE fold = k", **IN),
-    family("break_likelihood_rank", *_BASE, _RANK, _WEIGHTS, "SELECT id, R(sum(w * r) / sum(w)) AS break_likelihood FROM {rk} r JOIN {wt} w ON r.feature = w.feature GROUP BY id", **IN),
-    family("break_likelihood_z", *_BASE, _QUART, _WEIGHTS, "SELECT f.id, R(1 / (1 + exp(-sum(w * CASE WHEN value IS NULL OR q3 - q1 <= 1e-12 THEN 0 ELSE greatest(least((value - q2) / (q3 - q1), 6), -6) END) / sum(w)))) AS break_likelihood FROM {f} f JOIN {qs} q ON f.feature = q.feature JOIN {wt} w ON f.feature = w.feature GROUP BY f.id", **IN),
-    family("break_likelihood_fitted", *_BASE, _FOLDS, _WITH_Y, ("ks", "SELECT DISTINCT fold AS k FROM {fold}"), ("tq", "SELECT k, feature, PCT(value, 0.25) AS q1, PCT(value, 0.5) AS q2, PCT(value, 0.75) AS q3 FROM {fy} CROSS JOIN {ks} WHERE fold <> k AND value IS NOT NULL GROUP BY k, feature", lambda have: _held_quartiles(have["fy"])), _WEIGHTS, "SELECT f.id, R(1 / (1 + exp(-sum(w * CASE WHEN value IS NULL THEN 0 ELSE (value - q2) / CASE WHEN q3 - q1 <= 1e-12 THEN 1 ELSE q3 - q1 END END) / sum(w)))) AS break_likelihood FROM {fy} f JOIN {tq} q ON f.feature = q.feature AND f.fold = q.k JOIN {wt} w ON f.feature = w.feature GROUP BY f.id", **IN),
     family("feature_auc", *_BASE, _FOLDS, _WITH_Y, _auc("fy", "value", "feature"), "SELECT feature, R(auc) AS auc, R(greatest(auc, 1 - auc)) AS oriented_auc, n FROM {a}", **IN),
     family("feature_diagnostics", *_BASE, _FOLDS, _WITH_Y, "SELECT feature, R(avg(CASE WHEN value IS NULL THEN DBL(1) ELSE DBL(0) END)) AS missing, R(abs(corr(value, DBL(y)))) AS abs_corr FROM {fy} GROUP BY feature", **IN),
     family("score_auc", *_BASE, _RANK, _FOLDS, _SCORE, _SCORED, _auc("sy", "score", "one"), "SELECT one, R(auc) AS auc, n FROM {a}", **IN),

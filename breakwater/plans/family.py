@@ -55,6 +55,28 @@ class Family:
         return text
 
 
+def split(text: str) -> list[str]:
+    """The parts of a select list."""
+    depth, start, out = 0, 0, []
+    for i, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(text[start:i].strip())
+            start = i + 1
+    return [*out, text[start:].strip()]
+
+
+def outputs(text: str) -> list[str]:
+    """Names of the columns of a query that selects them by name."""
+    depth, end = 0, len(text)
+    for i, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if not depth and text[i : i + 6] == " FROM ":
+            end = i
+            break
+    return [part.split(" AS ")[-1].split(".")[-1] for part in split(text[len("SELECT ") : end])]
+
+
 def kept(step: tuple) -> tuple:
     """A step that Spark writes to the shared folder, as later steps use it more than once."""
     name, text, *other = step

@@ -87,17 +87,42 @@ def scoped_sql(view: View = SUPPLIERS) -> str:
     return f"SELECT id, scope, seq, period, pos, value FROM ({segments_sql(view)}) CROSS JOIN (VALUES {values}) AS x(scope, w) WHERE pos <= w"
 
 
-def read_series(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A table by its extension: Parquet, JSON, ORC, else CSV with a header."""
+#: Columns of a series file, as they are read from text; other columns are strings.
+SCHEMA = {"id": "long", "seq": "long", "period": "int", "value": "double"}
+#: What to do with lines of a text file that do not fit the schema.
+BAD = ("fail", "drop", "keep")
+
+
+def read_series(spark: SparkSession, path: str, schema: str | None = None, bad: str = "fail", check: bool = False, **options) -> DataFrame:
+    """A table by its extension: Parquet, ORC or JSON, else CSV with a header.
+
+    Text is read by ``schema`` (of series if the header has those columns), never by guessing from
+    the data. Lines that do not fit it fail the reading, are dropped, or kept as null columns with the
+    line in ``_corrupt_record``. With ``check`` the table must be one of series.
+    """
+    if bad not in BAD:
+        raise ValueError(f"bad is one of {BAD}")
     kind = path.rsplit(".", 1)[-1].lower()
     reader = spark.read.options(**options)
-    if kind in ("parquet", "orc", "json"):
-        return getattr(reader, kind)(path)
-    return reader.option("header", True).option("inferSchema", "schema" not in options).csv(path)
+    if kind in ("parquet", "orc"):
+        found = getattr(reader, kind)(path)
+    else:
+        if schema is None:
+            head = reader.json(path) if kind == "json" else reader.option("header", True).csv(path)
+            schema = ", ".join(f"`{c}` {SCHEMA.get(c, t)}" for c, t in head.dtypes)
+        if bad != "fail":
+            schema += ", _corrupt_record string"
+        reader = reader.schema(schema).option("mode", "FAILFAST" if bad == "fail" else "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+        found = reader.json(path) if kind == "json" else reader.option("header", True).option("enforceSchema", False).csv(path)
+        if bad == "drop":
+            # The reader must fill all columns to know which lines are bad.
+            whole = F.struct(*[F.col(c) for c in found.columns])
+            found = found.select(whole.alias("r")).where("r._corrupt_record is null").select("r.*").drop("_corrupt_record")
+    return validate(found) if check else found
 
 
 def load_split(spark: SparkSession, data_dir: str, split: str = "train") -> tuple[DataFrame, DataFrame | None]:
-    """Series and labels of a split: ``X_<split>.parquet`` (test: the reduced one if that is missing) and ``y_<split>``.
+    """Series and labels of a split, the series checked: ``X_<split>.parquet`` (test: the reduced one if that is missing) and ``y_<split>``.
 
     The label column ``structural_breakpoint`` becomes the integer ``y``; labels are optional for test.
     """
@@ -121,3 +146,8 @@ def load_split(spark: SparkSession, data_dir: str, split: str = "train") -> tupl
 def save_predictions(scores: DataFrame, path: str) -> None:
     """Writes ``id, prediction`` as CSV with a header."""
     scores.select("id", F.col("score").alias("prediction")).write.mode("overwrite").option("header", True).csv(path)
+
+
+def first_ids(table: DataFrame, n: int) -> DataFrame:
+    """The rows of the ``n`` smallest ids, such as for a trial run."""
+    return table.join(F.broadcast(table.select("id").distinct().orderBy("id").limit(n)), "id", "left_semi")

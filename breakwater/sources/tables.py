@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Paths of the tables that were written and not removed since.
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,4 +34,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and reread: its lineage is cut, and a lost executor costs one stage."""
     path = f"{shared_dir(df.sparkSession)}/breakwater/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._staged_at = path
+    return made
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Removes a staged table that nothing reads any more; other tables stay."""
+    path = getattr(df, "_staged_at", None)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+        _remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end all tables staged inside it; results must have been read or written by then."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in [p for p in _WRITTEN if p not in before]:
+            _WRITTEN.remove(path)
+            _remove(spark, path)

@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from breakwater.operators import frames, gram, learning, likelihood, neighbours, ranking
-from breakwater.plans import engine
+from breakwater.plans import catalog, engine
 
 from . import numpy_series as arrays
+from .conftest import SF
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +63,15 @@ def test_no_window_is_keyed_by_a_feature_alone(spark, values):
                 assert "_range" in line or "_all_" in line  # rows of a range, or the few rows of the ranges' sums
 
 
+@pytest.mark.parametrize("name", ["corr_filter", "cv_auc_rank_mean", "evaluation_summary", "stability_rank", "score_auc", "weight_grid", "binned_mi", "knn_mi", "rank_normalizer", "feature_auc", "baseline_score"])
+def test_plans_stay_small(spark, name):
+    """Sweeps and shared steps are written, so the last plan of a query reads few tables however many steps led to it."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    made = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Relation [") <= 14 and plan.count("Window [") <= 12, (plan.count("Relation ["), plan.count("Window ["))
+    assert made.count("FileScan") <= 14
+
+
 def test_frames(spark):
     rows = [(1, 1.0, 5.0, float("nan"), 2.0), (2, 2.0, 5.0, float("inf"), 4.0), (3, None, 5.0, 3.0, 6.1)]
     wide = spark.createDataFrame(rows, "id long, a double, same double, odd double, twin double")
