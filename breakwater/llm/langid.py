@@ -123,6 +123,11 @@ def held_out(id_col: str = "doc_id"):
 
 
 def split_and_identify(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score``, learned from the rows that are not held out."""
+    """``doc_id, held_out, lang_pred, score``, learned from the rows that are not held out.
+
+    A row with a null doc_id is judged but teaches nothing and is not held out; null texts and texts
+    without a letter are ``und``; languages at equal distance go by their names; repeated
+    rows are judged each; an empty table, or one without a labelled text, gives ``und`` or nothing.
+    """
     profiles = learn(docs.where(~held_out() & F.col("doc_id").isNotNull()))
     return identify(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -178,7 +178,8 @@ def pack_examples(examples: DataFrame, demands: list[str], limits: list[int]) ->
 
     ``demands`` names integer columns (null: 0), such as tokens, segments and loss-bearing
     tokens of an instruction example, ``limits`` their limits. An example beyond a limit
-    has a sequence of its own. Rows keep all their columns.
+    has a sequence of its own. Rows keep all their columns;
+    equal and repeated rows are placed each; an empty table gives an empty result.
     """
     need = F.array(*[F.coalesce(F.col(c), F.lit(0)).cast("double") for c in demands])
     df = examples.select(F.struct(*[F.col(c) for c in examples.columns]).alias("row"), need.alias("need"))

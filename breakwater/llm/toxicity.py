@@ -246,7 +246,7 @@ def rejected(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> Data
     """The documents of ``docs`` to reject: ``doc_id, p_low_quality, p_toxic`` with p_toxic >= ``reject``.
 
     Without a document labelled toxic nothing is rejected. Null and empty texts have no
-    features and are judged by the intercept; equal texts have equal probabilities, so all or
+    features and are judged by the intercept; texts of any length are judged whole; equal texts have equal probabilities, so all or
     none of them go; rows with repeated or null ids are judged one by one; an empty table
     gives an empty result; other columns of either table are not read.
     """
