@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breakwater.operators.filters import _let
-from breakwater.plans.family import columns, family
+from breakwater.plans.family import columns, family, spread
 
 PENALTY, LEAST, JUMP = 3.0, 2, 5
 
@@ -26,7 +26,7 @@ _SLIDE = (
     # Squares cancel: what a cut gains is the squared sums of both halves over their size, less those of the whole.
     ("sd", "SELECT id, MAXBY(seq, round(sa * sa / h + sb * sb / h - (sa + sb) * (sa + sb) / (2 * h), 9) - seq * 1e-12) / DBL(max(n)) AS slide FROM {sm} GROUP BY id"),
 )
-_ARRAYS = ("ar", "SELECT id, BIG(max(n)) AS n, SERIES(s, seq, n >= 1) AS s, SERIES(q, seq, n >= 1) AS q FROM {su} GROUP BY id")
+_ARRAYS = spread(("ar", "SELECT id, BIG(max(n)) AS n, SERIES(s, seq, n >= 1) AS s, SERIES(q, seq, n >= 1) AS q FROM {su} GROUP BY id"), "su")
 
 
 def _searched(series: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ the gap to the next value; all statistics are sums over it, in O(n log n).
 
 from __future__ import annotations
 
-from breakwater.plans.family import columns, family
+from breakwater.plans.family import columns, family, kept
 
 X = {"x": "scoped_suppliers"}
 EPS = "1e-12"
@@ -84,7 +84,7 @@ def _of(variant: str, col: str) -> str:
 
 
 #: The four standardised distances of a scope, wide.
-_WIDE = ("z4", "SELECT id, scope, " + ", ".join(f"{_of(v, c)} AS {n}" for v, c, n in (("raw", "wz", "wassz"), ("raw", "ez", "enez"), ("wins", "wz", "wins_wassz"), ("wins", "ez", "wins_enez"))) + " FROM {d} GROUP BY id, scope")
+_WIDE = kept(("z4", "SELECT id, scope, " + ", ".join(f"{_of(v, c)} AS {n}" for v, c, n in (("raw", "wz", "wassz"), ("raw", "ez", "enez"), ("wins", "wz", "wins_wassz"), ("wins", "ez", "wins_enez"))) + " FROM {d} GROUP BY id, scope"))
 _FOUR = ("wassz", "enez", "wins_wassz", "wins_enez")
 _PAIRS = (("wassz", "enez"), ("wins_wassz", "wins_enez"))
 _Z4 = (_QS, _VARIANTS, _BASIC, *_distances("bv"), _WIDE)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from breakwater.plans.family import columns, family
+from breakwater.plans.family import columns, dealt, family, kept, spread
 
 #: Process variances that the filter chooses from, in units of the noise; ten to the powers from -3 to 0.
 GRID = tuple(10.0 ** (-3 + 0.75 * i) for i in range(5))
@@ -37,7 +37,7 @@ def scanned(xs: Column, start: Column, step) -> Column:
 
 def _smoothed(seg: DataFrame) -> DataFrame:
     """``id, seq, period, value, m, v, s2`` of the joined series: level, spread and squared weights of exponential smoothing."""
-    points = seg.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "period", F.col("value").cast("double").alias("value")))).alias("xs"))
+    points = dealt(seg).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "period", F.col("value").cast("double").alias("value")))).alias("xs"))
     first = F.get("xs", F.lit(0))
     start = F.struct(first["seq"].alias("seq"), first["period"].alias("period"), first["value"].alias("value"), first["value"].alias("m"), F.lit(0.0).alias("v"), F.lit(None).cast("double").alias("s2"))
 
@@ -60,28 +60,33 @@ _EWMA = {f"{n}_{k}": f"max(CASE WHEN kind = '{k}' AND n0 >= 5 AND n1 >= 5 THEN {
 _ENDS = ("cq", "SELECT id, PRE(count(*)) AS n0, POST(count(*)) AS n1, PCTF(0.01, 0) AS lo, PCTF(0.99, 0) AS hi FROM {seg} GROUP BY id")
 _CLIPPED = ("cz", "SELECT s.id, seq, period, pos, n0, n1, CASE WHEN n0 >= 3 THEN least(greatest(value, lo), hi) ELSE value END AS value FROM {seg} s JOIN {cq} q ON s.id = q.id")
 _CENTRE = ("cm", "SELECT id, PRE(avg(value)) AS m, PRE(stddev_pop(value)) AS sd FROM {cz} GROUP BY id")
-_Z = ("z", "SELECT c.id, seq, period, pos, n0, n1, CASE WHEN n0 < 3 THEN value WHEN sd < 1e-10 THEN 0 ELSE (value - m) / sd END AS value FROM {cz} c JOIN {cm} m ON c.id = m.id")
+_Z = kept(("z", "SELECT c.id, seq, period, pos, n0, n1, CASE WHEN n0 < 3 THEN value WHEN sd < 1e-10 THEN 0 ELSE (value - m) / sd END AS value FROM {cz} c JOIN {cm} m ON c.id = m.id"))
 _STANDARD = (_ENDS, _CLIPPED, _CENTRE, _Z)
 
 
-def _fits(source: str, keys: str) -> tuple[tuple, ...]:
-    """Step ``ft``: the process variance of the grid with the least Gaussian loss of an array ``a``, and its innovation variance."""
-    grid = "(VALUES " + ", ".join(f"(DBL({q!r}))" for q in GRID) + ") AS g(q)"
+def _fits(source: str, keys: str, least: str) -> tuple[tuple, ...]:
+    """Step ``ft``: the process variance ``q`` of the grid with the least Gaussian loss of an array ``a``, and its innovation variance ``v``.
+
+    All fits of an array stand in its row, so nothing is grouped or joined. No step filters on a
+    fit, as the filter would be pushed below it and fold the array again.
+    """
+    each = lambda text: ", ".join(text.replace("#", str(i)) for i in range(len(GRID)))
+    pick = lambda values: "CASE " + " ".join(f"WHEN l{i} = best THEN {v}" for i, v in enumerate(values)) + " END"
+    fits = ", ".join(f"FILTER(a, DBL({q!r}), 1) AS s{i}" for i, q in enumerate(GRID))
     return (
-        ("fs", f"SELECT {keys}, q, DBL(LEN(a) - 1) AS n, FILTER(a, q, 1) AS s FROM {{{source}}} CROSS JOIN {grid} WHERE LEN(a) >= 3"),
-        ("fv", f"SELECT {keys}, q, n, s.s2 AS s2, s.s2 / n - power(s.s1 / n, 2) AS v FROM {{fs}}"),
-        ("fl", f"SELECT {keys}, q, v, s2 / v / 2 + n * LN(v) / 2 AS loss FROM {{fv}} WHERE v > 1e-20"),
-        ("ft", f"SELECT {keys}, MINBY(q, loss) AS q, MINBY(v, loss) AS v FROM {{fl}} GROUP BY {keys}"),
+        ("fs", f"SELECT {keys}, DBL(LEN(a) - 1) AS n, {fits} FROM {{{source}}} WHERE {least}"),
+        ("fv", f"SELECT {keys}, n, {each('s#.s2 AS t#')}, {each('s#.s2 / n - power(s#.s1 / n, 2) AS v#')} FROM {{fs}}"),
+        ("fl", f"SELECT {keys}, {each('v#')}, {each('CASE WHEN v# > 1e-20 THEN t# / v# / 2 + n * LN(v#) / 2 END AS l#')} FROM {{fv}}"),
+        ("fm", f"SELECT *, least({each('l#')}) AS best FROM {{fl}}"),
+        ("ft", f"SELECT {keys}, {pick([f'DBL({q!r})' for q in GRID])} AS q, {pick([f'v{i}' for i in range(len(GRID))])} AS v FROM {{fm}}"),
     )
 
 
-_ARRAYS = ("ka", f"SELECT id, scope, w, SERIES(value, seq, period = 0) AS a, SERIES(value, seq, period = 1) AS b FROM {{z}} CROSS JOIN {SCOPES} WHERE pos <= w AND (scope = 'full' OR (n0 >= w AND n1 >= w)) GROUP BY id, scope, w")
+_ARRAYS = spread(("ka", f"SELECT id, scope, w, SERIES(value, seq, period = 0) AS a, SERIES(value, seq, period = 1) AS b FROM {{z}} CROSS JOIN {SCOPES} WHERE pos <= w AND (scope = 'full' OR (n0 >= w AND n1 >= w)) GROUP BY id, scope, w"), "z")
 _KALMAN = (
     _ARRAYS,
-    ("ke", "SELECT id, scope, a, b FROM {ka} WHERE LEN(a) >= 3 AND LEN(b) >= 2"),
-    *_fits("ke", "id, scope"),
-    ("kj", "SELECT k.id, k.scope, t.q AS q, t.v AS v, k.b AS b FROM {ke} k JOIN {ft} t ON k.id = t.id AND k.scope = t.scope"),
-    ("kp", "SELECT id, scope, q, v, DBL(LEN(b) - 1) AS n, FILTER(b, q, 1) AS s FROM {kj}"),
+    *_fits("ka", "id, scope, b", "LEN(a) >= 3 AND LEN(b) >= 2"),
+    ("kp", "SELECT id, scope, q, v, DBL(LEN(b) - 1) AS n, FILTER(b, q, 1) AS s FROM {ft}"),
     ("kv", "SELECT id, scope, q, v AS before, s.s2 / n - power(s.s1 / n, 2) AS after, sqrt(s.s2 / n) AS rmse FROM {kp}"),
     ("kl", "SELECT id, scope, q, before, after, rmse, CASE WHEN before > 1e-10 AND after > 1e-12 THEN LN(after / (before + 1e-10)) END AS lr FROM {kv}"),
 )
@@ -106,7 +111,7 @@ _SUMS = {
     "k2": f"DBL(count({_TRIPLE.format('1')}))", "y": f"sum({_TRIPLE.format('value')})", "a": f"sum({_TRIPLE.format('p1')})", "b": f"sum({_TRIPLE.format('p2')})", "yy": f"sum({_TRIPLE.format('value * value')})", "aa": f"sum({_TRIPLE.format('p1 * p1')})", "bb": f"sum({_TRIPLE.format('p2 * p2')})", "ab": f"sum({_TRIPLE.format('p1 * p2')})", "ay": f"sum({_TRIPLE.format('p1 * value')})", "by_": f"sum({_TRIPLE.format('p2 * value')})",
     "st": "sum(DBL(t))", "stt": "sum(DBL(t) * t)", "s1": "sum(value)", "s2": "sum(value * value)", "stz": "sum(value * t)", "vd": f"var_samp({_PAIR.format('value - p1')})",
 }
-_MOMENTS = ("mo", "SELECT id, scope, period, " + ", ".join(f"{e} AS {n}" for n, e in _SUMS.items()) + " FROM {zw} GROUP BY id, scope, period")
+_MOMENTS = kept(("mo", "SELECT id, scope, period, " + ", ".join(f"{e} AS {n}" for n, e in _SUMS.items()) + " FROM {zw} GROUP BY id, scope, period"))
 #: Autoregression of order one, inside the unit circle, and the least-squares line, of each segment.
 _FITTED = (
     "fi",
@@ -183,7 +188,7 @@ _E_COLUMNS = (
     "vd0 / 2 AS r0, greatest(vs0 - vd0 / 2, vd0 / 20) AS q0, vd1 / 2 AS r1, greatest(vs1 - vd1 / 2, vd1 / 20) AS q1, n0, n1 FROM {sd}",
 )
 _E_FILTER = (
-    ("eb", "SELECT id, SERIES(value, seq, period = 0) AS a, SERIES(value, seq, period = 1) AS b FROM {ea} WHERE scope = 'full' GROUP BY id"),
+    spread(("eb", "SELECT id, SERIES(value, seq, period = 0) AS a, SERIES(value, seq, period = 1) AS b FROM {ea} WHERE scope = 'full' GROUP BY id"), "ea"),
     ("eg", "SELECT b.id, LEN(a) - DBL(1) AS n, LEN(b) - DBL(1) AS m, FILTER(a, q0, r0) AS s, FILTER(b, q1, r1) AS u, FILTER(b, q0, r0) AS x FROM {eb} b JOIN {bc} c ON b.id = c.id AND scope = 'full' WHERE r0 > 0 AND r1 > 0 AND n0 > 3 AND n1 > 3"),
     ("ek", "SELECT id, (s.s2 - s.s1 * s.s1 / n) / (n - 1) AS v0, (u.s2 - u.s1 * u.s1 / m) / (m - 1) AS v1, sqrt(s.s2 / n) AS e0, sqrt(x.s2 / m) AS ex FROM {eg}"),
 )
@@ -198,7 +203,7 @@ _E = {n: _at("full", e) for n, e in _E.items()} | {n: f"max({e})" for n, e in ((
 for _w in WINDOWS:
     _E |= {f"{n}_w{_w}": _at(f"w{_w}", e) for n, e in (("ar1_phi_pre", "phi0"), ("ar1_phi_post", "phi1"), ("delta_ar1_phi", "abs(phi1 - phi0)"), ("ar1_rmse_pre", "rm0"), ("rmse_post_pred_by_pre", "rmx"), ("delta_ar1_rmse", "abs(rm1 - rm0)"))}
 
-_GRID_ARRAYS = ("ga", "SELECT id, period, SERIES(value, seq, period >= 0) AS a FROM {z} GROUP BY id, period")
+_GRID_ARRAYS = spread(("ga", "SELECT id, period, SERIES(value, seq, period >= 0) AS a FROM {z} GROUP BY id, period"), "z")
 _GRID = {"kf_grid_process_var_pre": "V0(q)", "kf_grid_process_var_post": "V1(q)", "kf_grid_innov_var_pre": "V0(v)", "kf_grid_innov_var_post": "V1(v)"}
 
 
@@ -209,7 +214,7 @@ def _wide(name: str, pairs: dict[str, str], source: str) -> tuple[str, str]:
 FAMILIES = [
     family("transform_ewma", _JOINED, _BOTH, _BOTH_STATS, "SELECT " + columns(_EWMA, "id") + " FROM {bs} GROUP BY id"),
     family("kalman_local_level", *_STANDARD, *_KALMAN, _ALL_IDS, _wide("kw", _KF, "{kl} c"), _put_together(_KF, "kw")),
-    family("kalman_grid", *_STANDARD, _GRID_ARRAYS, *_fits("ga", "id, period"), _ALL_IDS, _wide("gw", _GRID, "{ft} c"), _put_together(_GRID, "gw")),
+    family("kalman_grid", *_STANDARD, _GRID_ARRAYS, *_fits("ga", "id, period", "LEN(a) >= 3"), _ALL_IDS, _wide("gw", _GRID, "{ft} c"), _put_together(_GRID, "gw")),
     family("ar_kalman_block", *_STANDARD, _SCOPED, _MOMENTS, _FITTED, _SIDES, _BLOCK_COLUMNS, *_RIDGE, _wide("aw", _BLOCK, "{bc} c LEFT JOIN {r2} r ON c.id = r.id"), *_KALMAN, _wide("kw", _KF, "{kl} c"), _ALL_IDS, ("bw", "SELECT x.id, " + ", ".join([*_BLOCK, *_KF]) + " FROM {ids} x LEFT JOIN {aw} a ON x.id = a.id LEFT JOIN {kw} k ON x.id = k.id"), _put_together(_BLOCK | _KF, "bw")),
     family("ar_kalman_estimated", _ENDS, _CLIPPED, _E_FULL, _E_WINDOW, _E_CENTRE, _E_ALL, _E_SCOPED, _MOMENTS, _E_FITTED, _SIDES, _E_COLUMNS, *_E_FILTER, _wide("xw", _E, "{bc} c LEFT JOIN {ek} k ON c.id = k.id"), _ALL_IDS, _put_together(_E, "xw")),
 ]

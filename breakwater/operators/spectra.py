@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breakwater.functions import arrays
-from breakwater.plans.family import family
+from breakwater.plans.family import dealt, family, spread
 
 PI = "3.141592653589793"
 SQRT2 = "1.4142135623730951"
@@ -27,7 +27,7 @@ def _standard(least: int) -> tuple[str, str]:
 
 def _terms(rows: DataFrame, keys: list[str], function) -> DataFrame:
     """``keys, n, k, p``: the function's array of each segment, a row for each frequency."""
-    one = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", F.col("value").cast("double").alias("v")))).alias("s"))
+    one = dealt(rows).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", F.col("value").cast("double").alias("v")))).alias("s"))
     xs = F.transform("s", lambda p: p["v"])
     return one.select(*keys, F.size("s").cast("long").alias("n"), F.posexplode(function(xs)).alias("k", "p")).select(*keys, "n", F.col("k").cast("long").alias("k"), "p")
 
@@ -99,7 +99,7 @@ def _energy(xs: str) -> str:
     return f"FOLD(0, LEN({xs}) - 1, 0, acc + ITEM({xs}, k) * ITEM({xs}, k))"
 
 
-_SERIES = ("wa", f"SELECT {KEYS}, SERIES(value, seq, period >= 0) AS a0 FROM {{sz}} GROUP BY {KEYS}")
+_SERIES = spread(("wa", f"SELECT {KEYS}, SERIES(value, seq, period >= 0) AS a0 FROM {{sz}} GROUP BY {KEYS}"), "sz")
 _ENERGIES = ("we", f"SELECT {KEYS}, {_energy('d1')} AS e1, {_energy('d2')} AS e2, {_energy('d3')} AS e3 FROM {{w3}}")
 _WSHARES = ("wh", f"SELECT {KEYS}, e1, e2, e3, e1 / (e1 + e2 + e3 + 1e-12) AS h1, e2 / (e1 + e2 + e3 + 1e-12) AS h2, e3 / (e1 + e2 + e3 + 1e-12) AS h3 FROM {{we}}")
 _WSTATS = ("ws", f"SELECT {KEYS}, -(h1 * LN(h1 + 1e-12) + h2 * LN(h2 + 1e-12) + h3 * LN(h3 + 1e-12)) / LN(DBL(3)) AS entropy, h3 AS low_energy_share, h1 AS high_energy_share, LN(e1 + 1e-12) AS l1, LN(e2 + 1e-12) AS l2, LN(e3 + 1e-12) AS l3 FROM {{wh}}")
@@ -108,7 +108,7 @@ _WSIDES = ("wf", "SELECT s.id, s.scope, " + ", ".join(f"coalesce(max(CASE WHEN p
 _WAVELET = {f"wav_{n}_{s}": f"{n}{i}" for n in _WNAMES[:3] for i, s in ((0, "pre"), (1, "post"))} | {f"delta_wav_{n}": f"{n}1 - {n}0" for n in _WNAMES[:3]} | {f"delta_wav_energy_{n}": f"{n}1 - {n}0" for n in _WNAMES[3:]}
 
 # All levels of whole segments: the approximation, and details from the coarsest (d1) to the finest (d3).
-_FULL = ("fa", "SELECT id, period, SERIES(value, seq, period >= 0) AS raw FROM {seg} GROUP BY id, period")
+_FULL = spread(("fa", "SELECT id, period, SERIES(value, seq, period >= 0) AS raw FROM {seg} GROUP BY id, period"), "seg")
 _PADDED = ("fp", "SELECT id, period, OVER(0, greatest(LEN(raw), 8) - 1, ITEM(raw, least(k, LEN(raw) - 1))) AS a0 FROM {fa}")
 _LEVELS = ("fl", " UNION ALL ".join(f"SELECT id, period, '{n}' AS lv, {c} AS c FROM {{w3}}" for n, c in (("a", "a3"), ("d1", "d3"), ("d2", "d2"), ("d3", "d1"))))
 _LSUMS = ("fs", f"SELECT id, period, lv, c, DBL(LEN(c)) AS n, {_energy('c')} AS energy, FOLD(0, LEN(c) - 1, 0, acc + ITEM(c, k)) AS s, FOLD(0, LEN(c) - 1, 0, acc + abs(ITEM(c, k))) AS size FROM {{fl}}")
@@ -151,7 +151,7 @@ def _r8(pairs: dict[str, str], keys: str) -> str:
 def _deflated(x: DataFrame) -> DataFrame:
     """``id, scope, n0, n1, near, s, z0, z1``: sizes in the order whole (2), halves (4), joined, near (2), near joined; phrases."""
     side = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("period") == k, F.struct("seq", F.col("value").cast("double").alias("v"))))), lambda p: p["v"])
-    both = x.groupBy("id", "scope").agg(side(0).alias("a"), side(1).alias("b"))
+    both = dealt(x).groupBy("id", "scope").agg(side(0).alias("a"), side(1).alias("b"))
     half = lambda c: (F.slice(c, 1, F.floor(F.size(c) / 2).cast("int")), F.slice(c, F.floor(F.size(c) / 2).cast("int") + 1, F.size(c)))
     both = both.withColumn("near", F.least(F.lit(100), F.floor(F.size("a") / 4), F.floor(F.size("b") / 4)).cast("int"))
     last, first = F.slice("a", F.size("a") - F.col("near") + 1, F.col("near")), F.slice("b", 1, F.col("near"))
@@ -179,7 +179,7 @@ _COMPRESSION = {
 
 def _rebuilt(rows: DataFrame) -> DataFrame:
     side = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("period") == k, F.struct("seq", F.col("value").cast("double").alias("v"))))), lambda p: p["v"])
-    both = rows.where("scope = 'full'").groupBy("id").agg(side(0).alias("a"), side(1).alias("b"))
+    both = dealt(rows.where("scope = 'full'")).groupBy("id").agg(side(0).alias("a"), side(1).alias("b"))
     return both.select("id", arrays.rebuilt("a", "b").alias("e"))
 
 

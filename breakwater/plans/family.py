@@ -12,13 +12,20 @@ from breakwater.sources import series, tables
 
 #: Base relations: how Spark gets them from a data folder, and DuckDB's SQL.
 BASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+#: Relations made of the segments of a view: the view, and what is made of them.
+SEGMENTS: dict[str, tuple[series.View, Callable[[DataFrame], DataFrame]]] = {}
 for _name, _view in series.VIEWS.items():
     BASES[f"seg_{_name}"] = (lambda s, d, v=_view: series.segments(s, d, v), series.segments_sql(_view))
     BASES[f"scoped_{_name}"] = (lambda s, d, v=_view: series.scoped(series.segments(s, d, v)), series.scoped_sql(_view))
+    SEGMENTS |= {f"seg_{_name}": (_view, lambda segs: segs), f"scoped_{_name}": (_view, series.scoped)}
 for _table in ("lineitem", "events", "supplier", "labels", "documents", "embeddings"):
     BASES[_table] = (lambda s, d, t=_table: s.read.parquet(f"{d}/{t}.parquet"), f"SELECT * FROM {_table}")
 
 
+#: Segments that so many steps read are written first.
+STAGED = 3
+
+
 @dataclass(frozen=True)
 class Family:
     """``steps``: named SQL texts, each over base relations and earlier steps in braces; the last is the result.
@@ -40,7 +47,17 @@ class Family:
         return have[self.steps[-1][0]]
 
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.apply(spark, {k: BASES[base][0](spark, sf_dir) for k, base in self.inputs.items()})
+        """The result over a data folder. Segments that several steps read are cut once and written, so their windows are not taken again for each."""
+        made, given = {}, {}
+        for k, base in self.inputs.items():
+            if base in SEGMENTS and sum(text.count("{" + k + "}") for _, text, *_ in self.steps) >= STAGED:
+                view, shape = SEGMENTS[base]
+                if view not in made:
+                    made[view] = tables.staged(series.segments(spark, sf_dir, view), "segments")
+                given[k] = shape(made[view])
+            else:
+                given[k] = BASES[base][0](spark, sf_dir)
+        return self.apply(spark, given)
 
     def oracle(self) -> str:
         parts = [f"{k} AS ({BASES[base][1]})" for k, base in self.inputs.items()]
@@ -89,6 +106,17 @@ def kept(step: tuple) -> tuple:
     return (name, text, run)
 
 
+def dealt(df: DataFrame, key: str = "id") -> DataFrame:
+    """``df`` over all shuffle partitions by a key: what follows costs time, not bytes, so small partitions must not be joined."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), key)
+
+
+def spread(step: tuple, source: str, key: str = "id") -> tuple:
+    """A step that Spark runs over ``source`` dealt out by ``key``; a grouping by the key then needs no other shuffle."""
+    name, text = step
+    return (name, text, lambda have: have[source].sparkSession.sql(render(text, 0), **{source: dealt(have[source], key)}))
+
+
 def family(name: str, *steps: tuple | str, **inputs: str) -> Family:
     made = tuple(s if isinstance(s, tuple) else ("result", s) for s in steps)
     return Family(name, made, inputs or {"seg": "seg_suppliers"})
