@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breakwater.llm.common import text_and_id, write_table
@@ -116,6 +116,25 @@ def fit_linear(x: np.ndarray, extra: np.ndarray, y: np.ndarray, ridge: float = R
     return w
 
 
+def fit_models(spark: SparkSession, x: np.ndarray, extra: np.ndarray, y: np.ndarray, of: list[np.ndarray]) -> list[np.ndarray]:
+    """:func:`fit_linear` on the rows marked in each of ``of``: every model is fitted in a task of its own.
+
+    The sample goes to the tasks as bits, a few MB at most by the bounds on its documents and features.
+    """
+    sent = spark.sparkContext.broadcast((np.packbits(x, axis=1), x.shape[1], extra, y, of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, n, extra, y, of = sent.value
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                w = fit_linear(np.unpackbits(bits, axis=1, count=n), extra, y, of=of[k])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([w.tolist()], pa.list_(pa.float64()))], ["id", "w"])
+
+    got = {r["id"]: np.array(r["w"]) for r in spark.range(0, len(of), 1, len(of)).mapInArrow(run, "id long, w array<double>").collect()}
+    sent.destroy()
+    return [got[k] for k in range(len(of))]
+
+
 class Chain:
     """Fitted chain: for each category its weights on features, earlier probabilities and 1."""
 
@@ -134,17 +153,19 @@ class Chain:
         return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain:
+def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, features: int = FEATURES) -> Chain:
     """Fits the chain, in the order of ``categories`` (name: Boolean column of ``labels``).
 
     Learns from about ``sample`` labelled documents (picked by a hash of the id), whole
-    texts. The features of a category are the FEATURES words and character n-grams with the
+    texts. The features of a category are the ``features`` words and character n-grams with the
     largest chi-square among those documents. A later model is trained on the earlier
     categories' probabilities from models that did not see the document (FOLDS folds). A
+    category's model and those of its folds are fitted side by side, each in a task. A
     category without a labelled example (or without any label) has probability 0.
 
     Null ids and labels with a null in a category teach nothing; of a repeated doc_id's
-    labels any 1 counts, and each of its documents teaches.
+    labels any 1 counts, and of its documents the one with the smallest text (null last)
+    teaches, so the sample's bound holds for rows too.
     """
     names = list(categories)
     marked = labels.select(F.col("doc_id"), *[categories[c].cast("int").alias(f"y{k}") for k, c in enumerate(names)]).where("doc_id is not null").groupBy("doc_id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(names))])
@@ -153,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     spread = 1 << 30
     picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < int(spread * min(1.0, sample / max(1, n))))
     ys = [f"y{k}" for k in range(len(names))]
-    rows, _ = write_table(text_and_id(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").select("doc_id", "text", *ys), "labelled")
+    rows, _ = write_table(text_and_id(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").groupBy("doc_id", *ys).agg(F.min("text").alias("text")).select("doc_id", "text", *ys), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, ...]] = {}
@@ -187,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     for y, pos in zip(ys, with_y):
         expect = F.col("n") * (pos / max(1, total))
         chi = (F.col(y) - expect) ** 2 / (expect + 1e-9) + (F.col(y) - expect) ** 2 / (F.col("n") - expect + 1e-9)
-        for r in counted.select("feature", chi.alias("chi")).where(f"chi >= {LEAST_CHI}").orderBy(F.desc("chi"), "feature").limit(FEATURES).collect():
+        for r in counted.select("feature", chi.alias("chi")).where(f"chi >= {LEAST_CHI}").orderBy(F.desc("chi"), "feature").limit(features).collect():
             chosen.setdefault(r["feature"], len(chosen))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,14 +227,14 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
             weights.append(None)
             earlier = np.hstack([earlier, np.zeros((len(x), 1))])
             continue
-        weights.append(fit_linear(x, earlier, target))
-        if k + 1 < len(ys):
+        last = k + 1 == len(ys)
+        whole, *parts = fit_models(docs.sparkSession, x, earlier, target, [np.ones(len(x), bool), *(fold != f for f in range(0 if last else FOLDS))])
+        weights.append(whole)
+        if not last:
             out = np.zeros(len(x))
-            for f in range(FOLDS):
-                rest, own = fold != f, fold == f
-                w = fit_linear(x, earlier, target, of=rest)
-                z = (_times(x, w[: len(chosen)]) + earlier @ w[len(chosen) : -1] + w[-1])[own]
-                out[own] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            for f, w in enumerate(parts):
+                z = _times(x, w[: len(chosen)]) + earlier @ w[len(chosen) : -1] + w[-1]
+                out[fold == f] = 1 / (1 + np.exp(-np.clip(z[fold == f], -30, 30)))
             earlier = np.hstack([earlier, out[:, None]])
     return Chain(names, chosen, weights)
 

@@ -476,6 +476,66 @@ def test_toxicity_learns_rare_words_beside_many_frequent_ones(spark):
     assert found == {*range(200), *range(1000, 1020)}
 
 
+def test_chain_against_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(400):
+        own = rng.sample(vocabulary, 12)
+        toxic, low = rng.random() < 0.3, rng.random() < 0.4
+        own += ["vile"] * (toxic and rng.random() < 0.9) + ["buynow"] * (low and rng.random() < 0.8) + ["buynow"] * (rng.random() < 0.05)
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(not low), int(toxic or (low and rng.random() < 0.3))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), toxicity.default_categories())
+
+    grams = [{f"<{w}>"[i:j] for w in t.split() for i in range(len(w) + 2) for j in range(i + 1, len(w) + 3) if j - i == len(w) + 2 or 3 <= j - i <= 5} for _, t in rows]
+    targets = [np.array([1.0 - q for _, q, _ in labels]), np.array([float(t) for *_, t in labels])]
+    held = Counter(g for d in grams for g in d)
+    chosen: set[str] = set()
+    for y in targets:
+        for g, n in held.items():
+            k, expect = sum(y[i] for i, d in enumerate(grams) if g in d), n * y.mean()
+            if n >= toxicity.LEAST and (k - expect) ** 2 * (1 / expect + 1 / (n - expect)) >= toxicity.LEAST_CHI:
+                chosen.add(g)
+    assert set(chain.ids) == chosen and chosen
+
+    def newton(x, y, penalty):
+        """The minimum of the penalised loss by exact Newton steps with dense matrices."""
+        w = np.zeros(x.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ w))
+            w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        return w
+
+    names = sorted(chosen)
+    x = np.array([[g in d for g in names] for d in grams], float)
+    earlier = np.empty((400, 0))
+    final = np.empty((400, 0))
+    for y in targets:
+        both = np.hstack([x, earlier, np.ones((400, 1))])
+        penalty = np.r_[np.full(both.shape[1] - 1, toxicity.RIDGE), 1e-6]
+        w = newton(both, y, penalty)
+        final = np.hstack([final, 1 / (1 + np.exp(-np.hstack([x, final, np.ones((400, 1))]) @ w))[:, None]])
+        unseen = np.zeros(400)
+        for f in range(toxicity.FOLDS):
+            own = np.arange(400) % toxicity.FOLDS == f
+            unseen[own] = 1 / (1 + np.exp(-both[own] @ newton(both[~own], y[~own], penalty)))
+        earlier = np.hstack([earlier, unseen[:, None]])
+    got = {r.doc_id: (r.p_low_quality, r.p_toxic) for r in toxicity.score(df, chain).collect()}
+    np.testing.assert_allclose(np.array([got[i] for i in range(400)]), final, atol=0.005)
+
+
+def test_repeated_ids_teach_once(spark):
+    rows = [(i, "vile words" if i % 5 == 0 else "good words") for i in range(100)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(100)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = spark.createDataFrame(rows + [(0, "zeal")] * 500 + [(1, None)] * 500, "doc_id long, text string")
+    learn = lambda df: toxicity.learn(df, labels, toxicity.default_categories())
+    a, b = learn(once), learn(often)
+    assert a.ids == b.ids and all((u is None and v is None) or np.allclose(u, v) for u, v in zip(a.weights, b.weights))
+
+
 def test_toxicity_reads_long_runs_to_their_end():
     run = "ab" * 60 + "vilefoo"
     assert {"vile", "foo>", f"<{run}>"} <= set(toxicity.features_of(run))
