@@ -7,9 +7,11 @@ bit; two bits for those of odd parity, as fingerprints three bits apart differ i
 and colliding variants name the links. Every collision is a true link (1 + 2 <= 3); it is
 verified all the same.
 
-The shuffle is on a part of the variant, its ``KEY_BITS`` key bits: a fingerprint is sent
-once for each value its variants take there, and the receiving task builds the variants of
-that value itself. That moves tens of short rows per distinct fingerprint instead of 2081.
+The shuffle is on a part of the variant, its key bits: a fingerprint is sent once for each
+value its variants take there, and the receiving task builds the variants of that value
+itself. That moves tens of short rows per distinct fingerprint instead of 2081. Keys widen
+with the number of fingerprints, so that a key has at most about ``KEY_ROWS`` rows, and a
+task takes its keys in order, a run of whole keys at a time, so it never holds its partition.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 
 from breakwater.llm.common import connected_components, parts, text_and_id, write_table
 
-KEY_BITS = 12
+#: Least and most bits of a key, and the rows of a key, about.
+LEAST_KEY, MOST_KEY, KEY_ROWS = 12, 32, 500_000
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
@@ -81,11 +84,21 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x for x, _ in got], np.int64), np.array([r for _, r in got], np.int64)
 
 
-def _links(fp: np.ndarray, key: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among one task's rows (fingerprint, key value, key bits flipped), as a forest."""
-    fp, one, low = fp.view(np.uint64), np.uint64(1), np.uint64(64 - KEY_BITS)
+def key_bits(fingerprints: int) -> int:
+    """Bits of a key for so many distinct fingerprints: the fewest that keep a key's rows at KEY_ROWS, about."""
+    return next((k for k in range(LEAST_KEY, MOST_KEY) if fingerprints * rows_sent(k) <= KEY_ROWS * 2**k), MOST_KEY)
+
+
+def rows_sent(bits: int) -> float:
+    """Rows a fingerprint is sent as, on average: half of them have odd parity."""
+    return 1 + bits + bits * (bits - 1) / 4
+
+
+def _links(fp: np.ndarray, key: np.ndarray, flips: np.ndarray, bits: int = LEAST_KEY) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows (fingerprint, key value of so many bits, key bits flipped), as a forest."""
+    fp, one, low = fp.view(np.uint64), np.uint64(1), np.uint64(64 - bits)
     moved = (fp & ((one << low) - one)) | (key.astype(np.uint64) << low)  # the fingerprint with the key bits of this key
-    rest = one << np.arange(64 - KEY_BITS, dtype=np.uint64)
+    rest = one << np.arange(64 - bits, dtype=np.uint64)
     home = flips == 0
     near = home | (flips == 1)
     variants = np.concatenate([moved[near], (moved[home][:, None] ^ rest).ravel()])
@@ -123,23 +136,45 @@ def _links(fp: np.ndarray, key: np.ndarray, flips: np.ndarray) -> tuple[np.ndarr
     return _forest(a[ok].view(np.int64), b[ok].view(np.int64))
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """``a, b``: links (at most three bits) that connect what all links among ``distinct(fp)`` connect."""
-    spark = distinct.sparkSession
-    one = [1 << i for i in range(KEY_BITS)]
+def _whole_keys(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the second column, in runs of whole keys of about ``most`` rows (a larger key by itself)."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for b in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        n += b.num_rows
+        if n >= most:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(columns[1], columns[1][-1]))  # the last key may go on
+            if cut:
+                yield [c[:cut] for c in columns]
+            held, n = [[c[cut:] for c in columns]], n - cut
+    if n:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def sent_rows(distinct: DataFrame, bits: int) -> DataFrame:
+    """``fp, key, flips``: a row for each key value that a fingerprint's variants take."""
+    one = [1 << i for i in range(bits)]
     two = [x | y for k, x in enumerate(one) for y in one[:k]]
-    send = F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(n).alias("flips")) for n, ms in enumerate(([0], one, two)) for m in ms])
-    near = F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(n).alias("flips")) for n, ms in enumerate(([0], one)) for m in ms])
-    sent = (
-        distinct.select("fp", F.explode(F.when(F.bit_count("fp") % 2 == 1, send).otherwise(near)).alias("x"))
-        .select("fp", F.shiftrightunsigned("fp", 64 - KEY_BITS).cast("int").bitwiseXOR(F.col("x.mask")).alias("key"), F.col("x.flips").cast("byte").alias("flips"))
-        .repartition(parts(spark), "key")
-    )
+    send = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(n).alias("flips")) for n, ms in enumerate(([0], one, two)) for m in ms])
+    near = F.slice(send, 1, 1 + bits)
+    own = F.shiftrightunsigned("fp", 64 - bits)
+    sent = distinct.select("fp", F.explode(F.when(F.bit_count("fp") % 2 == 1, send).otherwise(near)).alias("x"))
+    return sent.select("fp", own.bitwiseXOR(F.col("x.mask")).alias("key"), F.col("x.flips").cast("byte").alias("flips"))
+
+
+def fingerprint_links(distinct: DataFrame, bits: int | None = None) -> DataFrame:
+    """``a, b``: links (at most three bits) that connect what all links among ``distinct(fp)`` connect.
+
+    ``bits`` of a key follow from the number of rows unless given; the links don't depend on them.
+    """
+    bits = bits or key_bits(distinct.count())
+    sent = sent_rows(distinct, bits).repartition(parts(distinct.sparkSession), "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches]
-        if got:
-            a, b = _links(*(np.concatenate(x) for x in zip(*got)))
+        for columns in _whole_keys(batches, KEY_ROWS):
+            a, b = _links(*columns, bits)
             for at in range(0, len(a), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], ["a", "b"])
 

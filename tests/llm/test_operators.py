@@ -15,6 +15,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from breakwater.llm import common, decontaminate, html_text, langid, licenses, lm_score, neardup_vectors, packing, simhash, toxicity, warc
 
@@ -111,6 +112,43 @@ def test_simhash_links_at_every_distance_to_three(spark):
     assert {r.node: r.root for r in got.collect()} == {k: v for k, v in roots({x for p in pairs for x in p}, pairs).items()}
 
 
+@pytest.mark.parametrize("bits", [12, 15, 20])
+def test_links_are_those_of_any_key_width(spark, bits, monkeypatch):
+    monkeypatch.setattr(simhash, "KEY_ROWS", 700)  # several runs of keys in a task
+    rng = random.Random(bits)
+    seeds = [rng.getrandbits(64) for _ in range(60)]
+    fps = sorted({s ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(8))) for s in seeds for _ in range(6)})
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    got, _ = common.connected_components(simhash.fingerprint_links(df, bits))
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 3]
+    want = roots(range(len(fps)), near)
+    named = {int(np.int64(r.node).view(np.uint64)): r.root for r in got.collect()}
+    same = lambda a, b: fps[a] in named and fps[b] in named and named[fps[a]] == named[fps[b]]
+    assert near and all(same(a, b) == (want[a] == want[b]) for a in range(len(fps)) for b in range(a))
+
+
+def test_whole_keys():
+    import pyarrow as pa
+
+    keys = np.sort(np.random.default_rng(3).integers(0, 40, 1000))
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(k))), pa.array(k)], ["fp", "key"]) for i in range(0, 1000, 90) if len(k := keys[i : i + 90])]
+    got = list(simhash._whole_keys(iter(batches), 100))
+    assert len(got) > 5 and [x for c in got for x in c[0].tolist()] == list(range(1000))
+    seen = [set(c[1].tolist()) for c in got]
+    assert all(not (a & b) for i, a in enumerate(seen) for b in seen[:i])
+    assert list(simhash._whole_keys(iter([]), 100)) == []
+
+
+def test_rows_of_a_key_stay_bounded_as_fingerprints_grow(spark):
+    for n in (10**6, 10**8, 10**10, 10**11):
+        bits = simhash.key_bits(n)
+        assert n * simhash.rows_sent(bits) / 2**bits <= simhash.KEY_ROWS
+        assert simhash.rows_sent(bits) < (65 + 2081) / 2 / 5  # of all variants
+    for n in (1000, 4000, 16000):  # rows grow as the fingerprints do
+        fps = spark.range(n).select(F.xxhash64("id").alias("fp"))
+        assert simhash.sent_rows(fps, 12).count() == pytest.approx(n * simhash.rows_sent(12), rel=0.1)
+
+
 def test_keep_one(spark):
     df = docs(spark, ["a b c d e f"] * 3 + ["other words stand here now"], [None, ""])
     kept = simhash.keep_one(df)
