@@ -6,8 +6,8 @@ count table is summed over all batches and joined back to what each batch asked
 answers are shuffled by batch, where each document's scores are summed. Shuffled rows hold
 compressed arrays: one row per batch and bucket that it has n-grams in, so never more rows
 than distinct n-grams of the batches. As a batch sends an n-gram once, frequent n-grams are
-no hot keys. Hashes are as wide as the corpus needs for two of its n-grams in ten million to
-share one, or rarer: ``WIDTH`` bits more than its size in bytes has, 64 at most.
+no hot keys. Hashes have 64 bits at every corpus size, so whether two n-grams share one does
+not depend on the other documents.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from breakwater.llm.common import parts, text_and_id
 ORDER, BACKOFF = 3, 0.4
 #: Tokens of a batch, about, and bytes of text per bucket.
 BATCH, BUCKET_BYTES = 1_500_000, 8 << 20
-#: Bits of a hash beyond those of the corpus size in bytes.
-WIDTH = 24
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -90,20 +88,20 @@ def _word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes.astype(np.uint32), np.array([xxhash.xxh64_intdigest(w) for w in distinct], np.uint64)
 
 
-def _ngrams(hashes: np.ndarray, place: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
-    """For k = 0..order the hash (``bits`` wide) of the k-gram that ends at each word; past a document's start, of the longest there is."""
+def _ngrams(hashes: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
+    """For k = 0..order the hash of the k-gram that ends at each word; past a document's start, of the longest there is."""
     whole = np.full(len(hashes), 1, np.uint64)
-    out, drop = [whole >> np.uint64(1)], np.uint64(64 - bits)
+    out = [np.zeros(len(hashes), np.uint64)]
     for k in range(1, order + 1):
         before = np.empty_like(hashes)
         before[1:], before[:1] = whole[:-1], 1
         whole = np.where(place >= k - 1, _mix(before * _A + hashes + np.uint64(k)), whole)
-        out.append(whole >> drop)
+        out.append(whole)
     return out
 
 
-def _asked(hashes: np.ndarray, place: np.ndarray, order: int, bits: int) -> np.ndarray:
-    grams = _ngrams(hashes, place, order, bits)
+def _asked(hashes: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
+    grams = _ngrams(hashes, place, order)
     return np.concatenate([g[place >= k - 1] for k, g in enumerate(grams)])
 
 
@@ -117,17 +115,17 @@ def _places(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
 
 
-def _bounds(buckets: int, bits: int) -> np.ndarray:
-    return np.array([(i << bits) // buckets for i in range(1, buckets)], np.uint64)
+def _bounds(buckets: int) -> np.ndarray:
+    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
 
-def score_batch(sizes: np.ndarray, hashes: np.ndarray, grams: np.ndarray, counts: np.ndarray, order: int, backoff: float, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def score_batch(sizes: np.ndarray, hashes: np.ndarray, grams: np.ndarray, counts: np.ndarray, order: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
     """Each document's sum of log10 scores, and how many of its words have a seen n-gram of the order.
 
     ``grams`` (sorted) and ``counts`` hold the corpus counts of all n-grams of the batch.
     """
     place, doc = _places(sizes), np.repeat(np.arange(len(sizes)), sizes)
-    ends = _ngrams(hashes, place, order, bits)
+    ends = _ngrams(hashes, place, order)
     at = [np.searchsorted(grams, g) for g in ends]
 
     def others(number: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -172,14 +170,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     df = text_and_id(docs, id_col, text_col)
     size = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(parts(spark), -(-size // BUCKET_BYTES))
-    bits = min(64, int(size).bit_length() + WIDTH)
     kind = df.schema["doc_id"].dataType
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = _bounds(buckets, bits)
+        bounds = _bounds(buckets)
         for batch, _, words, sizes in _batches(batches):
             codes, hashes = _word_hashes(words)
-            grams, counts = np.unique(_asked(hashes[codes], _places(sizes), order, bits), return_counts=True)
+            grams, counts = np.unique(_asked(hashes[codes], _places(sizes), order), return_counts=True)
             cut = [0, *np.searchsorted(grams, bounds).tolist(), len(grams)]
             rows = [(i, a, b) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
             if rows:
@@ -216,13 +213,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             table = head.read_all()
         hashes = np.frombuffer(blob, np.uint64, c // 8, 24 + a + b)[_unpack(blob[24 + a : 24 + a + b], np.uint32)] if b and c else np.empty(0, np.uint64)
         sizes = table["size"].to_numpy()
-        grams = np.unique(_asked(hashes, _places(sizes), order, bits))
+        grams = np.unique(_asked(hashes, _places(sizes), order))
         answers = answers.sort_values("bucket")
         counts = np.concatenate([np.empty(0, np.uint64), *(_unpack(x, np.uint64) for x in answers["counts"])]).astype(np.int64)
         marks = int(answers["mark"].to_numpy(np.int64).sum(dtype=np.int64)) if len(answers) else 0
         if len(counts) != len(grams) or marks != _mark(grams):
             raise RuntimeError("the documents were not the same when read again")
-        value, seen = score_batch(sizes, hashes, grams, counts, order, backoff, bits)
+        value, seen = score_batch(sizes, hashes, grams, counts, order, backoff)
         mean = pd.array(np.divide(value, sizes, out=np.full(len(sizes), np.nan), where=sizes > 0), dtype="Float64")
         mean[np.asarray(sizes == 0)] = pd.NA
         return pd.DataFrame({"doc_id": table["doc_id"].to_pandas(types_mapper=pd.ArrowDtype), "n_tokens": sizes, "n_seen": seen, "log10_score": value, "mean_log10": mean})
