@@ -105,6 +105,23 @@ def _asked(hashes: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
     return np.concatenate([g[place >= k - 1] for k, g in enumerate(grams)])
 
 
+def _numbered(hashes: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct n-grams, sorted, and for k = 0..order the number among them of the k-gram that ends at each word (0 if none does).
+
+    One sort gives both; a search for every n-gram in the sorted ones would cost far more.
+    """
+    grams, inverse = np.unique(_asked(hashes, place, order), return_inverse=True)
+    at, start = [], 0
+    for k in range(order + 1):
+        where = place >= k - 1
+        number = np.zeros(len(place), np.int64)
+        n = int(where.sum())
+        number[where] = inverse[start : start + n]
+        at.append(number)
+        start += n
+    return grams, at
+
+
 def _mark(grams: np.ndarray) -> int:
     """A number that tells sets of n-grams apart; those of disjoint sets add up."""
     return int(_mix(grams + _A).sum(dtype=np.uint64).view(np.int64))
@@ -119,24 +136,23 @@ def _bounds(buckets: int) -> np.ndarray:
     return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
 
-def score_batch(sizes: np.ndarray, hashes: np.ndarray, grams: np.ndarray, counts: np.ndarray, order: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
+def score_batch(sizes: np.ndarray, at: list[np.ndarray], counts: np.ndarray, order: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
     """Each document's sum of log10 scores, and how many of its words have a seen n-gram of the order.
 
-    ``grams`` (sorted) and ``counts`` hold the corpus counts of all n-grams of the batch.
+    ``at`` numbers the batch's n-grams by :func:`_numbered`, ``counts`` holds their corpus counts.
     """
     place, doc = _places(sizes), np.repeat(np.arange(len(sizes)), sizes)
-    ends = _ngrams(hashes, place, order)
-    at = [np.searchsorted(grams, g) for g in ends]
 
     def others(number: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Counts in other documents: the corpus count less the document's own."""
-        key = doc[where] * len(grams) + number[where]
+        key = doc[where] * len(counts) + number[where]
         _, inverse, own = np.unique(key, return_inverse=True, return_counts=True)
         out = np.zeros(len(number), np.int64)
         out[where] = counts[number[where]] - own[inverse]
         return out
 
-    left = [others(a, place >= k - 1) for k, a in enumerate(at)]
+    # A document has the empty n-gram once for each of its words.
+    left = [counts[at[0]] - sizes[doc], *(others(at[k], place >= k - 1) for k in range(1, order + 1))]
     # The context of a k-gram is the (k-1)-gram that ends at the word before; of a word, the empty one.
     longest = np.minimum(place + 1, order)
     value = np.full(len(doc), np.nan)
@@ -213,13 +229,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             table = head.read_all()
         hashes = np.frombuffer(blob, np.uint64, c // 8, 24 + a + b)[_unpack(blob[24 + a : 24 + a + b], np.uint32)] if b and c else np.empty(0, np.uint64)
         sizes = table["size"].to_numpy()
-        grams = np.unique(_asked(hashes, _places(sizes), order))
+        grams, at = _numbered(hashes, _places(sizes), order)
         answers = answers.sort_values("bucket")
         counts = np.concatenate([np.empty(0, np.uint64), *(_unpack(x, np.uint64) for x in answers["counts"])]).astype(np.int64)
         marks = int(answers["mark"].to_numpy(np.int64).sum(dtype=np.int64)) if len(answers) else 0
         if len(counts) != len(grams) or marks != _mark(grams):
             raise RuntimeError("the documents were not the same when read again")
-        value, seen = score_batch(sizes, hashes, grams, counts, order, backoff)
+        value, seen = score_batch(sizes, at, counts, order, backoff)
         mean = pd.array(np.divide(value, sizes, out=np.full(len(sizes), np.nan), where=sizes > 0), dtype="Float64")
         mean[np.asarray(sizes == 0)] = pd.NA
         return pd.DataFrame({"doc_id": table["doc_id"].to_pandas(types_mapper=pd.ArrowDtype), "n_tokens": sizes, "n_seen": seen, "log10_score": value, "mean_log10": mean})
