@@ -6,7 +6,8 @@ used as they are (not scaled first), so location contrasts carry information.
 
 from __future__ import annotations
 
-from breakwater.plans.family import columns, family
+from breakwater.operators import pooled
+from breakwater.plans.family import columns, family, way
 
 X = {"x": "scoped_suppliers"}
 K = "id, scope"
@@ -20,9 +21,10 @@ STATS = (
     "PCT(value, 0.05) AS q05, PCT(value, 0.1) AS q10, PCT(value, 0.25) AS q25, PCT(value, 0.5) AS med, PCT(value, 0.75) AS q75, PCT(value, 0.9) AS q90, PCT(value, 0.95) AS q95, "
     "avg(pow(value - m, 3)) AS m3, avg(pow(value - m, 4)) AS m4, regr_slope(value, t) AS slope, var_pop(value - prev) AS dvar, var_samp(value - prev) AS dvar1, "
     "sum((value - m) * (prev - m)) AS acov, sum((value - m) * (value - m)) AS ss, corr(value, prev) AS lag_corr FROM {r} GROUP BY id, scope, period",
+    way(lambda have: pooled.statistics(have["x"]).drop("k", "mad"), "x"),
 )
-MADS = ("md", "SELECT x.id, x.scope, x.period, PCT(abs(value - med), 0.5) AS mad FROM {x} x JOIN {st} s ON x.id = s.id AND x.scope = s.scope AND x.period = s.period GROUP BY x.id, x.scope, x.period")
-BOTH = ("b", "SELECT s.*, mad FROM {st} s JOIN {md} m ON s.id = m.id AND s.scope = m.scope AND s.period = m.period")
+MADS = ("md", "SELECT x.id, x.scope, x.period, PCT(abs(value - med), 0.5) AS mad FROM {x} x JOIN {st} s ON x.id = s.id AND x.scope = s.scope AND x.period = s.period GROUP BY x.id, x.scope, x.period", way(lambda have: pooled.statistics(have["x"]).select("id", "scope", "period", "mad"), "x"))
+BOTH = ("b", "SELECT s.*, mad FROM {st} s JOIN {md} m ON s.id = m.id AND s.scope = m.scope AND s.period = m.period", way(lambda have: pooled.statistics(have["x"]), "x"))
 FLIPS = (
     "fl",
     "SELECT id, scope, period, CASE WHEN count(*) < 2 THEN NULL ELSE DIV(sum(CASE WHEN sg <> psg THEN 1 ELSE 0 END), count(*) - 1) END AS flips FROM (SELECT id, scope, period, sign(value) AS sg, lag(sign(value)) OVER (PARTITION BY id, scope, period ORDER BY seq) AS psg FROM {x} WHERE value <> 0) z GROUP BY id, scope, period",
@@ -31,6 +33,7 @@ KS = (
     "ks",
     "SELECT id, scope, max(abs(DIV(c0, n0) - DIV(c1, n1))) AS ks FROM (SELECT id, scope, sum(k0) OVER (PARTITION BY id, scope ORDER BY value) AS c0, sum(k1) OVER (PARTITION BY id, scope ORDER BY value) AS c1, sum(k0) OVER (PARTITION BY id, scope) AS n0, sum(k1) OVER (PARTITION BY id, scope) AS n1 "
     "FROM (SELECT id, scope, value, sum(CASE WHEN period = 0 THEN 1 ELSE 0 END) AS k0, sum(CASE WHEN period = 1 THEN 1 ELSE 0 END) AS k1 FROM {x} GROUP BY id, scope, value) g) w GROUP BY id, scope",
+    way(lambda have: pooled.compared(have["x"]).select("id", "scope", "ks"), "x"),
 )
 
 
@@ -78,7 +81,7 @@ FAMILIES = [
     family("ks_stat", KS, f"SELECT {columns({'ks_stat': 'ks'})} FROM {{ks}}", **X),
     family(
         "boundary_contrast", ROWS, STATS, MADS, FLIPS, KS,
-        ("b", "SELECT s.*, mad, flips FROM {st} s JOIN {md} m ON s.id = m.id AND s.scope = m.scope AND s.period = m.period LEFT JOIN {fl} f ON s.id = f.id AND s.scope = f.scope AND s.period = f.period"),
+        ("b", "SELECT s.*, m.mad, flips FROM {st} s JOIN {md} m ON s.id = m.id AND s.scope = m.scope AND s.period = m.period LEFT JOIN {fl} f ON s.id = f.id AND s.scope = f.scope AND s.period = f.period"),
         "SELECT " + columns({"bl_median_delta": _delta("med"), "bl_mean_delta": _delta("mean"), "bl_skew_delta": _delta(_SKEW), "bl_kurt_delta": _delta(_KURT), "bl_signflip_rate_delta": _delta("flips"), "bl_slope_delta": _delta("CASE WHEN n < 3 THEN NULL ELSE slope END"), "bl_q10_delta": _delta("q10"), "bl_q50_delta": _delta("med"), "bl_q90_delta": _delta("q90"), "bl_iqr_ratio": "V1(q75 - q25 + 1e-8) / V0(q75 - q25 + 1e-8)", "bl_mad_ratio": "V1(mad + 1e-8) / V0(mad + 1e-8)", "bl_std_ratio": "V1(sd + 1e-8) / V0(sd + 1e-8)", "bl_ks_stat": "max(ks)"}, "b.id, b.scope") + " FROM {b} b JOIN {ks} k ON b.id = k.id AND b.scope = k.scope GROUP BY b.id, b.scope",
         **X,
     ),
