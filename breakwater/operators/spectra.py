@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breakwater.functions import arrays
-from breakwater.plans.family import dealt, family, spread
+from breakwater.operators import pooled
+from breakwater.plans.family import dealt, family, spread, way
 
 PI = "3.141592653589793"
 SQRT2 = "1.4142135623730951"
@@ -18,7 +19,7 @@ X = {"x": "scoped_suppliers"}
 KEYS = "id, scope, period"
 
 # Each scope's segments by the first one's mean and deviation, with the place t in the segment.
-_SIZES = ("sn", "SELECT id, scope, BIG(PRE(count(*))) AS n0, BIG(POST(count(*))) AS n1, PRE(avg(value)) AS m, PRE(stddev_pop(value)) AS sd FROM {x} GROUP BY id, scope")
+_SIZES = ("sn", "SELECT id, scope, BIG(PRE(count(*))) AS n0, BIG(POST(count(*))) AS n1, PRE(avg(value)) AS m, PRE(stddev_pop(value)) AS sd FROM {x} GROUP BY id, scope", way(lambda have: pooled.sizes(have["x"]), "x"))
 
 
 def _standard(least: int) -> tuple[str, str]:
@@ -51,7 +52,7 @@ SHAPE = {
     "bandwidth": "sqrt(sum(power(f - centre, 2) * q))",
     "hf_power": "sum(CASE WHEN f > 0.15 THEN q ELSE 0 END)",
 }
-_FORM = ("ps", f"SELECT {KEYS}, " + ", ".join(f"{e} AS {n}" for n, e in SHAPE.items()) + f" FROM {{pc}} GROUP BY {KEYS}")
+_FORM = ("ps", f"SELECT {KEYS}, " + ", ".join(f"{e} AS {n}" for n, e in SHAPE.items()) + f" FROM {{pc}} GROUP BY {KEYS}", way(lambda have: pooled.spectral_shapes(have["x"], list(SHAPE), 8), "x"))
 _FORMS = ("pf", "SELECT s.id, s.scope, s.n0, s.n1, " + ", ".join(f"max(CASE WHEN period = {i} THEN {n} END) AS {n}{i}" for n in SHAPE for i in (0, 1)) + " FROM {sn} s LEFT JOIN {ps} p ON s.id = p.id AND s.scope = p.scope GROUP BY s.id, s.scope, s.n0, s.n1")
 _SPECTRAL = {}
 for _n in ("log_low_high", "spec_entropy"):
@@ -100,7 +101,7 @@ def _energy(xs: str) -> str:
 
 
 _SERIES = spread(("wa", f"SELECT {KEYS}, SERIES(value, seq, period >= 0) AS a0 FROM {{sz}} GROUP BY {KEYS}"), "sz")
-_ENERGIES = ("we", f"SELECT {KEYS}, {_energy('d1')} AS e1, {_energy('d2')} AS e2, {_energy('d3')} AS e3 FROM {{w3}}")
+_ENERGIES = ("we", f"SELECT {KEYS}, {_energy('d1')} AS e1, {_energy('d2')} AS e2, {_energy('d3')} AS e3 FROM {{w3}}", way(lambda have: pooled.wavelet_energies(have["x"], DB4, 16), "x"))
 _WSHARES = ("wh", f"SELECT {KEYS}, e1, e2, e3, e1 / (e1 + e2 + e3 + 1e-12) AS h1, e2 / (e1 + e2 + e3 + 1e-12) AS h2, e3 / (e1 + e2 + e3 + 1e-12) AS h3 FROM {{we}}")
 _WSTATS = ("ws", f"SELECT {KEYS}, -(h1 * LN(h1 + 1e-12) + h2 * LN(h2 + 1e-12) + h3 * LN(h3 + 1e-12)) / LN(DBL(3)) AS entropy, h3 AS low_energy_share, h1 AS high_energy_share, LN(e1 + 1e-12) AS l1, LN(e2 + 1e-12) AS l2, LN(e3 + 1e-12) AS l3 FROM {{wh}}")
 _WNAMES = ("entropy", "low_energy_share", "high_energy_share", "l1", "l2", "l3")
