@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breakwater.operators.distances import _AD_STEPS, _MOMENTS, _ROWS, _U, FG, RANK, X, sweep
-from breakwater.plans.family import columns, family
+from breakwater.plans.family import columns, family, kept
 
 # A rational fit of the complementary error function, to 1.2e-7 of its value.
 _ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
@@ -126,15 +126,25 @@ _SHARES = ("sh", f"SELECT id, scope, kt, wz, mz, ct, {beta_share('fa', 'fb', 'fx
 _P = {"f_test_p": "2 * least(fs, 1 - fs)", "levene_p": "1 - ls", "ks_p": kolmogorov_p("kt"), "wilcoxon_pval": normal_p("wz"), "mood_pval": normal_p("mz"), "cvm_pval": cvm_p("ct")}
 
 #: Kolmogorov-Smirnov of small samples: gaps in whole numbers, and paths by recursion over their steps.
-_GAPS = ("gp", "SELECT id, BIG(max(n0)) AS n0, BIG(max(n1)) AS n1, BIG(max(abs(c0 * n1 - c1 * n0))) AS d, max(abs(" + FG + ")) AS ks FROM {sw} WHERE n0 > 0 AND n1 > 0 GROUP BY id")
-_SIZES = ("sz", f"SELECT DISTINCT n0, n1, d FROM {{gp}} WHERE n0 * n1 <= {EXACT}")
+#: Sizes and gaps that a task counts paths for.
+LATTICES = 200
+
+
+def _apart(sizes: DataFrame) -> DataFrame:
+    """Sizes over as many tasks as their number calls for: they cost time, not bytes, so partitions must not be joined."""
+    n = max(sizes.sparkSession.sparkContext.defaultParallelism, -(-sizes.count() // LATTICES))
+    return sizes.repartition(n, "n0", "n1", "d")
+
+
+_GAPS = kept(("gp", "SELECT id, BIG(max(n0)) AS n0, BIG(max(n1)) AS n1, BIG(max(abs(c0 * n1 - c1 * n0))) AS d, max(abs(" + FG + ")) AS ks FROM {sw} WHERE n0 > 0 AND n1 > 0 GROUP BY id"))
+_SIZES = kept(("sz", f"SELECT DISTINCT n0, n1, d FROM {{gp}} WHERE n0 * n1 <= {EXACT}"))
 _PATHS = (
     "pa",
     "SELECT n0, n1, d, BIG(0) AS i, BIG(0) AS j, DBL(1) AS p FROM {sz} UNION ALL SELECT n0, n1, d, BIG(i + di) AS i, BIG(j + 1 - di) AS j, DBL(sum(p * (di * (i + 1) + (1 - di) * (j + 1)) / (i + j + 1))) AS p FROM {pa} CROSS JOIN (VALUES (0), (1)) AS s(di) "
     "WHERE i + di <= n0 AND j + 1 - di <= n1 AND abs((i + di) * n1 - (j + 1 - di) * n0) < d GROUP BY n0, n1, d, i + di, j + 1 - di",
     lambda have: None,
 )
-_LATTICE = ("la", "SELECT z.n0, z.n1, z.d, 1 - coalesce(p.p, 0) AS p FROM {sz} z LEFT JOIN {pa} p ON z.n0 = p.n0 AND z.n1 = p.n1 AND z.d = p.d AND p.i = z.n0 AND p.j = z.n1", lambda have: lattice_p(have["sz"].repartition("n0", "n1", "d")))
+_LATTICE = ("la", "SELECT z.n0, z.n1, z.d, 1 - coalesce(p.p, 0) AS p FROM {sz} z LEFT JOIN {pa} p ON z.n0 = p.n0 AND z.n1 = p.n1 AND z.d = p.d AND p.i = z.n0 AND p.j = z.n1", lambda have: lattice_p(_apart(have["sz"])))
 
 FAMILIES = [
     family("test_pvalues", *sweep(), _STATS, _MOMENTS, _ROWS, *_LEVENE, _ARGS, _SHARES, "SELECT " + columns(_P) + " FROM {sh}", **X),
