@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from breakwater.operators import pooled
 from breakwater.operators.contrasts import ROWS, STATS
 from breakwater.operators.distances import FG, sweep
-from breakwater.plans.family import columns, family
+from breakwater.plans.family import columns, family, way
 
 X = {"x": "scoped_suppliers"}
 S = {"seg": "seg_suppliers"}
@@ -17,6 +18,7 @@ _AR_STATS = (
     "ar",
     "SELECT id, scope, period, DBL(count(*)) AS n, var_samp(value) AS var1, sum((value - m) * (prev - m)) AS acov, covar_pop(value, prev) AS pcov, var_samp(CASE WHEN prev IS NOT NULL THEN prev END) AS pvar, "
     "sum(CASE WHEN prev IS NOT NULL THEN value * value END) AS syy, sum(value * prev) AS sxy, sum(prev * prev) AS sxx, sum(CASE WHEN prev IS NOT NULL THEN value END) AS sy, sum(prev) AS sx, DBL(count(prev)) AS k FROM {r} GROUP BY id, scope, period",
+    way(lambda have: pooled.statistics(have["x"]), "x"),
 )
 
 

@@ -42,10 +42,13 @@ def features(table: DataFrame, families: tuple[str, ...] = DEFAULT, scopes: dict
     id, so the joins that put them side by side shuffle only their own small rows. A name
     that two families share is kept from the first.
     """
-    spark = table.sparkSession
     scopes = scopes or series.SCOPES
-    segs = series.with_positions(table)
-    x = series.scoped(segs, scopes)
+    return features_of(series.scoped(tables.staged(series.with_positions(table), "segments"), scopes), families)
+
+
+def features_of(x: DataFrame, families: tuple[str, ...] = DEFAULT) -> DataFrame:
+    """The features of scoped segments; what several families, or calls, take from ``x`` is made once."""
+    spark, (segs, scopes) = x.sparkSession, series.unscoped(x)
     parts, seen = [], set()
     for name in families:
         got = SCOPED[name].apply(spark, {"x": x, "seg": segs})

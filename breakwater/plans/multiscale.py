@@ -33,11 +33,11 @@ COUNTS = {"base": 92, "cv": 88, "compression": 68, "cusum": 100, "transforms": 2
 
 def matrix(table: DataFrame, groups: tuple[str, ...] = tuple(GROUPS)) -> DataFrame:
     """``id`` and the columns of ``groups``, of a table ``id, seq, period, value``; all groups give 920."""
-    segs = tables.staged(table, "series")
+    x = series.scoped(tables.staged(series.with_positions(table), "series"))
     parts = []
     for name in groups:
         families, without = GROUPS[name]
-        wide = engine.features(segs, families)
+        wide = engine.features_of(x, families)
         left = [c for c in frames.names(wide) if not any(c == w or c.startswith(f"{w}_w") for w in without)]
         if len(left) != COUNTS[name]:
             raise ValueError(f"group {name} has {len(left)} columns, not {COUNTS[name]}")
