@@ -68,6 +68,16 @@ def matrix(rows: list[list[int]], n_features: int) -> np.ndarray:
     return x
 
 
+def _bits(found: list[int], n_features: int) -> bytes:
+    """A document's row of the matrix, eight features a byte."""
+    return np.packbits(matrix([found], n_features)[0]).tobytes()
+
+
+def _times_bits(bits: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """:func:`_times` of a packed matrix, which is never unpacked whole."""
+    return np.concatenate([np.empty(0), *(_times(np.unpackbits(bits[s : s + ROWS], axis=1, count=len(v)), v) for s in range(0, len(bits), ROWS))])
+
+
 def _times(x: np.ndarray, v: np.ndarray) -> np.ndarray:
     """``x @ v`` of a 0 or 1 matrix held in bytes, by blocks of rows."""
     v = v.astype(np.float32)
@@ -116,12 +126,12 @@ def fit_linear(x: np.ndarray, extra: np.ndarray, y: np.ndarray, ridge: float = R
     return w
 
 
-def fit_models(spark: SparkSession, x: np.ndarray, extra: np.ndarray, y: np.ndarray, of: list[np.ndarray]) -> list[np.ndarray]:
+def fit_models(spark: SparkSession, bits: np.ndarray, n_features: int, extra: np.ndarray, y: np.ndarray, of: list[np.ndarray]) -> list[np.ndarray]:
     """:func:`fit_linear` on the rows marked in each of ``of``: every model is fitted in a task of its own.
 
     The sample goes to the tasks as bits, a few MB at most by the bounds on its documents and features.
     """
-    sent = spark.sparkContext.broadcast((np.packbits(x, axis=1), x.shape[1], extra, y, of))
+    sent = spark.sparkContext.broadcast((bits, n_features, extra, y, of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, n, extra, y, of = sent.value
@@ -214,26 +224,27 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen(chosen)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([seen(t.as_py()) for t in b.column(1)], pa.list_(pa.int32())), *b.columns[2:]], ["doc_id", "found", *ys])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_bits(seen(t.as_py()), len(chosen)) for t in b.column(1)], pa.binary()), *b.columns[2:]], ["doc_id", "found", *ys])
 
-    got = rows.mapInArrow(find, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, found array<int>" + "".join(f", {y} int" for y in ys)).toPandas()
+    got = rows.mapInArrow(find, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, found binary" + "".join(f", {y} int" for y in ys)).toPandas()
     got = got.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    x = matrix(got.pop("found").tolist(), len(chosen))
-    fold = np.arange(len(x)) % FOLDS
-    earlier, weights = np.empty((len(x), 0)), []
+    # The driver keeps the sample as bits: its bytes, and the lists they came from, are many times as large.
+    bits = np.frombuffer(b"".join(got.pop("found")), np.uint8).reshape(len(got), (len(chosen) + 7) // 8)
+    fold = np.arange(len(bits)) % FOLDS
+    earlier, weights = np.empty((len(bits), 0)), []
     for k, y in enumerate(ys):
         target = got[y].to_numpy(float)
         if not target.any():
             weights.append(None)
-            earlier = np.hstack([earlier, np.zeros((len(x), 1))])
+            earlier = np.hstack([earlier, np.zeros((len(bits), 1))])
             continue
         last = k + 1 == len(ys)
-        whole, *parts = fit_models(docs.sparkSession, x, earlier, target, [np.ones(len(x), bool), *(fold != f for f in range(0 if last else FOLDS))])
+        whole, *parts = fit_models(docs.sparkSession, bits, len(chosen), earlier, target, [np.ones(len(bits), bool), *(fold != f for f in range(0 if last else FOLDS))])
         weights.append(whole)
         if not last:
-            out = np.zeros(len(x))
+            out = np.zeros(len(bits))
             for f, w in enumerate(parts):
-                z = _times(x, w[: len(chosen)]) + earlier @ w[len(chosen) : -1] + w[-1]
+                z = _times_bits(bits, w[: len(chosen)]) + earlier @ w[len(chosen) : -1] + w[-1]
                 out[fold == f] = 1 / (1 + np.exp(-np.clip(z[fold == f], -30, 30)))
             earlier = np.hstack([earlier, out[:, None]])
     return Chain(names, chosen, weights)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from breakwater.llm import common, decontaminate, simhash
+from breakwater.llm import common, decontaminate, simhash, toxicity
 
 from ..conftest import SF
 from .test_operators import fingerprint, roots
@@ -55,3 +55,14 @@ def test_stages_on_odd_rows_and_empty_tables(spark):
         elif name in ("toxicity", "decontamination"):
             assert None in ids and 10_000 in ids and 10_002 in ids
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_the_driver_holds_the_toxicity_sample_as_bits():
+    """A row is packed in the task, and products with it unpack a few rows at a time."""
+    rng = np.random.default_rng(1)
+    rows = [sorted(rng.choice(77, size=int(rng.integers(0, 20)), replace=False).tolist()) for _ in range(1203)]
+    x, v = toxicity.matrix(rows, 77), rng.normal(size=77)
+    bits = np.frombuffer(b"".join(toxicity._bits(r, 77) for r in rows), np.uint8).reshape(len(rows), -1)
+    assert bits.nbytes == 10 * len(rows)
+    assert np.array_equal(np.unpackbits(bits, axis=1, count=77), x)
+    assert np.array_equal(toxicity._times_bits(bits, v), toxicity._times(x, v))
