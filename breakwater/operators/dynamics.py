@@ -5,6 +5,7 @@ from __future__ import annotations
 from breakwater.operators import pooled
 from breakwater.operators.contrasts import ROWS, STATS
 from breakwater.operators.distances import FG, sweep
+from breakwater.plans.dialect import render
 from breakwater.plans.family import columns, family, way
 
 X = {"x": "scoped_suppliers"}
@@ -74,6 +75,7 @@ _CUSUM_STATS = (
     "ct",
     "SELECT id, scope, period, max(n) AS n, max(CASE WHEN down = 1 THEN own END) AS fin, max(own) AS hi, min(own) AS lo, stddev_pop(own) AS sd, sum(abs(own - pown)) AS path, max(CASE WHEN up = 1 THEN whole END) AS g1, max(CASE WHEN up = 2 THEN whole END) AS g2, max(CASE WHEN up = 3 THEN whole END) AS g3, max(CASE WHEN down = 1 THEN whole END) AS h1, max(CASE WHEN down = 2 THEN whole END) AS h2, max(CASE WHEN down = 3 THEN whole END) AS h3, "
     "max(CASE WHEN up = least(20, n) THEN whole END) AS g20, max(CASE WHEN down = least(20, n) THEN whole END) AS h20 FROM {cr} GROUP BY id, scope, period",
+    way(lambda have: pooled.cusums(have["x"]), "x"),
 )
 _SL0, _SL1 = "V0((h1 - h20) / least(20, n))", "V1((g20 - g1) / least(20, n))"
 _ELBOW = ("el", f"SELECT id, scope, {_SL0} AS s0, {_SL1} AS s1, abs(V0(h1) - 2 * V1(g1) + V1(g2)) AS curv FROM {{ct}} GROUP BY id, scope")
@@ -81,6 +83,7 @@ _DETRENDED = (
     ("cf", "SELECT id, scope, period, regr_slope(own, t) AS b, regr_intercept(own, t) AS a FROM {cr} GROUP BY id, scope, period"),
     ("e", "SELECT c.id, c.scope, c.period, own - a - b * t AS value FROM {cr} c JOIN {cf} f ON c.id = f.id AND c.scope = f.scope AND c.period = f.period"),
 )
+_ERROR = render("SELECT " + columns({"cusum_error_wasserstein": "area"}) + " FROM {ce}", 0)
 _VOL = (
     "vol",
     "SELECT id, scope, period, max(w) AS w, stddev_pop(CASE WHEN (period = 0 AND down < w) OR (period = 1 AND up > 1 AND up <= w) THEN whole - pwhole END) AS v FROM (SELECT c.*, least(50, w.w) AS w FROM {cr} c JOIN (SELECT id, scope, min(BIG(floor(n / 4))) AS w FROM {ct} GROUP BY id, scope) w ON c.id = w.id AND c.scope = w.scope) z GROUP BY id, scope, period",
@@ -130,7 +133,7 @@ FAMILIES = [
     family("linear_trend", *PROCESSED, _AR1, _PHI2, "SELECT " + columns({"trend_slope_pre": "a.slope", "trend_slope_post": "b.slope", "trend_delta_slope": "b.slope - a.slope", "trend_rmse_pre": f"sqrt({_T_MSE.format(a='a', f='a')})", "trend_rmse_post": f"sqrt({_T_MSE.format(a='b', f='b')})", "trend_rmse_cross": f"sqrt({_T_MSE.format(a='b', f='a')})", "trend_mean_error_cross": "(b.s - a.level * b.n - a.slope * b.st) / b.n"}, "a.id, a.scope") + _PAIR, **S),
     family("cusum_features", *_CUSUM, _CUSUM_STATS, "SELECT " + columns({f"cusum_{s}_{k}": f"V{p}({e})" for p, s in ((0, "pre"), (1, "post")) for k, e in (("final", "fin"), ("max", "hi"), ("min", "lo"), ("range", "hi - lo"), ("std", "sd"), ("path_length", "coalesce(path, 0)"))} | {"cusum_range_diff": "V1(hi - lo) - V0(hi - lo)", "cusum_std_diff": "V1(sd) - V0(sd)", "cusum_path_length_ratio": "V1(coalesce(path, 0)) / (V0(coalesce(path, 0)) + 1e-8)", "cusum_global_jump": "V1(g1) - V0(h1)", "cusum_global_pre_final": "V0(h1)", "cusum_global_post_first": "V1(g1)"}) + " FROM {ct} GROUP BY id, scope", **X),
     family("cusum_elbow", *_CUSUM, _CUSUM_STATS, _ELBOW, "SELECT " + columns({"elbow_sharpness": "abs(s1 - s0)", "elbow_curvature": "curv", "elbow_category": "CASE WHEN abs(s0) < 0.05 AND abs(s1) < 0.05 THEN 0 WHEN abs(s1) < 0.05 THEN CASE WHEN s0 > 0 THEN 1 ELSE 2 END WHEN abs(s0) < 0.05 THEN CASE WHEN s1 > 0 THEN 3 ELSE 4 END WHEN s0 > 0 AND s1 > 0 THEN 3 WHEN s0 < 0 AND s1 < 0 THEN 4 WHEN s0 > 0 THEN 6 ELSE 5 END"}) + " FROM {el}", **X),
-    family("cusum_error", *_CUSUM, *_DETRENDED, *sweep("e"), "SELECT " + columns({"cusum_error_wasserstein": f"sum(abs({FG}) * gap)"}) + " FROM {sw} GROUP BY id, scope", **X),
+    family("cusum_error", *_CUSUM, *_DETRENDED, *sweep("e"), ("result", "SELECT " + columns({"cusum_error_wasserstein": f"sum(abs({FG}) * gap)"}) + " FROM {sw} GROUP BY id, scope", way(lambda have: have["x"].sparkSession.sql(_ERROR, ce=pooled.cusum_errors(have["x"])), "x")), **X),
     family("cusum_boundary_vol", *_CUSUM, _CUSUM_STATS, _VOL, "SELECT " + columns({"cusum_boundary_vol_pre": "CASE WHEN max(w) > 5 THEN V0(v) ELSE 0 END", "cusum_boundary_vol_post": "CASE WHEN max(w) > 5 THEN V1(v) ELSE 0 END", "cusum_boundary_vol_ratio": "CASE WHEN max(w) > 5 THEN V1(v) / (V0(v) + 1e-8) ELSE 1 END"}) + " FROM {vol} GROUP BY id, scope", **X),
     *(_transform(k) for k in ("cumsum", "diff", "rank", "abs", "zscore", "mosum")),
     *(_transform_stats(k) for k in ("raw", "cumsum", "diff")),
