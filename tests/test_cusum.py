@@ -11,7 +11,7 @@ from breakwater.sources import series, tables
 
 from .test_pooled import SLOW, _plans, odd  # noqa: F401
 
-NAMES = ("cusum_features", "cusum_elbow", "cusum_error")
+NAMES = ("cusum_features", "cusum_elbow", "cusum_error", "cusum_boundary_vol")
 
 
 @pytest.mark.parametrize("name", NAMES)
