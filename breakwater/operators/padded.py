@@ -18,6 +18,8 @@ from breakwater.sources import series
 
 #: What is compared of two segments: all, winsorised, and tails cut at each segment's own quantiles.
 VARIANTS = ("raw", "wins", *[f"{q}_{end}" for q in ("q90", "q95") for end in ("upper", "lower", "both")])
+#: How many times ``series.POINTS`` are worked on at once: a task is dealt a little more or less than that number, and a small rest costs as many calls as a large one.
+AT_ONCE = 2
 #: A column: its values, and for which series they are defined.
 Column = tuple[np.ndarray, np.ndarray]
 
@@ -321,8 +323,8 @@ def _made(table: pa.Table, parts: tuple[str, ...], scopes: dict[str, int]) -> It
 
 
 def statistics(table: DataFrame, parts: tuple[str, ...] = tuple(PARTS), scopes: dict[str, int] | None = None) -> DataFrame:
-    """A row for each series of a table ``id, seq, period, value``: its ``parts`` in each scope. One shuffle, by id; a task holds about ``series.POINTS`` points, or its longest series."""
-    scopes, least = dict(scopes or series.SCOPES), series.POINTS
+    """A row for each series of a table ``id, seq, period, value``: its ``parts`` in each scope. One shuffle, by id."""
+    scopes, least = dict(scopes or series.SCOPES), AT_ONCE * series.POINTS
     rows = series.together(table)
     one = np.zeros(2, np.int64)
     names = [name for name, _ in _columns(one, one * 1.0, np.array([False, True]), 1, parts, scopes)]

@@ -92,7 +92,7 @@ def test_compression_as_the_family_has_it(spark, odd, wide):
 
 def test_series_over_several_batches_and_parts(spark, monkeypatch, odd, wide):
     """Parts of a task that end in the middle of a series change nothing."""
-    monkeypatch.setattr(series, "POINTS", 64)
+    monkeypatch.setattr(series, "POINTS", 32)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
     monkeypatch.setattr(series, "by_id", lambda rows, n: rows.repartition(2, "id"))
